@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_lines
+from . import quality_lines, quality_rules
 
 QUERIES = {
     "op8_quality_lines": quality_lines.op8_quality_lines,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
