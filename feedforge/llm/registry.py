@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_lines, quality_rules
+from . import fingerprints, quality_lines, quality_rules, toxicity
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op8_quality_lines": quality_lines.op8_quality_lines,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
