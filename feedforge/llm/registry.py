@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality_lines, quality_rules, toxicity
+from . import fingerprints, quality_lines, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op6_simhash": simhash.op6_simhash,
     "op8_quality_lines": quality_lines.op8_quality_lines,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
