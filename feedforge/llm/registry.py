@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality_lines, quality_rules, simhash, toxicity
+from . import fingerprints, mixing, quality_lines, quality_rules, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_mixing": mixing.op3_mixing,
     "op6_simhash": simhash.op6_simhash,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_quality_lines": quality_lines.op8_quality_lines,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
