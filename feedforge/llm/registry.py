@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, quality_lines, quality_rules, simhash, token_counts, toxicity
+from . import fingerprints, mixing, packing, quality_lines, quality_rules, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_mixing": mixing.op3_mixing,
+    "op4_secrets": secrets.op4_secrets,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op7_token_counts": token_counts.op7_token_counts,
