@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, path: str, shards: int, capacity: int = CAPACITY, en
                     size = min(capacity, n - start)
                     check = zlib.crc32(ids[4 * start : 4 * (start + size)])
                     if size == capacity:
-                        rows.append((doc_id, start, size, check, n, None, (1 << 62) + (task << 36) + full, 0))
+                        rows.append((doc_id, start, size, check, n, None, (1 << 62) + (task << 32) + full, 0))
                         full += 1
                     else:
                         rows.append((doc_id, start, size, check, n, (task * 7919 + dealt) % shards, None, None))
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
         windows, offsets = best_fit(group["length"].tolist(), capacity)
-        return group.assign(sequence_id=(group["shard"] << 32) + windows, offset=offsets).drop(columns="shard")
+        return group.assign(sequence_id=group["shard"] * (1 << 32) + windows, offset=offsets).drop(columns="shard")
 
     out = [c for c in _COLUMNS if c != "shard"]
     rest = cut.where("shard is not null").groupBy("shard").applyInPandas(packed, ", ".join(f"{c} long" for c in out))
