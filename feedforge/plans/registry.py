@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lake
+from . import analytics, lake
 
-QUERIES = {**lake.Q}
-ORACLE_SQL = {**lake.SQL}
+QUERIES = {**lake.Q, **analytics.Q}
+ORACLE_SQL = {**lake.SQL, **analytics.SQL}
