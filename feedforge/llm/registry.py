@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing, quality_lines, quality_rules, secrets, simhash, token_counts, toxicity
+from . import fingerprints, mixing, packing, pitman_yor, quality_lines, quality_rules, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_pitman_yor": pitman_yor.op1_pitman_yor,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_mixing": mixing.op3_mixing,
     "op4_secrets": secrets.op4_secrets,
