@@ -82,3 +82,11 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, target: str, modulus: int
 def widened(schema: T.StructType, ddl: str) -> T.StructType:
     """The schema with further fields, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as keep it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

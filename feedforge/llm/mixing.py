@@ -114,12 +114,13 @@ def _share(copy: Column) -> Column:
 
 def curriculum(docs: DataFrame) -> DataFrame:
     """The columns of docs with copy (from 0) and position: a row for each copy taken, range-sorted by position."""
-    docs = docs.drop("copy", "position", "_row")
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    placed = placements(staged(sizes(numbered), "sizes")).where("copies > 0")
+    docs = docs.drop("copy", "position")
+    row = common.free_name(docs, "_row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    placed = placements(staged(sizes(numbered.select("doc_id", "source", "text", F.col(row).alias("_row"))), "sizes")).where("copies > 0")
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    placed = placed.select("_row", "copy", position(_share(F.col("copy")), F.col("weight")).alias("position"))
-    return numbered.join(placed, "_row").orderBy("position", "_row", "copy").drop("_row")
+    placed = placed.select(F.col("_row").alias(row), "copy", position(_share(F.col("copy")), F.col("weight")).alias("position"))
+    return numbered.join(placed, row).orderBy("position", row, "copy").drop(row)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

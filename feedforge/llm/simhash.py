@@ -65,16 +65,16 @@ def fingerprint_of(blobs: list[bytes], width: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """docs with fp, the fingerprint as a signed long."""
-    docs = docs.drop("fp")
+def fingerprints(docs: DataFrame, width: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """docs with the fingerprint as a signed long."""
+    docs = docs.drop(name)
     names = docs.columns
 
     def made(batches):
         for part, texts in bytekit.batches_of_texts(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprint_of(texts.blobs, width).view(np.int64))], names=[*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprint_of(texts.blobs, width).view(np.int64))], names=[*names, name])
 
-    return docs.mapInArrow(made, common.widened(docs.schema, "fp long"))
+    return docs.mapInArrow(made, common.widened(docs.schema, f"{name} long"))
 
 
 class Tree:
@@ -219,10 +219,11 @@ def components(prints: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """docs without the near-duplicates: of each component the row with the smallest id stays (null ids last, then the first row)."""
-    numbered = staged(fingerprints(docs, width).withColumn("_row", F.monotonically_increasing_id()), "fingerprinted")
-    classed = components(numbered.select("doc_id", "fp", "_row"))
-    first = classed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
-    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+    fp, row = common.free_name(docs, "_fp"), common.free_name(docs, "_row")
+    numbered = staged(fingerprints(docs, width, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    classed = components(numbered.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row")))
+    first = classed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(first, row, "left_semi").select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

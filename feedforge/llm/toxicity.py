@@ -100,7 +100,7 @@ class ToxicTokens:
         unary, bounds, places = [], [0], []
         for found, n in zip(hits, sizes, strict=True):
             near = sorted({j for i in found for j in (i - 1, i, i + 1) if 0 <= j < n})
-            at, last, chain, own = 0, -1, [], []
+            last, chain, own = -1, [], []
             rows = np.zeros((len(near), 3, _WIDTH))
             for r, j in enumerate(near):
                 for s in (0, 1, 2):
@@ -109,10 +109,12 @@ class ToxicTokens:
             values = _features(rows[:, 1], rows[:, 0], rows[:, 2]) @ self.field.weights if near else ()
             for j, v in zip([*near, n], [*values, None], strict=True):
                 gap = j - last - 1
-                kept = min(gap, 2 * self.still)
+                kept = min(gap, 2 * self.still + 1)
                 chain.extend([self.base] * kept)
-                own.extend((-1, gap / kept) for _ in range(kept)) if kept else None
-                at += kept
+                weights = [1.0] * kept
+                if kept:  # the middle of the run stands for all that was left out
+                    weights[kept // 2] += gap - kept
+                own.extend((-1, w) for w in weights)
                 if v is not None:
                     chain.append(v)
                     own.append((j, 1.0))
