@@ -173,7 +173,10 @@ def hot_contexts(made: DataFrame, shards: int) -> dict[int, int]:
         return {}
     whole = made.agg(F.sum("n_train")).first()[0]
     got = made.select("words", "counts").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r.word & ((1 << 64) - 1): int(-(-2 * r.n * shards // whole)) for r in got if r.n * shards > whole}
+    hot = {r.word & ((1 << 64) - 1): int(-(-2 * r.n * shards // whole)) for r in got if r.n * shards > whole}
+    if int(END) in hot:  # texts begin as often as they end
+        hot[int(BEGIN)] = hot[int(END)]
+    return hot
 
 
 # seating

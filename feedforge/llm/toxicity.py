@@ -178,7 +178,9 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int
     if not toxic or not clean:
         return None
     seen = (Counter(), Counter())
-    words = [r.text.split(" ") if r.text else [] for r in got]
+    pool: dict[str, str] = {}  # one object for each distinct word keeps the sample small
+    words = [[pool.setdefault(w, w) for w in r.text.split(" ")] if r.text else [] for r in got]
+    del got, pool
     known: dict[str, tuple[str, ...]] = {}
     for w, y in zip(words, label, strict=True):
         seen[y].update({f for x in set(w) for f in known.setdefault(x, forms(x)) if f})
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int
             strength[f] = odds
     del seen, known
     model = ToxicTokens(strength, ChainField(np.zeros(_features(*[np.zeros((1, _WIDTH))] * 3).shape[1]), np.zeros((2, 2)), np.zeros(2)), (1.0, 0.0))
-    some = [i for i in range(len(got)) if words[i]]
+    some = [i for i in range(len(words)) if words[i]]
     sure = LEAST_ODDS + 1
     features, marked, bounds = [], [], [0]
     for i in some[:FIELD_ROWS]:
