@@ -25,12 +25,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytekit, common
-from .common import staged
 
 WIDTH = 32
 POPULAR = 8
@@ -206,80 +204,107 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _compare(texts: list[str], rank: np.ndarray) -> list[tuple]:
-    """The _FIELDS of all texts but the last, each against the one after it."""
-    changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-    blobs = [x.encode() for x in changed]
+def _compare(texts: list[str], at: list[int], rank: np.ndarray) -> list[tuple]:
+    """The _FIELDS of the texts at the given places, each against the text after it."""
     own = digests(bytekit.Texts([x.encode() for x in texts]), rank)
+    blobs = [edited(texts[i], texts[i + 1]).encode() for i in at]
     other = digests(bytekit.Texts(blobs), rank)
     return [
-        (len(texts[i]), hashlib.sha256(blobs[i]).hexdigest(), own[i].text(), other[i].text(), likeness(own[i], other[i]), likeness(own[i], own[i + 1]))
-        for i in range(len(changed))
+        (len(texts[i]), hashlib.sha256(blob).hexdigest(), own[i].text(), changed.text(), likeness(own[i], changed), likeness(own[i], own[i + 1]))
+        for i, blob, changed in zip(at, blobs, other, strict=True)
     ]
 
 
+class Order:
+    """Where documents stand: in descending order of id (null ids last), of equal ids by hash of the text.
+
+    Quantiles of the ids cut the order into buckets of about BUCKET_ROWS; the driver keeps one
+    number for each. An id that fills several buckets has them split by hash, and so have null ids.
+    """
+
+    def __init__(self, quantiles: list[int], nulls: int):
+        self.bounds, parts = np.unique(np.array(quantiles, np.int64), return_counts=True)
+        self.parts = np.append(parts, 1)  # of ids above the last bound
+        widths = np.where(self.parts > 1, self.parts + 1, 1)
+        self.base = np.cumsum(widths[::-1])[::-1] - widths
+        self.null_base, self.null_parts = int(widths.sum()), max(1, -(-nulls // BUCKET_ROWS))
+
+    def bucket(self, ids: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        x = ids.fill_null(0).to_numpy()
+        group = np.searchsorted(self.bounds, x, side="left")
+        part = lambda n: np.minimum(((hashes.astype(float) + 2.0**63) / 2.0**64 * n).astype(np.int64), n - 1)
+        parts = self.parts[group]
+        at_bound = (group < len(self.bounds)) & (np.append(self.bounds, 0)[group] == x)
+        inner = np.where(parts > 1, np.where(at_bound, part(parts), parts), 0)
+        return np.where(none, self.null_base + part(self.null_parts), self.base[group] + inner)
+
+
+#: Rows of a bucket.
+BUCKET_ROWS = 1000
+
+
+def _order(docs: DataFrame) -> Order:
+    n = docs.count()
+    k = -(-n // BUCKET_ROWS)
+    found = docs.agg(
+        F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+        F.percentile_approx("doc_id", [i / max(2, k) for i in range(1, max(2, k))], max(10000, 20 * k)).alias("cuts"),
+    ).first()
+    return Order(found.cuts if k > 1 and found.cuts else [], found.nulls)
+
+
 def with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """doc_id with _FIELDS: each document's digest beside those of its edited text and of the next document.
 
-    Documents stand in descending order of id (null ids last; of equal ids, by hash of the text);
-    the first follows the last. One range shuffle brings neighbours together. A task knows all
-    successors but that of its last document: first and last documents of the tasks are set aside
-    in a staged table, and each last one meets the first one of the next task that has any.
+    The next document is the one after it in the Order; the first follows the last. One shuffle
+    brings the documents of a bucket together, and with them the first document of the next bucket
+    that has any. These first ones are found from ids and hashes before; the driver holds one for
+    each bucket.
     """
-    ordered = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), F.monotonically_increasing_id().alias("_row")
-    )
-    keys = [F.col("doc_id").desc_nulls_last(), F.col("_hash"), F.col("_row")]
-    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    order = _order(docs)
+    text = F.coalesce("text", F.lit(""))
+
+    def placed(batches):
+        for batch in batches:
+            bucket = order.bucket(batch.column(0), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket)], names=["doc_id", "hash", "bucket"])
+
+    narrow = docs.select("doc_id", F.xxhash64(text).alias("hash")).mapInArrow(placed, "doc_id long, hash long, bucket long")
+    heads = narrow.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("hash").alias("mirror"))).alias("head")).collect()
+    heads = sorted((r.bucket, r["head"].doc_id, ~r["head"].mirror) for r in heads)
+    extra: dict[tuple, int] = {(heads[(i + 1) % len(heads)][1:]): bucket for i, (bucket, *_) in enumerate(heads)}
+
+    def dealt(batches):
+        for batch in batches:
+            ids, hashes = batch.column(0), batch.column(2).to_numpy()
+            bucket = order.bucket(ids, hashes)
+            again = [(i, to) for i, key in enumerate(zip(ids.to_pylist(), hashes.tolist(), strict=True)) if (to := extra.get(key)) is not None]
+            rows = pa.array(np.concatenate([np.arange(len(bucket)), np.array([i for i, _ in again], np.int64)]))
+            columns = [c.take(rows) for c in batch.columns]
+            buckets = np.concatenate([bucket, np.array([to for _, to in again], np.int64)])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(buckets), pa.array(np.arange(len(buckets)) >= len(bucket))], names=["doc_id", "text", "hash", "bucket", "next"])
+
+    spread = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(dealt, "doc_id long, text string, hash long, bucket long, next boolean")
+    spread = spread.repartition("bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").desc_nulls_last(), "hash")
 
     def paired(batches):
-        task, held, begun = TaskContext.get().partitionId(), None, False
+        held: list[tuple] = []
         for part, texts in bytekit.batches_of_texts(batches):
-            ids, words = part.column(0).to_pylist(), [b.decode() for b in texts.blobs]
-            edges = []
-            if not begun:
-                edges, begun = [(ids[0], words[0], "first")], True
-            if held is not None:
-                ids, words = [held[0], *ids], [held[1], *words]
-            held = ids[-1], words[-1]
-            yield _rows(task, ids, _compare(words, rank), edges)
-        if begun:
-            yield _rows(task, [], [], [(*held, "last")])
-
-    ddl = f"task int, edge string, edge_text string, doc_id long, {_FIELDS}"
-    found = staged(ordered.mapInArrow(paired, ddl), "fingerprints")
-    first = found.where("edge = 'first'").select("task", F.col("edge_text").alias("next_text"))
-    # a row for each task, without texts
-    order = first.select("task").withColumn("next_task", F.coalesce(F.lead("task").over(Window.orderBy("task")), F.first("task").over(Window.orderBy("task"))))
-    last = found.where("edge = 'last'").select("task", "doc_id", F.col("edge_text").alias("text"))
-    meeting = last.join(order, "task").join(first.withColumnRenamed("task", "next_task"), "next_task").select("doc_id", "text", "next_text")
-
-    def met(batches):
-        for batch in batches:
-            ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
-            yield _rows(0, ids, [_compare([a, b], rank)[0] for a, b in zip(texts, following, strict=True)], []).select(["doc_id", *_NAMES])
+            rows = held + list(zip(part.column(0).to_pylist(), [b.decode() for b in texts.blobs], part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True))
+            held = rows[-1:]
+            at = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i][2] == rows[i + 1][2]]
+            compared = _compare([r[1] for r in rows], at, rank)
+            columns = [[rows[i][0] for i in at], *([c[k] for c in compared] for k in range(len(_NAMES)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *_TYPES], strict=True)], names=["doc_id", *_NAMES])
 
-    return found.where("edge is null").select("doc_id", *_NAMES).unionByName(meeting.mapInArrow(met, f"doc_id long, {_FIELDS}"))
+    return spread.mapInArrow(paired, f"doc_id long, {_FIELDS}")
 
 
 _NAMES = [x.split()[0] for x in _FIELDS.split(", ")]
 _TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
-def _rows(task: int, ids: list, compared: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-    """Compared documents (ids beyond them are ignored), then edge documents with their texts."""
-    n, m = len(compared), len(edges)
-    columns = {
-        "task": pa.array([task] * (n + m), pa.int32()),
-        "edge": pa.array([None] * n + [x[2] for x in edges], pa.string()),
-        "edge_text": pa.array([None] * n + [x[1] for x in edges], pa.string()),
-        "doc_id": pa.array([*ids[:n], *(x[0] for x in edges)], pa.int64()),
-    }
-    for i, (name, kind) in enumerate(zip(_NAMES, _TYPES, strict=True)):
-        columns[name] = pa.array([*(c[i] for c in compared), *[None] * m], kind)
-    return pa.RecordBatch.from_pydict(columns)
-
-
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return with_next(docs, rarity(docs))
