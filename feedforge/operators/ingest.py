@@ -95,7 +95,7 @@ def write_export(df: DataFrame, path: str) -> None:
 
 def read_known_bots(spark: SparkSession, path: str) -> DataFrame:
     """All text files in the folder are the list."""
-    return spark.read.text(path).select(F.trim("value").alias("login")).where("login != ''").distinct()
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(F.trim("value").alias("login")).where("login != ''").distinct()
 
 
 def write_known_bots(logins: DataFrame, path: str) -> None:

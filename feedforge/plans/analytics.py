@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import docstore, graph, ingest, recommend, sketches, wordcount
+from ..operators import docstore, graph, ingest, recommend, sketches, storage, wordcount
 from ..sources.staging import shared_path, staged
 from ..sources.tables import activity, bronze, table
 from ..streaming import jobs
@@ -370,3 +370,23 @@ def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "hourly-counts")
     jobs.run_available(jobs.hourly_counts(jobs.source(spark, f"{d}/events.parquet*", schema)), path, path + "-checkpoint", "complete")
     return spark.read.parquet(path).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("melt_fm", "SELECT events_processed, variable, value FROM (UNPIVOT (SELECT events_processed, estimate::DOUBLE AS estimate, exact::DOUBLE AS exact FROM (" + SQL["fm_checkpoints"] + ")) ON estimate, exact INTO NAME variable VALUE value)")
+def melt_fm(spark: SparkSession, d: str) -> DataFrame:
+    return storage.melt(fm_checkpoints(spark, d), ["events_processed"], ["estimate", "exact"])
+
+
+@query("melt_hit_rate", "SELECT k, variable, value FROM (UNPIVOT (SELECT k, popularity_hit_rate::DOUBLE AS popularity_hit_rate, cf_hit_rate::DOUBLE AS cf_hit_rate FROM (" + SQL["cf_hit_rate"] + ")) ON popularity_hit_rate, cf_hit_rate INTO NAME variable VALUE value)")
+def melt_hit_rate(spark: SparkSession, d: str) -> DataFrame:
+    return storage.melt(cf_hit_rate(spark, d), ["k"], ["popularity_hit_rate", "cf_hit_rate"])
+
+
+@query("top_degree_nodes", _EDGES + "SELECT node, degree, strength FROM degrees ORDER BY degree DESC, node LIMIT 50")
+def top_degree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_edges(spark, d)).orderBy(F.desc("degree"), "node").limit(50)
+
+
+@query("component_sizes", _REACH + " SELECT component, count(*) AS nodes FROM parts GROUP BY component ORDER BY nodes DESC, component LIMIT 5")
+def component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(_edges(spark, d)).groupBy("component").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "component").limit(5)
