@@ -7,8 +7,8 @@ remaining capacities finds the tightest open window that still takes the piece.
 about one window partly filled, whatever the whole corpus holds, so shards cost next to no padding
 and grow in number, not in size.
 
-Words, cut at ASCII white space, are encoded once and remembered: the vocabulary's splitter never
-joins characters across white space and drops it, so a text's ids are its words' ids.
+The vocabulary's splitter cuts a text into parts that are encoded apart from each other, so each
+part is encoded once and remembered; a text's ids are its parts' ids.
 
 Null texts count as empty: their only id is the end id. Repeated rows and equal ids are packed as
 separate documents. Empty tables give no rows. Extra columns don't reach the result.
@@ -17,12 +17,14 @@ separate documents. Empty tables give no rows. Extra columns don't reach the res
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,54 +32,92 @@ from . import bytekit, common
 from .common import staged
 
 CAPACITY, END_ID, SHARD = 4096, 2, 4096
-#: Words and word parts a worker remembers.
-MEMO = 300_000
+#: Pieces that a worker remembers.
+MEMO = 600_000
 
-_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+# Fixed value: the splitter of the vocabulary's file.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordEncoder:
+    """Ids of texts by the parts that the vocabulary's splitter makes, each encoded once and remembered.
+
+    In lower case, runs of letters and of ASCII punctuation are parts where nothing else meets
+    them, so most texts are split by setting punctuation runs apart. Pieces with digits, and all
+    words of texts with apostrophes or with other characters that are neither letters nor numbers,
+    are split by the splitter's own pattern. Parts are encoded together by a model without
+    normaliser and splitter, since that work is done; each part gives exactly one token that ends a
+    word, by which the ids of a batch are told apart. Texts that may hold a special token, and
+    batches that don't come out even, go one by one through the whole model.
+    """
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.model.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Remember new words. Plain ASCII words are put together from letters, digits and the rest, as the splitter does."""
-        whole, split = [], {}
-        for w in words:
-            if w.isascii() and b"'" not in w and b"<|" not in w:
-                split[w] = _PARTS.findall(w.lower())
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.model, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        size = self.model.get_vocab_size()
+        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of new pieces: parts, or words that the splitter may cut further."""
+        split = {x: _PARTS.findall(x) for x in pieces if not (x.isalpha() or _PUNCTUATION.fullmatch(x))}
+        parts = list((pieces - split.keys()).union(*split.values()))
+        got: dict[str, bytes] = {}
+        for at in range(0, len(parts), 4000):
+            some = parts[at : at + 4000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                raw, edge = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                got.update(zip(some, [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)], strict=True))
             else:
-                whole.append(w)
-        need = list({x for parts in split.values() for x in parts if x not in self.parts})
-        if len(self.parts) + len(need) > MEMO:
-            self.parts.clear()
-            need = list({x for parts in split.values() for x in parts})
-        self.parts.update(zip(need, self._encode(need), strict=True))
-        if len(self.words) + len(words) > MEMO:
-            self.words.clear()
-        self.words.update((w, b"".join([self.parts[x] for x in parts])) for w, parts in split.items())
-        self.words.update(zip(whole, self._encode(whole), strict=True))
-
-    def ids(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in self.words})
-            try:
-                return b"".join([self.words[w] for w in words])
-            except KeyError:  # the memory was emptied
-                self._learn(set(words))
-                return b"".join([self.words[w] for w in words])
+                got.update((x, self._whole(x)) for x in some)
+        for x, own in split.items():
+            if own != [x]:
+                got[x] = b"".join([got[y] if y in got else self._whole(y) for y in own])
+        if len(self.known) + len(got) > MEMO:
+            self.known.clear()
+        self.known.update(got)
+
+    def ids(self, blobs: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        out: list = []
+        missed: list[tuple[int, list[str], list[int]]] = []
+        for i, blob in enumerate(blobs):
+            text = blob.decode()
+            if "<|" in text:
+                out.append([self._whole(text)])
+                continue
+            if not text.isascii():  # a capital sigma is lowered without regard to its place
+                text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+            text = text.lower()
+            if "'" not in text and not _OTHER.search(text):
+                text = _PUNCTUATION.sub(r" \g<0> ", text)
+            pieces = _SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
+            found = list(map(self.known.get, pieces))
+            if None in found:
+                missed.append((i, pieces, [k for k, v in enumerate(found) if v is None]))
+            out.append(found)
+        if missed:
+            self._learn({pieces[k] for _, pieces, at in missed for k in at})
+            for i, pieces, at in missed:
+                for k in at:
+                    out[i][k] = self.known[pieces[k]]
+        return [b"".join(x) for x in out]
+
+
+_PUNCTUATION = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+#: Characters that are neither ASCII nor letters or numbers; ASCII control characters.
+_OTHER = re.compile(r"[^\w\x20-\x7e\t\n\r\x0b\x0c]")
+_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: What str.split() cuts at beyond ASCII white space.
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 @cache
@@ -146,8 +186,8 @@ def pieces(docs: DataFrame, path: str, shards: int, capacity: int = CAPACITY, en
         encoder, task, dealt, full = word_encoder(path), TaskContext.get().partitionId(), 0, 0
         for part, texts in bytekit.batches_of_texts(batches):
             rows = []
-            for doc_id, blob in zip(part.column(0).to_pylist(), texts.blobs, strict=True):
-                ids = memoryview(encoder.ids(blob) + end)
+            for doc_id, found in zip(part.column(0).to_pylist(), encoder.ids(texts.blobs), strict=True):
+                ids = memoryview(found + end)
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     size = min(capacity, n - start)
