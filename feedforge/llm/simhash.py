@@ -4,9 +4,9 @@ A document's words (ASCII letters in lower case) give shingles; a fingerprint bi
 set in over half the shingles' XXH64. Two fingerprints link at RADIUS or fewer differing bits.
 
 Links are found among distinct fingerprints, so exact copies cost nothing after one aggregate.
-With radius 3, two linked fingerprints agree on one of four blocks of 16 bits, and on one of four
-blocks of 12 among the other 48. Each fingerprint therefore goes to 16 shards, named by the 28
-bits that must agree, and every link lies in one shard at least: exact, without any cap. In its
+With radius 3, two linked fingerprints agree on two at least of five blocks of 13 bits. Each
+fingerprint therefore goes to ten shards, named by the 25 or 26 bits that must agree, and every
+link lies in one shard at least: exact, without any cap. In its
 shard a BK-tree (children keyed by their Hamming distance to the parent) is searched for every
 fingerprint, following only the edges within the radius. The trees stay in the task that owns
 their shard instead of being broadcast, since the trees of all fingerprints have no size bound.
@@ -25,6 +25,8 @@ rows and equal ids share fingerprint classes by text. Extra columns don't reach
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,8 @@ from . import bytekit, common
 from .common import staged
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: What brings texts together, and what then makes them near-duplicates, where one of each group is kept.
+KEEP_RADIUS, KEEP_WORDS, KEEP_SIMILARITY = 6, 5, 0.8
 #: Fingerprints below a tree's node that are scanned flat.
 LEAF = 64
 
@@ -110,19 +114,22 @@ class Tree:
                 stack.append((child, q[np.abs(distance - d) <= radius]))
 
 
-def components_of(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Component (the place of its first member) of each of some distinct fingerprints."""
-    label = np.arange(len(values))
+def components_of(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Component (the place of its first member) of each of some distinct fingerprints, and pairs within the radius that span them."""
+    label, joins = np.arange(len(values)), []
 
     def found(a: np.ndarray, b: np.ndarray) -> None:
         while True:
             x, y = label[a], label[b]
-            differ = x != y
-            if not differ.any():
+            differ = np.flatnonzero(x != y)
+            if not len(differ):
                 return
             low, high = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
+            order = np.lexsort((low, high))
+            order = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
             to = np.arange(len(label))
-            np.minimum.at(to, high, low)
+            to[high[order]] = low[order]
+            joins.append(np.stack([a[differ[order]], b[differ[order]]], 1))
             label[:] = to[label]
 
     tree = Tree(values, np.arange(len(values)))
@@ -130,11 +137,11 @@ def components_of(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         tree.visit(values, np.arange(at, min(at + 512, len(values))), radius, label, found)
     while (label[label] != label).any():
         label[:] = label[label]
-    return label
+    return label, np.concatenate(joins) if joins else np.zeros((0, 2), np.int64)
 
 
-def _links(batches):
-    """Stars of the components of each shard; rows come sorted by shard."""
+def _links(batches, radius: int, direct: bool):
+    """Links that span the components of each shard: stars, or pairs within the radius. Rows come sorted by shard."""
     key, value = np.zeros(0, np.int64), np.zeros(0, np.int64)
     ended = False
     batches = iter(batches)
@@ -154,39 +161,44 @@ def _links(batches):
         # pairs are trees of a parent and a child
         two = np.array([a for a, n in many if n == 2], np.int64)
         if len(two):
-            near = two[np.bitwise_count(value[two].view(np.uint64) ^ value[two + 1].view(np.uint64)) <= RADIUS]
-            left.append(np.minimum(value[near], value[near + 1]))
-            right.append(np.maximum(value[near], value[near + 1]))
+            near = two[np.bitwise_count(value[two].view(np.uint64) ^ value[two + 1].view(np.uint64)) <= radius]
+            left.append(value[near])
+            right.append(value[near + 1])
         for a, n in many:
             if n > 2:
                 own = np.unique(value[a : a + n])
-                label = components_of(own.view(np.uint64))
-                linked = label != np.arange(len(own))
-                left.append(own[label[linked]])
-                right.append(own[linked])
+                label, joins = components_of(own.view(np.uint64), radius)
+                linked = np.flatnonzero(label != np.arange(len(own)))
+                left.append(own[joins[:, 0] if direct else label[linked]])
+                right.append(own[joins[:, 1] if direct else linked])
         if left:
-            yield pa.RecordBatch.from_pydict({"low": pa.array(np.concatenate(left)), "high": pa.array(np.concatenate(right))})
+            x, y = np.concatenate(left), np.concatenate(right)
+            yield pa.RecordBatch.from_pydict({"low": pa.array(np.minimum(x, y)), "high": pa.array(np.maximum(x, y))})
         key, value = key[done:], value[done:]
 
 
-def shards(distinct: DataFrame) -> DataFrame:
-    """(shard, fp): each fingerprint in the 16 shards that its links may share."""
+def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
+    """(shard, fp): each fingerprint in all shards that its links may share.
+
+    Of radius + agree blocks of bits, two fingerprints within the radius agree on `agree` at least;
+    a shard is a choice of so many blocks and their bits.
+    """
+    n = radius + agree
+    edges = [round(64 * i / n) for i in range(n + 1)]
+    bits = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
     keys = []
-    for block in range(4):
-        own = F.shiftrightunsigned("fp", 16 * block).bitwiseAND(F.lit(0xFFFF))
-        high = F.shiftrightunsigned("fp", 16 * (block + 1)) if block < 3 else F.lit(0).cast("long")
-        low = F.col("fp").bitwiseAND(F.lit((1 << (16 * block)) - 1))
-        rest = F.shiftleft(high, 16 * block).bitwiseOR(low) if block else high
-        for part in range(4):
-            piece = F.shiftrightunsigned(rest, 12 * part).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.lit((4 * block + part) << 28).cast("long").bitwiseOR(F.shiftleft(own.cast("long"), 12)).bitwiseOR(piece.cast("long")))
+    for k, chosen in enumerate(itertools.combinations(range(n), agree)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(bits(i))
+        keys.append(key)
     return distinct.select(F.explode(F.array(*keys)).alias("shard"), "fp")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(low, high): links that span the components of fingerprints within RADIUS."""
-    dealt = shards(distinct).repartition("shard").sortWithinPartitions("shard", "fp")
-    return dealt.mapInArrow(_links, "low long, high long").distinct()
+def links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
+    """(low, high): links that span the components of fingerprints within the radius; with direct each one within it itself."""
+    dealt = shards(distinct, radius).repartition("shard").sortWithinPartitions("shard", "fp")
+    return dealt.mapInArrow(lambda batches: _links(batches, radius, direct), "low long, high long").distinct()
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -217,12 +229,52 @@ def components(prints: DataFrame) -> DataFrame:
     return prints.join(distinct.join(named, "class").select("fp", "class", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest id stays (null ids last, then the first row)."""
-    fp, row = common.free_name(docs, "_fp"), common.free_name(docs, "_row")
-    numbered = staged(fingerprints(docs, width, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
-    classed = components(numbered.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row")))
-    first = classed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
+def _shingles(text: str, words: int) -> set[bytes]:
+    own = text.encode().lower().split()
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (low, high) of rows whose texts' shingle sets have that Jaccard similarity at least. texts: row, text.
+
+    Texts move once to their pairs and once with them; only texts that are in pairs are moved the second time.
+    """
+    ends = pairs.select("low", "high", F.explode(F.array("low", "high")).alias("row"))
+    sides = texts.join(ends, "row").groupBy("low", "high").agg(F.collect_list("text").alias("both"))
+
+    def compared(batches):
+        for batch in batches:
+            low, high, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i, (a, b) in enumerate(batch.column(2).to_pylist()):
+                x, y = _shingles(a, words), _shingles(b, words)
+                if len(x & y) >= similarity * len(x | y):
+                    keep.append(i)
+            yield pa.RecordBatch.from_pydict({"low": pa.array([low[i] for i in keep], pa.int64()), "high": pa.array([high[i] for i in keep], pa.int64())})
+
+    return sides.select("low", "high", "both").mapInArrow(compared, "low long, high long")
+
+
+def keep_first(docs: DataFrame, width: int = SHINGLE, radius: int = KEEP_RADIUS, words: int = KEEP_WORDS, similarity: float = KEEP_SIMILARITY) -> DataFrame:
+    """docs without the near-duplicates: of each group the row with the smallest id stays (null ids last, then the first row).
+
+    Groups are connected by pairs of texts that SimHash brings together (radius differing bits at
+    most) and whose shingles of `words` words are similar enough. Equal texts are one vertex; texts
+    with equal fingerprints are compared with the first of them, others along the links that span
+    the fingerprints' components.
+    """
+    fp, row, same = (common.free_name(docs, x) for x in ("_fp", "_row", "_same"))
+    text = F.coalesce("text", F.lit(""))
+    numbered = staged(fingerprints(docs, width, fp).withColumns({row: F.monotonically_increasing_id(), same: F.xxhash64(text)}), "fingerprinted")
+    narrow = numbered.select("doc_id", F.col(fp).alias("fp"), F.col(same).alias("same"), F.col(row).alias("row"))
+    vertices = staged(narrow.groupBy("fp", "same").agg(F.min("row").alias("vertex")), "vertices")
+    heads = vertices.groupBy("fp").agg(F.min("vertex").alias("head"))
+    equal = vertices.join(heads, "fp").where("vertex != head").select(F.col("head").alias("low"), F.col("vertex").alias("high"))
+    near = links(heads.select("fp"), radius, direct=True)
+    near = near.join(heads.select(F.col("fp").alias("low"), F.col("head").alias("_a")), "low").join(heads.select(F.col("fp").alias("high"), F.col("head").alias("_b")), "high")
+    pairs = staged(equal.unionByName(near.select(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"))), "pairs")
+    rooted = contract(alike(pairs, numbered.select(F.col(row).alias("row"), text.alias("text")), words, similarity))
+    classes = vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select("fp", "same", F.coalesce("root", "vertex").alias("class"))
+    first = narrow.join(classes, ["fp", "same"]).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(first, row, "left_semi").select(*docs.columns)
 
 

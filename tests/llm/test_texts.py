@@ -232,7 +232,8 @@ def test_tree_components(n, spread):
     for _ in range(6):
         values ^= np.uint64(1) << rng.integers(0, spread, n).astype(np.uint64)
     values = np.unique(values)
-    label, want = simhash.components_of(values), brute_components([int(v) for v in values])
+    (label, pairs), want = simhash.components_of(values), brute_components([int(v) for v in values])
+    assert np.all(np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 1]]) <= 3) and len(pairs) >= len(values) - len(set(label.tolist()))
     assert len(set(zip(label.tolist(), want.values()))) == len(set(label.tolist())) == len(set(want.values()))
 
 
@@ -250,6 +251,33 @@ def test_keep_first(docs, odd):
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in rows) == [1, 2, 5, 6, 7, 7] and all(r.fp == "mine" for r in rows)
 
 
+def test_every_link_shares_a_shard(spark):
+    rnd = random.Random(5)
+    for radius in (3, 6):
+        pairs = []
+        for i in range(200):
+            a = rnd.getrandbits(64)
+            pairs.append((i, a, a ^ sum(1 << b for b in rnd.sample(range(64), radius))))
+        signed = [(v - (1 << 64) if v >> 63 else v,) for _, a, b in pairs for v in (a, b)]
+        of = defaultdict(set)
+        for r in simhash.shards(spark.createDataFrame(signed, "fp long"), radius).collect():
+            of[r.fp & (1 << 64) - 1].add(r.shard)
+        assert all(of[a] & of[b] for _, a, b in pairs)
+
+
+def test_keep_first_drops_near_copies(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for i in range(0, 60, 3):
+        words = [word() for _ in range(400)]
+        near, far = list(words), [w if k % 3 else word() for k, w in enumerate(words)]
+        near[50] = near[200] = "changed"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(near)), (i + 2, " ".join(far))]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i for i in range(60) if i % 3 != 1} <= kept and sum(i % 3 == 1 for i in kept) <= 1
+
+
 # mixing
 
 def brute_targets(sizes):
@@ -341,17 +369,17 @@ def test_language_model_sums_to_one(docs):
     block = pitman_yor.Block(made.first().asDict())
     answers = pitman_yor.answer_pairs(pitman_yor.ask_pairs(made, 1, {}), {}).cache()
     row = answers.where("kind = 'pairs'").first()
-    code = np.frombuffer(row.a, np.uint8)
+    code = np.frombuffer(pitman_yor.zlib.decompress(row.a), np.uint8)
     mass = np.where(code == 1, np.frombuffer(row.d, np.float32)[0], 0.0)
-    mass[code == 2] = np.frombuffer(row.b, np.float32)
+    mass[code == 2] = pitman_yor._spread(row.b, np.float32)
     heads = block.context[np.concatenate(([True], block.context[1:] != block.context[:-1]))]
-    back, whole = np.frombuffer(row.c, np.float32).reshape(2, -1)
+    back, whole = pitman_yor._spread(row.c, np.float32).reshape(2, -1)
     assert np.allclose(np.bincount(block.context, weights=mass)[heads] + back, whole, rtol=1e-4)
     assert np.array_equal(np.bincount(block.context, weights=block.pair_counts())[heads], whole)
     found = pitman_yor.answer_words(pitman_yor.ask_words(made, answers, 1)).cache()
     n, v, customers, held_back = np.frombuffer(found.where("kind = 'sums'").first().a)
     words = found.where("kind = 'words'").first()
-    count, parent = np.frombuffer(words.a, np.int64), np.frombuffer(words.b, np.float32)
+    count, parent = pitman_yor._spread(words.a, np.uint32).astype(np.int64), pitman_yor._spread(words.b, np.float32)
     assert (n, v) == (count.sum(), (count > 0).sum()) and math.isclose(parent.astype(float).sum() + held_back, customers, rel_tol=1e-4)
 
 
