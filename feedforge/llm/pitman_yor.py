@@ -18,8 +18,8 @@ tokens; a block asks for what it needs and gets it back by two exchanges:
 
 A context with more than a shard's share of all tokens is split over several shards by its
 followers; their number bounds the list of such contexts, which is all that the driver holds
-besides sums. Shards grow in number with the corpus. Tokens are named by 64-bit hashes, followers
-within a context by 48 of these bits.
+besides sums. Shards grow in number with the corpus. Words are counted by
+64-bit hashes; contexts and their followers are named by 48 of these bits.
 
 Null texts count as empty: one end token. Null ids count as the empty text for the split. Repeated
 rows are scored alike, and each counts in training. Without training tokens every word is unknown
@@ -28,6 +28,8 @@ and the base is uniform over it alone: scores are 0. Extra columns don't reach t
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,7 +41,7 @@ from .common import crc_bucket_py, staged
 
 MODULUS, HELD = 7, 2
 #: Text of a block, and tokens of a shard on average.
-BLOCK_BYTES, SHARD_TOKENS = 12 << 20, 2_000_000
+BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 3_000_000
 #: Concentrations of context restaurants and of their parent.
 CONTEXT_STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 SWEEPS, KEPT = 6, 4
@@ -50,8 +52,24 @@ BEGIN, END = _U(0x1B873593CC9E2D51), _U(0x85EBCA6BC2B2AE35)
 _LOW48 = _U((1 << 48) - 1)
 
 
-def _pack(**arrays: np.ndarray) -> list:
-    return [a.tobytes() for a in arrays.values()]
+def _squeeze(a: np.ndarray) -> bytes:
+    """Four-byte values by byte planes, compressed: small and repeated values take little."""
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _spread(value: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(value), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view(kind).ravel()
+
+
+def _cut48(a: np.ndarray) -> bytes:
+    """The low 48 bits of each hash."""
+    return (a & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((a >> _U(32)) & _U(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _join48(value: bytes) -> np.ndarray:
+    n = len(value) // 6
+    return np.frombuffer(value, np.uint32, n).astype(_U) | (np.frombuffer(value, np.uint16, n, 4 * n).astype(_U) << _U(32))
 
 
 def _un(value: bytes, kind) -> np.ndarray:
@@ -60,25 +78,30 @@ def _un(value: bytes, kind) -> np.ndarray:
 
 # blocks
 
-_BLOCK = "block long, doc_ids binary, nulls binary, held binary, sizes binary, words binary, counts binary, tokens binary, n_train long"
+_BLOCK = "block long, doc_ids binary, nulls binary, held binary, sizes binary, words binary, counts binary, tokens binary, n_train long, n_tokens long"
 
 
 def _block_row(block: int, ids: list, sizes: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
     """One block: its documents, its distinct words with their training counts, and its tokens as places among these."""
     size = np.concatenate(sizes).astype(np.int32)
-    words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+    words, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")  # frequent words get small places
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    words, tokens = words[order], place[tokens]
     held = np.array([crc_bucket_py(i, MODULUS) == HELD for i in ids])
     counts = np.bincount(tokens, weights=np.repeat(~held, size), minlength=len(words)).astype(np.uint32)
     none = np.array([i is None for i in ids])
     columns = {
         "block": pa.array([block], pa.int64()),
         **{
-            name: pa.array([a.tobytes()], pa.binary())
+            name: pa.array([a if isinstance(a, bytes) else a.tobytes()], pa.binary())
             for name, a in (
-                ("doc_ids", np.array([i or 0 for i in ids], np.int64)), ("nulls", none), ("held", held), ("sizes", size), ("words", words), ("counts", counts), ("tokens", tokens.astype(np.uint32)),
+                ("doc_ids", np.array([i or 0 for i in ids], np.int64)), ("nulls", none), ("held", held), ("sizes", size), ("words", words), ("counts", _squeeze(counts)), ("tokens", _squeeze(tokens.astype(np.uint32))),
             )
         },
         "n_train": pa.array([int(counts.sum())], pa.int64()),
+        "n_tokens": pa.array([len(tokens)], pa.int64()),
     }
     return pa.RecordBatch.from_pydict(columns)
 
@@ -111,7 +134,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 class Block:
     def __init__(self, row: dict):
-        self.words, self.counts, self.tokens = _un(row["words"], _U), _un(row["counts"], np.uint32), _un(row["tokens"], np.uint32).astype(np.int64)
+        self.words, self.counts, self.tokens = _un(row["words"], _U), _spread(row["counts"], np.uint32), _spread(row["tokens"], np.uint32).astype(np.int64)
         self.sizes, self.held = _un(row["sizes"], np.int32), _un(row["held"], bool)
         self.ends = np.cumsum(self.sizes)
         n = len(self.words)
@@ -152,7 +175,7 @@ def hot_contexts(made: DataFrame, shards: int) -> dict[int, int]:
     def named(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = _un(row["words"], _U), _un(row["counts"], np.uint32)
+                words, counts = _un(row["words"], _U), _spread(row["counts"], np.uint32)
                 much = words[counts * float(shards) >= max(1, row["n_train"])]
                 yield pa.RecordBatch.from_pydict({"word": pa.array(much.view(np.int64))})
 
@@ -164,9 +187,10 @@ def hot_contexts(made: DataFrame, shards: int) -> dict[int, int]:
         total = np.zeros(len(keys), np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = _un(row["words"], _U), _un(row["counts"], np.uint32)
-                at = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
-                total += np.where(words[at] == keys, counts[at], 0)
+                words, counts = _un(row["words"], _U), _spread(row["counts"], np.uint32)
+                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+                mine = keys[at] == words
+                np.add.at(total, at[mine], counts[mine])
         yield pa.RecordBatch.from_pydict({"word": pa.array(keys.view(np.int64)), "n": pa.array(total)})
 
     if not len(keys):
@@ -230,7 +254,7 @@ def seat(context: np.ndarray, follower: np.ndarray, customers: np.ndarray, rng:
 
 # exchange with the shards of contexts
 
-_ASK = "block long, shard long, contexts binary, lengths binary, low binary, high binary, counts binary"
+_ASK = "block long, shard long, contexts binary, lengths binary, followers binary, places binary, counts binary"
 
 
 def ask_pairs(made: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
@@ -248,8 +272,9 @@ def ask_pairs(made: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
                         continue
                     context = block.context[at]
                     heads = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-                    word = block.words[block.follower[at]] & _LOW48
-                    out.append((row["block"], s, *_pack(a=block.context_hash[context[heads]], b=np.diff(np.append(heads, len(at))).astype(np.uint32), c=(word & _U(0xFFFFFFFF)).astype(np.uint32), d=(word >> _U(32)).astype(np.uint16), e=counts[at])))
+                    followers, place = np.unique(block.follower[at], return_inverse=True)
+                    lengths = np.diff(np.append(heads, len(at))).astype(np.uint32)
+                    out.append((row["block"], s, _cut48(block.context_hash[context[heads]]), _squeeze(lengths), _cut48(block.words[followers]), _squeeze(place.astype(np.uint32)), _squeeze(counts[at])))
                 yield _record(out, _ASK)
 
     return made.mapInArrow(asked, _ASK)
@@ -269,13 +294,14 @@ _ANSWER = "kind string, block long, shard long, a binary, b binary, c binary, d
 
 
 def answer_pairs(asks: DataFrame, hot: dict[int, int]) -> DataFrame:
-    split = np.array(sorted(hot), _U)
+    split = np.array(sorted(hot), _U) & _LOW48
 
     def answered(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        context = np.concatenate([np.repeat(_un(r["contexts"], _U), _un(r["lengths"], np.uint32)) for r in rows])
-        word = np.concatenate([_un(r["low"], np.uint32).astype(_U) | (_un(r["high"], np.uint16).astype(_U) << _U(32)) for r in rows])
-        count = np.concatenate([_un(r["counts"], np.uint32) for r in rows])
+        context = np.concatenate([np.repeat(_join48(r["contexts"]), _spread(r["lengths"], np.uint32)) for r in rows])
+        word = np.concatenate([_join48(r["followers"])[_spread(r["places"], np.uint32)] for r in rows])
+        counts = [_spread(r["counts"], np.uint32) for r in rows]
+        count = np.concatenate(counts)
         contexts, context = np.unique(context, return_inverse=True)
         words, follower = np.unique(word, return_inverse=True)
         del word
@@ -292,16 +318,15 @@ def answer_pairs(asks: DataFrame, hot: dict[int, int]) -> DataFrame:
         # codes: 0 without customers, 1 for one, 2 for a mass that follows among the extra ones
         code = np.minimum(customers, 2).astype(np.uint8)
         out, at = [], 0
-        for r in rows:
-            n = len(r["counts"]) // 4
+        for r, n in zip(rows, map(len, counts), strict=True):
             mine = place[at : at + n]
-            own = np.searchsorted(contexts, _un(r["contexts"], _U))
+            own = np.searchsorted(contexts, _join48(r["contexts"]))
             codes = code[mine]
-            out.append(("pairs", r["block"], r["shard"], codes.tobytes(), mass[mine[codes == 2]].tobytes(), np.stack([held_back[own], total[own]]).astype(np.float32).tobytes(), np.float32(1 - d).tobytes()))
+            out.append(("pairs", r["block"], r["shard"], zlib.compress(codes.tobytes(), 1), _squeeze(mass[mine[codes == 2]]), _squeeze(np.concatenate([held_back[own], total[own]]).astype(np.float32)), np.float32(1 - d).tobytes()))
             at += n
         of_word = np.bincount(p_follower, weights=tables, minlength=len(words))
         used = of_word > 0
-        out.append(("tables", None, rows[0]["shard"], words[used].tobytes(), of_word[used].astype(np.float32).tobytes(), None, None))
+        out.append(("tables", None, rows[0]["shard"], _cut48(words[used]), _squeeze(of_word[used].astype(np.float32)), None, None))
         mine = np.isin(contexts, split)
         if mine.any():
             out.append(("hot", None, rows[0]["shard"], contexts[mine].tobytes(), held_back[mine].tobytes(), total[mine].tobytes(), None))
@@ -328,14 +353,14 @@ def ask_words(made: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
     def of_blocks(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = _un(row["words"], _U), _un(row["counts"], np.uint32)
-                yield _record([(row["block"], s, words[at].tobytes(), counts[at].tobytes()) for s, at in parts(words)], _WORDS)
+                words, counts = _un(row["words"], _U), _spread(row["counts"], np.uint32)
+                yield _record([(row["block"], s, words[at].tobytes(), _squeeze(counts[at])) for s, at in parts(words)], _WORDS)
 
     def of_tables(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, tables = _un(row["a"], _U), _un(row["b"], np.float32)
-                yield _record([(None, s, words[at].tobytes(), tables[at].tobytes()) for s, at in parts(words)], _WORDS)
+                words, tables = _join48(row["a"]), _spread(row["b"], np.float32)
+                yield _record([(None, s, _cut48(words[at]), _squeeze(tables[at])) for s, at in parts(words)], _WORDS)
 
     return made.select("block", "words", "counts").mapInArrow(of_blocks, _WORDS).unionByName(answers.where("kind = 'tables'").select("a", "b").mapInArrow(of_tables, _WORDS))
 
@@ -349,13 +374,13 @@ def answer_words(asks: DataFrame) -> DataFrame:
         low = [r for r in rows if r["block"] is None]
         hashes = [_un(r["words"], _U) for r in asked]
         words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([_un(r["counts"], np.uint32) for r in asked]), minlength=len(words)).astype(np.int64)
+        count = np.bincount(place, weights=np.concatenate([_spread(r["counts"], np.uint32) for r in asked]), minlength=len(words)).astype(np.int64)
         order = np.argsort(words & _LOW48, kind="stable")
         keys = (words & _LOW48)[order]
         customers = np.zeros(len(words))
         for r in low:
-            at = np.searchsorted(keys, _un(r["words"], _U))
-            np.add.at(customers, order[np.minimum(at, len(order) - 1)], _un(r["counts"], np.float32))
+            at = np.searchsorted(keys, _join48(r["words"]))
+            np.add.at(customers, order[np.minimum(at, len(order) - 1)], _spread(r["counts"], np.float32))
         rng = np.random.default_rng([SEED + 1, rows[0]["shard"]])
         whole = np.maximum(np.round(customers), count > 0).astype(np.int64)
         known = np.flatnonzero(count)
@@ -369,7 +394,8 @@ def answer_words(asks: DataFrame) -> DataFrame:
         out, at = [], 0
         for r, h in zip(asked, hashes, strict=True):
             mine = place[at : at + len(h)]
-            out.append(("words", r["block"], r["shard"], count[mine].tobytes(), mass[mine].tobytes(), None, None))
+            whole_count = count[mine].astype(np.uint64)
+            out.append(("words", r["block"], r["shard"], _squeeze((whole_count & _U(0xFFFFFFFF)).astype(np.uint32)), _squeeze(mass[mine]), _squeeze((whole_count >> _U(32)).astype(np.uint32)), None))
             at += len(h)
         held_back = float(whole[known].sum()) - float(mass.astype(float).sum())
         out.append(("sums", None, rows[0]["shard"], np.array([count.sum(), n, whole[known].sum(), held_back], float).tobytes(), None, None, None))
@@ -405,19 +431,20 @@ def scores(made: DataFrame, answers: DataFrame, found: DataFrame, shards: int, h
         for r in got:
             if r["kind"] == "words":
                 at = np.flatnonzero(w_shard == r["shard"])
-                count[at], parent[at] = np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.float32)
+                count[at] = _spread(r["a"], np.uint32).astype(np.int64) + (_spread(r["c"], np.uint32).astype(np.int64) << 32)
+                parent[at] = _spread(r["b"], np.float32)
             else:
                 at = np.flatnonzero(p_shard == r["shard"])
-                code = np.frombuffer(r["a"], np.uint8)
+                code = np.frombuffer(zlib.decompress(r["a"]), np.uint8)
                 value = np.where(code == 1, np.frombuffer(r["d"], np.float32)[0], 0).astype(float)
-                value[code == 2] = np.frombuffer(r["b"], np.float32)
+                value[code == 2] = _spread(r["b"], np.float32)
                 mass[at] = value
                 context = block.context[at]
                 heads = context[np.concatenate(([True], context[1:] != context[:-1]))]
-                parts = np.frombuffer(r["c"], np.float32).reshape(2, -1)
+                parts = _spread(r["c"], np.float32).reshape(2, -1)
                 back[heads], all_[heads] = parts[0], parts[1]
         for key, (b, a) in split.items():
-            at = np.flatnonzero(block.context_hash == _U(key))
+            at = np.flatnonzero((block.context_hash & _LOW48) == _U(key))
             back[at], all_[at] = b, a
         p1 = (parent + unseen) / (PARENT_STRENGTH + customers)
         p2 = (mass + (CONTEXT_STRENGTH + back[block.context]) * p1[block.follower]) / (CONTEXT_STRENGTH + all_[block.context])
@@ -438,7 +465,7 @@ def scores(made: DataFrame, answers: DataFrame, found: DataFrame, shards: int, h
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     made = staged(blocks(docs, block_bytes), "blocks")
-    shards = max(1, -(-int(made.agg(F.sum(F.length("tokens")).alias("n")).first().n or 0) // (4 * shard_tokens)))
+    shards = max(1, -(-int(made.agg(F.sum("n_tokens").alias("n")).first().n or 0) // shard_tokens))
     hot = hot_contexts(made, shards)
     answers = staged(answer_pairs(ask_pairs(made, shards, hot), hot), "pair-answers")
     found = staged(answer_words(ask_words(made, answers, shards)), "word-answers")
