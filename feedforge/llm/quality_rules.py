@@ -25,7 +25,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Least calibrated probability of label 1 that keeps a document.
 KEEP_AT = 0.5
 #: Bound of the sample of labelled rows, and of the bytes of one document in it.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1 << 16
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 14
 BITS = 18
 KINDS = 5
 
@@ -122,36 +122,34 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int
     label = np.array([r._label for r in got])
     if len(set(label.tolist())) < 2:
         return None
-    parts: list[list] = [[] for _ in range(KINDS)]
-    at = 0
-    while at < len(got):
+    n, size = len(got), KINDS << BITS
+    parts: list[tuple] = []
+    for at in range(0, n, 50):
         texts = bytekit.Texts([bytes(r.text) for r in got[at : at + 50]])
         for kind, (bounds, slots) in enumerate(_grams(texts)):
             low, high = bounds if isinstance(bounds, tuple) else (bounds[:-1], bounds[1:])
             for i, (a, b) in enumerate(zip(low, high, strict=True)):
                 slot, count = np.unique(slots[a:b], return_counts=True)
-                parts[kind].append((np.full(len(slot), at + i, np.int32), slot, (count / max(1, b - a)).astype(np.float32)))
-        at += 50
-    rows_, slots_, values = (np.concatenate([p[i] + (k << BITS if i == 1 else 0) for k in range(KINDS) for p in parts[k]]) for i in range(3))
-    apart = np.arange(len(got)) % 5 == 4
+                parts.append((np.full(len(slot), at + i, np.int32), slot + np.int32(kind << BITS), (count / max(1, b - a)).astype(np.float32)))
+    del got
+    rows_, slots_, values = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    del parts
+    apart = np.arange(n) % 5 == 4
     fitted = ~apart
-    n, size = len(got), KINDS << BITS
-    used, slots_ = np.unique(slots_, return_inverse=True)
-    gain = 20.0
+    gain = np.float32(20.0)
+
+    def margins(w):
+        return np.bincount(rows_, weights=values * w[slots_], minlength=n) * gain + w[-1]
 
     def gradient(w):
-        margin = np.bincount(rows_, weights=values * w[slots_], minlength=n) * gain + w[-1]
-        error = np.where(fitted, sigmoid(margin) - label, 0) / fitted.sum()
+        error = (np.where(fitted, sigmoid(margins(w)) - label, 0) / fitted.sum()).astype(np.float32)
         out = np.empty_like(w)
-        out[:-1] = np.bincount(slots_, weights=error[rows_] * values, minlength=len(used)) * gain + 1e-7 * w[:-1]
+        out[:-1] = np.bincount(slots_, weights=error[rows_] * values, minlength=size) * gain + 1e-7 * w[:-1]
         out[-1] = error.sum()
         return out
 
-    w = adam(gradient, np.zeros(len(used) + 1), 60, 0.3)
-    margin = np.bincount(rows_, weights=values * w[slots_], minlength=n) * gain + w[-1]
-    weights = np.zeros(size, np.float32)
-    weights[used] = w[:-1] * gain
-    return GramQuality(weights.reshape(KINDS, -1), float(w[-1]), platt(margin[apart], label[apart]))
+    w = adam(gradient, np.zeros(size + 1, np.float32), 60, 0.3)
+    return GramQuality((w[:-1] * gain).reshape(KINDS, -1), float(w[-1]), platt(margins(w)[apart], label[apart]))
 
 
 def judge(docs: DataFrame, model: GramQuality | None, keep_at: float = KEEP_AT) -> DataFrame:
