@@ -41,6 +41,8 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 KEEP_RADIUS, KEEP_WORDS, KEEP_SIMILARITY = 6, 5, 0.8
 #: Fingerprints below a tree's node that are scanned flat.
 LEAF = 64
+#: Pairs across classes that a vertex has compared in a shard at once, and how many times more each round over what is left.
+ROUND, GROWTH = 8, 8
 
 
 def fingerprint_of(blobs: list[bytes], width: int = SHINGLE) -> np.ndarray:
@@ -177,8 +179,74 @@ def _links(batches, radius: int, direct: bool):
         key, value = key[done:], value[done:]
 
 
-def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFrame:
-    """(shard, fp): each fingerprint in all shards that its links may share.
+def _apart(batches, radius: int, most: int):
+    """Pairs of vertices within the radius whose classes differ, in a shard `most` at most found from each vertex; a null pair says that there were more.
+
+    Rows come sorted by shard: shard, fp, vertex, class. Vertices of one class are never held against
+    each other, and the largest class of a shard is only searched, so near copies of one text that
+    are together already cost what the others in the shard cost.
+    """
+    rest = [np.zeros(0, np.int64)] * 4
+    ended, batches = False, iter(batches)
+    while not ended:
+        batch = next(batches, None)
+        ended = batch is None
+        if not ended:
+            rest = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(rest)]
+        key = rest[0]
+        if not len(key):
+            continue
+        done = len(key) if ended else int(np.searchsorted(key, key[-1]))
+        if not done:
+            continue
+        (key, value, vertex, own), rest = (a[:done] for a in rest), [a[done:] for a in rest]
+        order = np.lexsort((own, key))
+        starts, sizes = _runs(key[order], own[order])
+        order = order[np.lexsort((own[order], np.repeat(sizes, sizes), key[order]))]
+        key, value, vertex, own = key[order], value[order].view(np.uint64), vertex[order], own[order]
+        starts, sizes = _runs(key, own)
+        to = np.repeat(starts + sizes, sizes)
+        starts, sizes = _runs(key)
+        end = np.repeat(starts + sizes, sizes)
+        at = np.flatnonzero(to < end)
+        to, end = to[at], end[at]
+        taken, over = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        left, right, n = [], [], 0
+        while len(at):
+            near = np.bitwise_count(value[at] ^ value[to]) <= radius
+            a, b = at[near], to[near]
+            fits = taken[a] < most
+            over[a[~fits]] = True
+            taken[a] += 1
+            left.append(vertex[a[fits]])
+            right.append(vertex[b[fits]])
+            n += len(left[-1])
+            if n > 1 << 20:
+                yield _pairs(left, right)
+                left, right, n = [], [], 0
+            to = to + 1
+            go = (to < end) & ~over[at]
+            at, to, end = at[go], to[go], end[go]
+        if n:
+            yield _pairs(left, right)
+        if over.any():
+            yield pa.RecordBatch.from_pydict({"low": pa.nulls(1, pa.int64()), "high": pa.nulls(1, pa.int64())})
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal rows."""
+    n = len(columns[0])
+    starts = np.flatnonzero(np.concatenate(([n > 0], np.any([c[1:] != c[:-1] for c in columns], axis=0)))[:n])
+    return starts, np.diff(np.append(starts, n))
+
+
+def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = np.concatenate(left), np.concatenate(right)
+    return pa.RecordBatch.from_pydict({"low": pa.array(np.minimum(x, y)), "high": pa.array(np.maximum(x, y))})
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2, kept: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(shard, *kept): each fingerprint in all shards that its links may share.
 
     Of radius + agree blocks of bits, two fingerprints within the radius agree on `agree` at least;
     a shard is a choice of so many blocks and their bits.
@@ -192,7 +260,7 @@ def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2) -> DataFra
         for i in chosen:
             key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(bits(i))
         keys.append(key)
-    return distinct.select(F.explode(F.array(*keys)).alias("shard"), "fp")
+    return distinct.select(F.explode(F.array(*keys)).alias("shard"), *kept)
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
@@ -201,6 +269,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> Da
     return dealt.mapInArrow(lambda batches: _links(batches, radius, direct), "low long, high long").distinct()
 
 
+def apart(vertices: DataFrame, radius: int, most: int) -> DataFrame:
+    """(low, high): pairs of vertices (fp, vertex, class) within the radius and in different classes; a null pair if `most` left some out."""
+    dealt = shards(vertices, radius, kept=("fp", "vertex", "class")).repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(lambda batches: _apart(batches, radius, most), "low long, high long").distinct()
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root): for each node with a link but the least of its component, that least one."""
     edges = staged(edges.select(F.greatest("low", "high").alias("node"), F.least("low", "high").alias("root")), "links")
@@ -258,9 +332,10 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, radius: int = KEEP_RADIUS,
     """docs without the near-duplicates: of each group the row with the smallest id stays (null ids last, then the first row).
 
     Groups are connected by pairs of texts that SimHash brings together (radius differing bits at
-    most) and whose shingles of `words` words are similar enough. Equal texts are one vertex; texts
-    with equal fingerprints are compared with the first of them, others along the links that span
-    the fingerprints' components.
+    most) and whose shingles of `words` words are similar enough. Equal texts are one vertex. What
+    spans the fingerprints' components is compared first (texts with equal fingerprints with the
+    first of them), which joins most near copies; then every pair within the radius that still
+    spans two classes, in rounds that leave out fewer, until none is left that wasn't compared.
     """
     fp, row, same = (common.free_name(docs, x) for x in ("_fp", "_row", "_same"))
     text = F.coalesce("text", F.lit(""))
@@ -272,7 +347,18 @@ def keep_first(docs: DataFrame, width: int = SHINGLE, radius: int = KEEP_RADIUS,
     near = links(heads.select("fp"), radius, direct=True)
     near = near.join(heads.select(F.col("fp").alias("low"), F.col("head").alias("_a")), "low").join(heads.select(F.col("fp").alias("high"), F.col("head").alias("_b")), "high")
     pairs = staged(equal.unionByName(near.select(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"))), "pairs")
-    rooted = contract(alike(pairs, numbered.select(F.col(row).alias("row"), text.alias("text")), words, similarity))
+    texts = numbered.select(F.col(row).alias("row"), text.alias("text"))
+    rooted = contract(alike(pairs, texts, words, similarity))
+    most, more = ROUND, True
+    while more:
+        classes = staged(vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select("fp", "same", "vertex", F.coalesce("root", "vertex").alias("class")), "classes")
+        found = staged(apart(classes, radius, most), "apart")
+        more = not found.where("low IS NULL").isEmpty()
+        fresh = staged(found.where("low IS NOT NULL").join(pairs, ["low", "high"], "left_anti"), "fresh")
+        pairs, most = pairs.unionByName(fresh), most * GROWTH
+        good = staged(alike(fresh, texts, words, similarity), "alike")
+        if not good.isEmpty():
+            rooted = contract(rooted.select(F.col("root").alias("low"), F.col("node").alias("high")).unionByName(good))
     classes = vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select("fp", "same", F.coalesce("root", "vertex").alias("class"))
     first = narrow.join(classes, ["fp", "same"]).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(first, row, "left_semi").select(*docs.columns)

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -278,6 +279,47 @@ def test_keep_first_drops_near_copies(spark):
     assert {i for i in range(60) if i % 3 != 1} <= kept and sum(i % 3 == 1 for i in kept) <= 1
 
 
+@pytest.mark.parametrize("most", [1, 8])
+def test_keep_first_compares_every_link(spark, monkeypatch, most):
+    """Copies of one text that are similar to it but not to each other: no link within the radius may go uncompared."""
+    monkeypatch.setattr(simhash, "ROUND", most, raising=False)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    made = []
+    for _ in range(6):
+        words = [word() for _ in range(300)]
+        made.append(" ".join(words))
+        for _ in range(12):
+            copy = list(words)
+            for k in rnd.sample(range(10, 290, 10), 6):
+                copy[k] = word()
+            made.append(" ".join(copy))
+    rnd.shuffle(made)
+    prints, sets = [brute_print(t) for t in made], [simhash._shingles(t, 5) for t in made]
+    root = list(range(len(made)))
+    for a in range(len(made)):
+        for b in range(a + 1, len(made)):
+            if (prints[a] ^ prints[b]).bit_count() <= 6 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)).collect()}
+    assert len(set(root)) < len(made) and kept == set(root)
+
+
+def test_pairs_apart_by_brute_force():
+    rng = np.random.default_rng(4)
+    n = 3000
+    key, value, own = np.sort(rng.integers(0, 60, n) ** 2 // 40), rng.integers(0, 1 << 9, n), rng.integers(0, 4, n) ** 3
+    rows = pa.RecordBatch.from_pydict({"shard": key, "fp": value, "vertex": np.arange(n), "class": own})
+    parts = [rows.slice(at, 170) for at in range(0, n, 170)]
+    near = (np.bitwise_count(value[:, None] ^ value[None]) <= 2) & (key[:, None] == key[None]) & (own[:, None] != own[None])
+    want = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(near))) if a < b}
+    got = [p for b in simhash._apart(parts, 2, n) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(got) == len(want) and set(got) == want
+    some = {p for b in simhash._apart(parts, 2, 3) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert (None, None) in some and some - {(None, None)} < want
+
+
 # mixing
 
 def brute_targets(sizes):
