@@ -41,3 +41,16 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
+GRAPH = ["graph_edges", "graph_degree", "graph_components", "graph_modularity", "top_subgraph_edges", "top_degree_nodes", "component_sizes"]
+
+
+@pytest.mark.parametrize("name", GRAPH)
+def test_graph_rows_where_edges_exist(spark, name):
+    """No edge of the smallest table is heavy enough, so there the graph queries only compare empty results."""
+    con, at = duckdb.connect(), "/root/testdata/sf0.01"
+    for table in os.listdir(at):
+        con.execute(f"CREATE VIEW {table[:-8]} AS SELECT * FROM '{at}/{table}'")
+    got, want = registry.QUERIES[name](spark, at).toPandas(), con.execute(registry.ORACLE_SQL[name]).fetchdf()
+    assert len(want) > 0 and rows(got) == rows(want)
