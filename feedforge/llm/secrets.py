@@ -8,7 +8,10 @@ Base kinds are found by pattern alone. The method adds spans that are confirmed
   second to a JSON object; the signature may be empty only for the algorithm "none".
 * key: a bare base64 or hexadecimal run that decodes to a DER private or public key structure
   (a sequence whose nested lengths add up, with a version or an algorithm identifier in front), or
-  to SSH key fields.
+  to SSH key fields. Base64 may be wrapped: lines are joined up to the one that ends the structure.
+
+Lines of a pem or a key may also be parted by backslash-n or backslash-r as written in JSON or
+settings files, and may have quote marks (>) in front.
 
 Spans are code point offsets, end exclusive. Letters in patterns are ASCII ones. Null texts count
 as empty and have no spans; repeated rows get equal results. Extra columns pass through; a column
@@ -36,10 +39,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "pem", "token", "key")
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.>-]|\\+[nr])*?)-----END \1-----")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{38,}={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+_PARTS = re.compile(r"(?:[\s>]|\\+[nr])+")
+_NEXT = re.compile(r"[ \t>]*(?:\r?\n|\r|(?:\\+r)?\\+n|\\+r)[ \t>]*([A-Za-z0-9+/]+={0,2})")
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{38,}={0,2}")
+_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[Ff]70656[Ee]7373682[Dd])[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+_CONTAINER = b"openssh-key-v1\0"
+_SSH_NAME = re.compile(rb"\0\0\0[\x05-\x40](?:ssh|ecdsa|sk)-")
 _HINTS = ("eyJ", "PRIVATE KEY-----")
 
 
@@ -99,12 +106,13 @@ def is_der_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """Length-prefixed fields that fill data, the first one naming an algorithm; or an OpenSSH container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        data = data[15:]
+    held = data.startswith(_CONTAINER)
+    if held:
+        data = data[len(_CONTAINER) :]
     at, fields = 0, []
     while at < len(data):
         if at + 4 > len(data):
-            return len(fields) > 3
+            return held and len(fields) > 3
         size = int.from_bytes(data[at : at + 4])
         if at + 4 + size > len(data):
             return False
@@ -115,6 +123,46 @@ def is_ssh_key(data: bytes) -> bool:
     return len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
 
 
+def _key_ends(data: bytes) -> list[int]:
+    """Where a DER element, an OpenSSH container or the fields of an SSH key that data begins with may end."""
+    if data[:1] == b"\x30":
+        n = data[1] & 0x7F if data[1] & 0x80 else 0
+        return [2 + n + (int.from_bytes(data[2 : 2 + n]) if n else data[1])] if n <= 4 else []
+    held = data.startswith(_CONTAINER)
+    if not held and not _SSH_NAME.match(data):
+        return []
+    at, ends = len(_CONTAINER) * held, []
+    while at + 4 <= len(data):
+        if held and len(ends) == 3:  # the number of keys stands between the fields
+            at += 4
+        at += 4 + int.from_bytes(data[at : at + 4])
+        ends.append(at)
+    return ends
+
+
+def _wrapped_end(text: str, m: re.Match) -> int | None:
+    """Where a key whose base64 goes on over lines after the match ends, if it is one."""
+    first = m[0][: len(m[0]) // 4 * 4]
+    head = _base64(first)
+    if m[0].endswith("=") or not head or not (ends := _key_ends(head)):
+        return None
+    need = (4 * ends[0] + 2) // 3 if head[0] == 0x30 else None
+    lines, size, stops = [m[0]], len(m[0]), []
+    at = m.end()
+    while (need is None or size < need) and not lines[-1].endswith("=") and (line := _NEXT.match(text, at)):
+        lines.append(line[1])
+        size, at = size + len(line[1].rstrip("=")), line.end()
+        stops.append((size, at))
+    joined = "".join(lines).rstrip("=")
+    if need is None:
+        ends = _key_ends(_base64(joined[: size // 4 * 4]) or b"")
+    sizes = {(4 * end + 2) // 3 for end in ends}
+    for size, at in reversed(stops):
+        if size in sizes and (data := _base64(joined[:size])) and (is_der_key(data) or is_ssh_key(data)):
+            return at
+    return None
+
+
 def is_signed_token(header: str, body: str, signature: str) -> bool:
     try:
         head, claims = (json.loads(x) if (x := _base64(part, url=True)) else None for part in (header, body))
@@ -136,18 +184,21 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if _HINTS[1] in text:
         for m in _PEM.finditer(text):
-            body = "".join(line for line in re.split(r"\s+", m[2]) if ":" not in line and "," not in line)
+            body = "".join(line for line in _PARTS.split(m[2]) if ":" not in line and "," not in line)
             data = _base64(body)
             if data and (is_der_key(data) or is_ssh_key(data) or ("ENCRYPTED" in m[0] and len(data) % 8 == 0 and len(data) >= 32)):
                 out.append(("pem", *m.span()))
+    armoured = list(out)
     if _HINTS[0] in text:
         out += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
     for m in _BASE64.finditer(text):
         data = _base64(m[0])
-        if data and (is_der_key(data) or is_ssh_key(data)):
+        if not any(a <= m.start() < b for _, a, b in armoured) and (end := _wrapped_end(text, m)):
+            out.append(("key", m.start(), end))
+        elif data and (is_der_key(data) or is_ssh_key(data)):
             out.append(("key", *m.span()))
     for m in _HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
+        if len(m[0]) % 2 == 0 and (is_der_key(data := bytes.fromhex(m[0])) or is_ssh_key(data)):
             out.append(("key", *m.span()))
     return out
 
