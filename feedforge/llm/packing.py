@@ -22,7 +22,6 @@ import zlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -212,13 +211,15 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     shards = max(1, -(-docs.count() // shard_pieces))
     cut = staged(pieces(docs, path, shards, capacity, end_id), "pieces")
 
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
-        windows, offsets = best_fit(group["length"].tolist(), capacity)
-        return group.assign(sequence_id=group["shard"] * (1 << 32) + windows, offset=offsets).drop(columns="shard")
-
     out = [c for c in _COLUMNS if c != "shard"]
-    rest = cut.where("shard is not null").groupBy("shard").applyInPandas(packed, ", ".join(f"{c} long" for c in out))
+
+    def packed(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        windows, offsets = best_fit(group["length"].to_pylist(), capacity)
+        sequence = np.array(windows, np.int64) + (group["shard"][0].as_py() << 32)
+        return group.set_column(group.schema.get_field_index("sequence_id"), "sequence_id", pa.array(sequence)).set_column(group.schema.get_field_index("offset"), "offset", pa.array(offsets, pa.int64())).select(out)
+
+    rest = cut.where("shard is not null").groupBy("shard").applyInArrow(packed, ", ".join(f"{c} long" for c in out))
     return cut.where("shard is null").select(*out).unionByName(rest)
 
 
