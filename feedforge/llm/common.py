@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import binascii
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where the setting is absent (tests, one machine)."""
+    """The cluster's shared folder; a local one where the setting is absent and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="feedforge-shared-"))
         found = _own_dir[0]
@@ -38,18 +41,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
-    Cuts lineage: a lost executor costs a re-read, not a recomputation of what came before.
+    Cuts lineage: a lost executor costs a re-read, not a recomputation of what came before. Turns on
+    the session setting that deletes shuffle files once a query ends. `discard` deletes the table.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # what was shuffled for the table goes once it is written
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    if spark.conf.get(_CLEANUP, None) != "true":
+        spark.conf.set(_CLEANUP, "true")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        at = getattr(df, "_staged_at", None)
+        if at is not None:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
