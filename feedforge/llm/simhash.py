@@ -6,18 +6,23 @@ set in over half the shingles' XXH64. Two fingerprints link at RADIUS or fewer d
 Links are found among distinct fingerprints, so exact copies cost nothing after one aggregate.
 With radius 3, two linked fingerprints agree on two at least of five blocks of 13 bits. Each
 fingerprint therefore goes to ten shards, named by the 25 or 26 bits that must agree, and every
-link lies in one shard at least: exact, without any cap. In its
-shard a BK-tree (children keyed by their Hamming distance to the parent) is searched for every
-fingerprint, following only the edges within the radius. The trees stay in the task that owns
-their shard instead of being broadcast, since the trees of all fingerprints have no size bound.
-Parts of a tree that already belong to the query's component are skipped, so a dense shard of
-near copies costs about one scan for each of its levels; a shard emits a star for each
-component, never all pairs.
+link lies in one shard at least: exact, without any cap. A shard of more than DENSE members isn't
+searched but dealt again by further bits in the same way, so that no task holds a whole hot key.
+
+In every shard, from two members on, a BK-tree (children keyed by their Hamming distance to the
+parent) is built and searched for every fingerprint, following only the edges within the radius.
+The trees of many shards are built and searched side by side, level by level, in arrays. They stay
+in the task that owns their shard instead of being broadcast: together they hold the fingerprints
+of all documents, which have no size bound and must not pass through the driver. Subtrees that
+already belong to the query's component are skipped, and a shard emits a spanning forest of its
+links, never all pairs.
 
 Components are found by alternating large-star and small-star contraction of the links in staged
 tables until nothing changes; group minima are aggregates joined back, so that a hub is never
 collected and skewed joins are split.
 
+`keep_first` drops near-duplicates: SimHash brings texts together, five-word shingles decide.
+
 Null texts count as empty; texts without words have fingerprint zero and link like any other.
 Null ids never name a component: a component of null ids only has a null component_id. Repeated
 rows and equal ids share fingerprint classes by text. Extra columns don't reach `components`.
@@ -34,40 +39,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytekit, common
-from .common import staged
+from .common import discard, staged
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: What brings texts together, and what then makes them near-duplicates, where one of each group is kept.
-KEEP_RADIUS, KEEP_WORDS, KEEP_SIMILARITY = 6, 5, 0.8
-#: Fingerprints below a tree's node that are scanned flat.
-LEAF = 64
-#: Pairs across classes that a vertex has compared in a shard at once, and how many times more each round over what is left.
-ROUND, GROWTH = 8, 8
+#: What brings texts together: fingerprints of distinct words and of distinct word pairs, at so many differing bits.
+KEEP_RADIUS, KEEP_WIDTHS = 6, (1, 2)
+#: What then makes them near-duplicates.
+KEEP_WORDS, KEEP_SIMILARITY = 5, 0.8
+#: Members from which a shard is dealt again by further bits.
+DENSE = 20_000
+#: Members of the small shards that are searched together, and of a large one that are searched before its components are joined.
+TOGETHER, BLOCK = 1 << 16, 1024
+
+_U = np.uint64
 
 
-def fingerprint_of(blobs: list[bytes], width: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHash of each UTF-8 text."""
+def fingerprint_of(blobs: list[bytes], width: int = SHINGLE, distinct: bool = False) -> np.ndarray:
+    """64-bit SimHash of each UTF-8 text, over its shingles with repeats or over the distinct ones."""
     hashes, sizes, digest, seed = [], [], xxhash.xxh64_intdigest, SEED
     for blob in blobs:
         words = blob.lower().split()
         n = len(words)
-        if n <= width:
-            hashes.extend([digest(b" ".join(words), seed)] * (n > 0))
-            sizes.append(int(n > 0))
-            continue
-        joined = b" ".join(words)
-        starts = [0]
-        for w in words:
-            starts.append(starts[-1] + len(w) + 1)
-        hashes.extend([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[width:], strict=False)])
-        sizes.append(n - width + 1)
+        if n <= width or width == 1:
+            found = [b" ".join(words)] * (n > 0) if width > 1 else words
+        else:
+            joined = b" ".join(words)
+            starts = [0]
+            for w in words:
+                starts.append(starts[-1] + len(w) + 1)
+            found = [joined[a : b - 1] for a, b in zip(starts, starts[width:], strict=False)]
+        if distinct:
+            found = set(found)
+        hashes.extend([digest(x, seed) for x in found])
+        sizes.append(len(found))
     counts = np.array(sizes, np.int64)
-    out = np.zeros(len(blobs), np.uint64)
+    out = np.zeros(len(blobs), _U)
     if hashes:
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.array(hashes, _U).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         some = np.flatnonzero(counts)
         ones = np.add.reduceat(bits, (np.cumsum(counts) - counts)[some], axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > counts[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        out[some] = np.packbits(2 * ones > counts[some][:, None], axis=1, bitorder="little").view(_U).ravel()
     return out
 
 
@@ -83,201 +94,301 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, name: str = "fp") -> Dat
     return docs.mapInArrow(made, common.widened(docs.schema, f"{name} long"))
 
 
-class Tree:
-    """A BK-tree over distinct fingerprints; small subtrees are flat arrays."""
-
-    def __init__(self, values: np.ndarray, places: np.ndarray):
-        self.places, self.children, self.flat = places, [], len(places) <= LEAF
-        if not self.flat:
-            self.pivot = places[0]
-            rest = places[1:]
-            distance = np.bitwise_count(values[rest] ^ values[self.pivot]).astype(int)
-            self.children = [(int(d), Tree(values, rest[distance == d])) for d in np.unique(distance)]
-
-    def visit(self, values: np.ndarray, queries: np.ndarray, radius: int, label: np.ndarray, found) -> None:
-        """Call found(queries, places) for pairs within the radius, but for subtrees joined to all queries."""
-        stack = [(self, queries)]
-        while stack:
-            node, q = stack.pop()
-            if not len(q):
-                continue
-            own = label[node.places]
-            if own[0] == label[q[0]] and (own == own[0]).all() and (label[q] == own[0]).all():
-                continue
-            if node.flat:
-                near = np.bitwise_count(values[q][:, None] ^ values[node.places][None, :]) <= radius
-                a, b = np.nonzero(near)
-                found(q[a], node.places[b])
-                continue
-            distance = np.bitwise_count(values[q] ^ values[node.pivot]).astype(int)
-            hit = q[distance <= radius]
-            found(hit, np.full(len(hit), node.pivot))
-            for d, child in node.children:
-                stack.append((child, q[np.abs(distance - d) <= radius]))
-
-
-def components_of(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Component (the place of its first member) of each of some distinct fingerprints, and pairs within the radius that span them."""
-    label, joins = np.arange(len(values)), []
-
-    def found(a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = label[a], label[b]
-            differ = np.flatnonzero(x != y)
-            if not len(differ):
-                return
-            low, high = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
-            order = np.lexsort((low, high))
-            order = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
-            to = np.arange(len(label))
-            to[high[order]] = low[order]
-            joins.append(np.stack([a[differ[order]], b[differ[order]]], 1))
-            label[:] = to[label]
-
-    tree = Tree(values, np.arange(len(values)))
-    for at in range(0, len(values), 512):
-        tree.visit(values, np.arange(at, min(at + 512, len(values))), radius, label, found)
-    while (label[label] != label).any():
-        label[:] = label[label]
-    return label, np.concatenate(joins) if joins else np.zeros((0, 2), np.int64)
-
-
-def _links(batches, radius: int, direct: bool):
-    """Links that span the components of each shard: stars, or pairs within the radius. Rows come sorted by shard."""
-    key, value = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ended = False
-    batches = iter(batches)
-    while not ended:
-        batch = next(batches, None)
-        ended = batch is None
-        if not ended:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            value = np.concatenate([value, batch.column(1).to_numpy()])
-        if not len(key):
-            continue
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        done = len(key) if ended else int(heads[-1])
-        sizes = np.diff(np.append(heads, len(key)))
-        many = [(a, n) for a, n in zip(heads[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True) if a < done]
-        left, right = [], []
-        # pairs are trees of a parent and a child
-        two = np.array([a for a, n in many if n == 2], np.int64)
-        if len(two):
-            near = two[np.bitwise_count(value[two].view(np.uint64) ^ value[two + 1].view(np.uint64)) <= radius]
-            left.append(value[near])
-            right.append(value[near + 1])
-        for a, n in many:
-            if n > 2:
-                own = np.unique(value[a : a + n])
-                label, joins = components_of(own.view(np.uint64), radius)
-                linked = np.flatnonzero(label != np.arange(len(own)))
-                left.append(own[joins[:, 0] if direct else label[linked]])
-                right.append(own[joins[:, 1] if direct else linked])
-        if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_pydict({"low": pa.array(np.minimum(x, y)), "high": pa.array(np.maximum(x, y))})
-        key, value = key[done:], value[done:]
-
-
-def _apart(batches, radius: int, most: int):
-    """Pairs of vertices within the radius whose classes differ, in a shard `most` at most found from each vertex; a null pair says that there were more.
-
-    Rows come sorted by shard: shard, fp, vertex, class. Vertices of one class are never held against
-    each other, and the largest class of a shard is only searched, so near copies of one text that
-    are together already cost what the others in the shard cost.
+# trees
+
+class Trees:
+    """BK-trees of many shards, side by side.
+
+    Nodes are numbered level by level, so that a node's children follow each other in order of
+    their distance to it. `values` holds distinct fingerprints, shard after shard.
     """
-    rest = [np.zeros(0, np.int64)] * 4
-    ended, batches = False, iter(batches)
+
+    def __init__(self, values: np.ndarray, starts: np.ndarray):
+        n = len(values)
+        self.values, self.roots = values, len(starts)
+        self.place, parent, edge, levels = np.empty(n, np.int64), np.full(n, -1), np.zeros(n, np.int64), [0]
+        left, group = np.arange(n), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        above, key = np.full(len(starts), -1), np.zeros(len(starts), np.int64)
+        self.tree = group
+        while len(left):
+            heads = _starts(group)
+            at = levels[-1]
+            self.place[at : at + len(heads)] = left[heads]
+            parent[at : at + len(heads)], edge[at : at + len(heads)] = above, key
+            levels.append(at + len(heads))
+            own = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(left))))
+            rest = np.ones(len(left), bool)
+            rest[heads] = False
+            left, own = left[rest], own[rest]
+            distance = np.bitwise_count(values[left] ^ values[self.place[at + own]]).astype(np.int64)
+            order = np.lexsort((distance, own))
+            left, own, distance = left[order], own[order], distance[order]
+            group = own * 128 + distance
+            first = _starts(group)
+            above, key = at + own[first], distance[first]
+        self.levels, self.parent = levels, parent
+        self.keys = parent[self.roots :] * 128 + edge[self.roots :]
+        self.node_values = values[self.place]
+
+    def spans(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest label below each node, from those of the values."""
+        low, high = low[self.place], high[self.place]
+        for a, b in reversed(list(zip(self.levels[1:-1], self.levels[2:], strict=True))):
+            np.minimum.at(low, self.parent[a:b], low[a:b])
+            np.maximum.at(high, self.parent[a:b], high[a:b])
+        return low, high
+
+    def near(self, queries: np.ndarray, radius: int, label: np.ndarray | None = None, low: np.ndarray | None = None, high: np.ndarray | None = None):
+        """(query, value, distance) within the radius and in the same shard, the query's place above the value's or equal to it; without subtrees whose labels are all the query's."""
+        q, at = queries, self.tree[queries]
+        out = []
+        while len(q):
+            if label is not None:
+                go = ~((low[at] == high[at]) & (low[at] == label[q]))
+                q, at = q[go], at[go]
+            distance = np.bitwise_count(self.values[q] ^ self.node_values[at]).astype(np.int64)
+            hit = np.flatnonzero((distance <= radius) & (self.place[at] <= q))
+            out.append((q[hit], self.place[at[hit]], distance[hit]))
+            a, b = np.searchsorted(self.keys, at * 128 + np.maximum(distance - radius, 0)), np.searchsorted(self.keys, at * 128 + np.minimum(distance + radius, 127), side="right")
+            size = b - a
+            q = np.repeat(q, size)
+            at = self.roots + np.repeat(a, size) + _counting(size)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join the components that the edges (a, b) link, cheapest edges first; the edges used. `label` names each one by its least member."""
+    left, right = [], []
+    while True:
+        x, y = label[a], label[b]
+        some = np.flatnonzero(x != y)
+        if not len(some):
+            break
+        a, b, cost, x, y = a[some], b[some], cost[some], x[some], y[some]
+        ends, others, edge = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((edge, np.tile(cost, 2), ends))
+        first = order[_starts(ends[order])]
+        used = np.unique(edge[first])
+        left.append(a[used])
+        right.append(b[used])
+        to = np.arange(len(label))
+        to[ends[first]] = others[first]
+        back = to[to]
+        lower = (back == np.arange(len(to))) & (np.arange(len(to)) < to)  # two that chose each other: the lower one stays
+        to[lower] = np.flatnonzero(lower)
+        while (to[to] != to).any():
+            to = to[to]
+        least = np.arange(len(label))
+        np.minimum.at(least, to, np.arange(len(label)))
+        label[:] = least[to[label]]
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+class Members:
+    """Rows of complete shards, sorted by shard and fingerprint: trees over distinct fingerprints, and the rows at each."""
+
+    def __init__(self, shard: np.ndarray, fp: np.ndarray, own: np.ndarray, marks: np.ndarray | None, size: np.ndarray | None):
+        heads = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1]))))
+        self.first, self.count = heads, np.diff(np.append(heads, len(fp)))
+        self.trees = Trees(fp[heads], _starts(shard[heads]))
+        self.own, self.marks, self.size = own, marks, size
+        self.node = np.repeat(np.arange(len(heads)), self.count)
+
+    def pairs(self, queries: np.ndarray, radius: int, similarity: float, label: np.ndarray, skip: bool):
+        """(row, row, cost) whose labels differ, whose fingerprints are near and whose shingle sets can be similar enough."""
+        if skip:
+            low, high = label.copy(), label.copy()
+            low, high = np.minimum.reduceat(low, self.first), np.maximum.reduceat(high, self.first)
+            uniform = low == high
+            q, v, d = self.trees.near(queries, radius, np.where(uniform, low, -1), *self.trees.spans(low, high))
+        else:
+            q, v, d = self.trees.near(queries, radius)
+        sizes = self.count[q] * self.count[v]
+        for at in _chunks(sizes, 1 << 21):
+            part, n = slice(*at), sizes[slice(*at)]
+            k, one = _counting(n), np.repeat(np.arange(len(n)), n)
+            width = self.count[v[part]][one]
+            a, b = self.first[q[part]][one] + k // width, self.first[v[part]][one] + k % width
+            keep = (a > b) & (label[a] != label[b])
+            a, b, cost = a[keep], b[keep], d[part][one][keep]
+            if self.marks is not None:
+                # each shingle that only one has flips one bit of the mark, so this is a lower bound of the difference
+                cost = np.bitwise_count(self.marks[a] ^ self.marks[b]).sum(1, dtype=np.int64)
+                total = self.size[a] + self.size[b]
+                can = cost <= total * ((1 - similarity) / (1 + similarity)) + 1e-9
+                a, b, cost = a[can], b[can], (cost[can] << 20) // np.maximum(total[can], 1)
+            yield a, b, cost
+
+
+def _chunks(sizes: np.ndarray, most: int):
+    """Runs of places whose sizes add up to about `most`."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most)))
+        yield at, to
+        at = to
+
+
+def forest(members: Members, radius: int, similarity: float, large: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of near rows, cheapest first within each block of queries."""
+    label, left, right = np.arange(len(members.node)), [], []
+    n = len(members.first)
+    step = BLOCK if large else n
+    for at in range(0, n, step):
+        found = list(members.pairs(np.arange(at, min(n, at + step)), radius, similarity, label, large))
+        a, b = join(label, *(np.concatenate(x) for x in zip(*found, strict=True))) if found else ([], [])
+        left.append(a)
+        right.append(b)
+    return np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+
+
+_SHARD = "key int, shard long, fp long"
+_FULL = _SHARD + ", vertex long, class long, mark0 long, mark1 long, size long"
+
+
+def _linked(batches, radius: int, similarity: float, across: bool, dense: int, ddl: str):
+    """Links of each shard: a spanning forest, or, across, all that join two classes. Rows come sorted by shard and fp.
+
+    A row of a shard with more than `dense` members passes through with null links, to be dealt again.
+    """
+    names = [x.split()[0] for x in ddl.split(", ")]
+    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in ddl.split(", ")]
+    rest, batches, ended, passing = None, iter(batches), False, None
+
+    def put(low, high, rows=None):
+        if rows is None:
+            rows = [pa.nulls(len(low), t) for t in kinds]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high), pa.int64()), pa.array(np.maximum(low, high), pa.int64()), *rows], names=["low", "high", *names])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(rows[0]), pa.int64())] * 2 + [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["low", "high", *names])
+
+    def links(rows, large):
+        own = rows[3] if len(rows) > 3 else rows[2]
+        marks, size = (np.stack([rows[5].view(_U), rows[6].view(_U)], 1), rows[7]) if len(rows) > 3 else (None, None)
+        members = Members(rows[1], rows[2].view(_U), own, marks, size)
+        if not across:
+            a, b = forest(members, radius, similarity, large)
+            if len(a):
+                yield put(own[a], own[b])
+            return
+        n = len(members.first)
+        for at in range(0, n, BLOCK if large else n):
+            for a, b, _ in members.pairs(np.arange(at, min(n, at + (BLOCK if large else n))), radius, similarity, rows[4], large):
+                if len(a):
+                    yield put(own[a], own[b])
+
     while not ended:
         batch = next(batches, None)
         ended = batch is None
         if not ended:
-            rest = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(rest)]
-        key = rest[0]
-        if not len(key):
+            rows = [batch.column(i).to_numpy() for i in range(len(names))]
+            if passing is not None:
+                to = int(np.searchsorted(rows[1] != passing, True))
+                if to:
+                    yield put(None, None, [c[:to] for c in rows])
+                    rows = [c[to:] for c in rows]
+                if len(rows[0]):
+                    passing = None
+            rest = rows if rest is None else [np.concatenate([a, b]) for a, b in zip(rest, rows, strict=True)]
+        if rest is None or not len(rest[0]):
             continue
-        done = len(key) if ended else int(np.searchsorted(key, key[-1]))
-        if not done:
-            continue
-        (key, value, vertex, own), rest = (a[:done] for a in rest), [a[done:] for a in rest]
-        order = np.lexsort((own, key))
-        starts, sizes = _runs(key[order], own[order])
-        order = order[np.lexsort((own[order], np.repeat(sizes, sizes), key[order]))]
-        key, value, vertex, own = key[order], value[order].view(np.uint64), vertex[order], own[order]
-        starts, sizes = _runs(key, own)
-        to = np.repeat(starts + sizes, sizes)
-        starts, sizes = _runs(key)
-        end = np.repeat(starts + sizes, sizes)
-        at = np.flatnonzero(to < end)
-        to, end = to[at], end[at]
-        taken, over = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        left, right, n = [], [], 0
-        while len(at):
-            near = np.bitwise_count(value[at] ^ value[to]) <= radius
-            a, b = at[near], to[near]
-            fits = taken[a] < most
-            over[a[~fits]] = True
-            taken[a] += 1
-            left.append(vertex[a[fits]])
-            right.append(vertex[b[fits]])
-            n += len(left[-1])
-            if n > 1 << 20:
-                yield _pairs(left, right)
-                left, right, n = [], [], 0
-            to = to + 1
-            go = (to < end) & ~over[at]
-            at, to, end = at[go], to[go], end[go]
-        if n:
-            yield _pairs(left, right)
-        if over.any():
-            yield pa.RecordBatch.from_pydict({"low": pa.nulls(1, pa.int64()), "high": pa.nulls(1, pa.int64())})
-
-
-def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the runs of equal rows."""
-    n = len(columns[0])
-    starts = np.flatnonzero(np.concatenate(([n > 0], np.any([c[1:] != c[:-1] for c in columns], axis=0)))[:n])
-    return starts, np.diff(np.append(starts, n))
-
-
-def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
-    x, y = np.concatenate(left), np.concatenate(right)
-    return pa.RecordBatch.from_pydict({"low": pa.array(np.minimum(x, y)), "high": pa.array(np.maximum(x, y))})
-
-
-def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2, kept: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """(shard, *kept): each fingerprint in all shards that its links may share.
+        heads = _starts(rest[1])
+        sizes = np.diff(np.append(heads, len(rest[1])))
+        done = len(heads) if ended else len(heads) - 1
+        many = sizes[:done] > dense
+        for i in np.flatnonzero(many):
+            yield put(None, None, [c[heads[i] : heads[i] + sizes[i]] for c in rest])
+        for i in np.flatnonzero((sizes[:done] > BLOCK) & ~many):
+            yield from links([c[heads[i] : heads[i] + sizes[i]] for c in rest], True)
+        small = np.flatnonzero((sizes[:done] > 1) & (sizes[:done] <= BLOCK))
+        for a, b in _chunks(sizes[small], TOGETHER):
+            at = np.repeat(heads[small[a:b]], sizes[small[a:b]]) + _counting(sizes[small[a:b]])
+            yield from links([c[at] for c in rest], False)
+        if not ended:
+            rest = [c[heads[-1] :] for c in rest]
+            if sizes[-1] > dense:
+                passing = int(rest[1][0])
+                yield put(None, None, rest)
+                rest = None
+
+
+# shards
+
+def _blocks(bits: list[int], radius: int, agree: int) -> list[int]:
+    """Masks of the choices of `agree` of radius + agree blocks of the given bits."""
+    n = radius + agree
+    edges = [round(len(bits) * i / n) for i in range(n + 1)]
+    each = [sum(1 << b for b in bits[edges[i] : edges[i + 1]]) for i in range(n)]
+    return [sum(chosen) for chosen in itertools.combinations(each, agree)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2, kept: tuple[str, ...] = (), tables: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """(key, shard, fp, *kept): each fingerprint in all shards that its links may share.
 
     Of radius + agree blocks of bits, two fingerprints within the radius agree on `agree` at least;
-    a shard is a choice of so many blocks and their bits.
+    a shard is a choice of so many blocks and their bits. Several fingerprints of a row are kept apart.
     """
-    n = radius + agree
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    bits = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
-    keys = []
-    for k, chosen in enumerate(itertools.combinations(range(n), agree)):
-        key = F.lit(k).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(bits(i))
-        keys.append(key)
-    return distinct.select(F.explode(F.array(*keys)).alias("shard"), *kept)
+    masks, rows = _blocks(list(range(64)), radius, agree), []
+    for t, name in enumerate(tables):
+        for k, mask in enumerate(masks):
+            key = t * len(masks) + k
+            rows.append(F.struct(F.lit(key).alias("key"), F.xxhash64(F.lit(key), F.col(name).bitwiseAND(F.lit(_signed(mask)).cast("long"))).alias("shard"), F.col(name).alias("fp")))
+    return distinct.select(F.explode(F.array(*rows)).alias("_at"), *kept).select("_at.*", *kept)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, direct: bool = False) -> DataFrame:
-    """(low, high): links that span the components of fingerprints within the radius; with direct each one within it itself."""
-    dealt = shards(distinct, radius).repartition("shard").sortWithinPartitions("shard", "fp")
-    return dealt.mapInArrow(lambda batches: _links(batches, radius, direct), "low long, high long").distinct()
+def further(dense: DataFrame, radius: int, agree: int = 2) -> DataFrame:
+    """Rows of dense shards, dealt again by the bits that their key leaves open."""
+    names = dense.columns
+    masks = _blocks(list(range(64)), radius, agree)
+    inner = [_blocks([b for b in range(64) if not mask >> b & 1], radius, agree) for mask in masks]
 
+    def dealt(batches):
+        for batch in batches:
+            key, shard, fp = (batch.column(i).to_numpy() for i in range(3))
+            for j in range(len(masks)):
+                mask = np.array([x[j] for x in inner], _U)[key % len(masks)]
+                fresh = bytekit.mix64((fp.view(_U) & mask) ^ bytekit.mix64(shard.view(_U) + _U(j + 1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fresh.view(np.int64)), *batch.columns[2:]], names=names)
+
+    return dense.mapInArrow(dealt, dense.schema)
+
+
+def linked(dealt: DataFrame, radius: int, similarity: float = 0.0, across: bool = False) -> DataFrame:
+    """(low, high), staged: links found in the shards; dense shards are dealt once more."""
+    ddl = _FULL if "vertex" in dealt.columns else _SHARD
+    run = lambda df, dense: staged(df.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda batches: _linked(batches, radius, similarity, across, dense, ddl), "low long, high long, " + ddl), "links")
+    first = run(dealt, DENSE)
+    dense = first.where("low IS NULL").drop("low", "high")
+    found = first.where("low IS NOT NULL").select("low", "high")
+    if not dense.isEmpty():
+        second = run(further(dense, radius), 1 << 62)
+        found = found.unionByName(second.where("low IS NOT NULL").select("low", "high"))
+        out = staged(found.distinct(), "links")
+        discard(first, second)
+        return out
+    out = staged(found.distinct(), "links")
+    discard(first)
+    return out
 
-def apart(vertices: DataFrame, radius: int, most: int) -> DataFrame:
-    """(low, high): pairs of vertices (fp, vertex, class) within the radius and in different classes; a null pair if `most` left some out."""
-    dealt = shards(vertices, radius, kept=("fp", "vertex", "class")).repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(lambda batches: _apart(batches, radius, most), "low long, high long").distinct()
 
+# components
 
 def contract(edges: DataFrame) -> DataFrame:
-    """(node, root): for each node with a link but the least of its component, that least one."""
-    edges = staged(edges.select(F.greatest("low", "high").alias("node"), F.least("low", "high").alias("root")), "links")
+    """(node, root), staged: for each node with a link but the least of its component, that least one."""
+    edges = staged(edges.select(F.greatest("low", "high").alias("node"), F.least("low", "high").alias("root")), "stars")
     mark = None
     while True:
         both = edges.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges.select(F.col("root").alias("u"), F.col("node").alias("v")))
@@ -286,7 +397,9 @@ def contract(edges: DataFrame) -> DataFrame:
         large = staged(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("node"), F.col("m").alias("root")), F.struct(F.col("u").alias("node"), F.col("m").alias("root")))).alias("e")).select("e.*")
-        edges = staged(small.where("node != root").distinct(), "small-star")
+        fresh = staged(small.where("node != root").distinct(), "small-star")
+        discard(edges, large)
+        edges = fresh
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")).alias("s")).first()
         if mark == (row.n, row.s):
             return edges
@@ -297,17 +410,46 @@ def components(prints: DataFrame) -> DataFrame:
     """prints (doc_id, fp, ...) with class (least fingerprint of the component, signed) and component_id."""
     prints = prints.drop("class", "component_id")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    rooted = contract(links(distinct))
+    found = linked(shards(distinct.select("fp")), RADIUS)
+    rooted = contract(found)
+    discard(found)
     distinct = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("class"))
     named = distinct.groupBy("class").agg(F.min("least").alias("component_id"))
     return prints.join(distinct.join(named, "class").select("fp", "class", "component_id"), "fp")
 
 
+# near-duplicates
+
 def _shingles(text: str, words: int) -> set[bytes]:
     own = text.encode().lower().split()
     return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
 
 
+def marks_of(blobs: list[bytes], words: int = KEEP_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(two words of bits, number) of the distinct shingles of each text: each shingle flips one of 128 bits."""
+    marks, sizes, digest = np.zeros((len(blobs), 2), _U), np.zeros(len(blobs), np.int64), xxhash.xxh64_intdigest
+    for i, blob in enumerate(blobs):
+        own = blob.lower().split()
+        found = {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))}
+        bits = np.bincount(np.array([digest(x) & 127 for x in found]), minlength=128) & 1
+        marks[i], sizes[i] = np.packbits(bits.astype(np.uint8), bitorder="little").view(_U), len(found)
+    return marks, sizes
+
+
+def _printed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """docs with both fingerprints, marks and number of shingles, under the given names."""
+    columns = docs.columns
+
+    def made(batches):
+        for part, texts in bytekit.batches_of_texts(batches):
+            prints = [fingerprint_of(texts.blobs, w, distinct=True).view(np.int64) for w in KEEP_WIDTHS]
+            marks, sizes = marks_of(texts.blobs)
+            marks = marks.view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, (*prints, np.ascontiguousarray(marks[:, 0]), np.ascontiguousarray(marks[:, 1]), sizes))], names=[*columns, *names.values()])
+
+    return docs.mapInArrow(made, common.widened(docs.schema, ", ".join(f"{x} long" for x in names.values())))
+
+
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (low, high) of rows whose texts' shingle sets have that Jaccard similarity at least. texts: row, text.
 
@@ -328,39 +470,39 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return sides.select("low", "high", "both").mapInArrow(compared, "low long, high long")
 
 
-def keep_first(docs: DataFrame, width: int = SHINGLE, radius: int = KEEP_RADIUS, words: int = KEEP_WORDS, similarity: float = KEEP_SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = KEEP_RADIUS, words: int = KEEP_WORDS, similarity: float = KEEP_SIMILARITY) -> DataFrame:
     """docs without the near-duplicates: of each group the row with the smallest id stays (null ids last, then the first row).
 
     Groups are connected by pairs of texts that SimHash brings together (radius differing bits at
-    most) and whose shingles of `words` words are similar enough. Equal texts are one vertex. What
-    spans the fingerprints' components is compared first (texts with equal fingerprints with the
-    first of them), which joins most near copies; then every pair within the radius that still
-    spans two classes, in rounds that leave out fewer, until none is left that wasn't compared.
+    most in either of two fingerprints) and whose shingles of `words` words are similar enough.
+    Equal texts are one vertex. In each shard a spanning forest of what SimHash brings together,
+    with the pairs first whose marks differ least, is compared first, which joins most near copies;
+    then every pair within the radius that still spans two classes. Pairs whose marks prove them too
+    different to be similar are left out of both: no similar pair within the radius is lost.
     """
-    fp, row, same = (common.free_name(docs, x) for x in ("_fp", "_row", "_same"))
+    names = {x: common.free_name(docs, "_" + x) for x in ("fp0", "fp1", "mark0", "mark1", "size")}
+    row, same = common.free_name(docs, "_row"), common.free_name(docs, "_same")
     text = F.coalesce("text", F.lit(""))
-    numbered = staged(fingerprints(docs, width, fp).withColumns({row: F.monotonically_increasing_id(), same: F.xxhash64(text)}), "fingerprinted")
-    narrow = numbered.select("doc_id", F.col(fp).alias("fp"), F.col(same).alias("same"), F.col(row).alias("row"))
-    vertices = staged(narrow.groupBy("fp", "same").agg(F.min("row").alias("vertex")), "vertices")
-    heads = vertices.groupBy("fp").agg(F.min("vertex").alias("head"))
-    equal = vertices.join(heads, "fp").where("vertex != head").select(F.col("head").alias("low"), F.col("vertex").alias("high"))
-    near = links(heads.select("fp"), radius, direct=True)
-    near = near.join(heads.select(F.col("fp").alias("low"), F.col("head").alias("_a")), "low").join(heads.select(F.col("fp").alias("high"), F.col("head").alias("_b")), "high")
-    pairs = staged(equal.unionByName(near.select(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"))), "pairs")
+    numbered = staged(_printed(docs, names).withColumns({row: F.monotonically_increasing_id(), same: F.xxhash64(text)}), "fingerprinted")
+    narrow = numbered.select("doc_id", F.col(row).alias("row"), F.col(same).alias("same"), *(F.col(v).alias(k) for k, v in names.items()))
+    alone = ("fp0", "fp1", "same")
+    vertices = staged(narrow.groupBy(*alone).agg(F.min("row").alias("vertex"), *(F.first(x).alias(x) for x in ("mark0", "mark1", "size"))), "vertices")
     texts = numbered.select(F.col(row).alias("row"), text.alias("text"))
-    rooted = contract(alike(pairs, texts, words, similarity))
-    most, more = ROUND, True
-    while more:
-        classes = staged(vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select("fp", "same", "vertex", F.coalesce("root", "vertex").alias("class")), "classes")
-        found = staged(apart(classes, radius, most), "apart")
-        more = not found.where("low IS NULL").isEmpty()
-        fresh = staged(found.where("low IS NOT NULL").join(pairs, ["low", "high"], "left_anti"), "fresh")
-        pairs, most = pairs.unionByName(fresh), most * GROWTH
-        good = staged(alike(fresh, texts, words, similarity), "alike")
-        if not good.isEmpty():
-            rooted = contract(rooted.select(F.col("root").alias("low"), F.col("node").alias("high")).unionByName(good))
-    classes = vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select("fp", "same", F.coalesce("root", "vertex").alias("class"))
-    first = narrow.join(classes, ["fp", "same"]).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    kept = ("vertex", "class", "mark0", "mark1", "size")
+    pairs = linked(shards(vertices.withColumn("class", F.col("vertex")), radius, kept=kept, tables=("fp0", "fp1")), radius, similarity)
+    good = staged(alike(pairs, texts, words, similarity), "alike")
+    rooted = contract(good)
+    classes = staged(vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("class", F.coalesce("root", "vertex")).drop("root"), "classes")
+    apart = linked(shards(classes, radius, kept=kept, tables=("fp0", "fp1")), radius, similarity, across=True)
+    fresh = staged(apart.join(pairs, ["low", "high"], "left_anti"), "apart")
+    more = staged(alike(fresh, texts, words, similarity), "alike")
+    if not more.isEmpty():
+        again = contract(good.unionByName(more))
+        discard(rooted)
+        rooted = again
+    discard(pairs, good, classes, apart, fresh, more)
+    classes = vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select(*alone, F.coalesce("root", "vertex").alias("class"))
+    first = narrow.join(classes, list(alone)).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(first, row, "left_semi").select(*docs.columns)
 
 

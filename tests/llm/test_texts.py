@@ -206,11 +206,19 @@ def test_packing_round_trip(docs, odd):
     assert packing.pack(odd.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_keeps_ids_beside_null_ones(spark):
+    big = [(1 << 60) + k for k in (1, 3, 5)]
+    df = spark.createDataFrame([(i, "a b c") for i in (*big, None, None)], "doc_id long, text string").coalesce(1)
+    got = packing.pack(df, P.path("word_bpe_49k.json")).collect()
+    assert Counter(r.doc_id for r in got) == Counter([*big, None, None]) and len({(r.sequence_id, r.offset) for r in got}) == 5
+
+
 # SimHash
 
-def brute_print(text, width=3):
+def brute_print(text, width=3, distinct=False):
     words = WORDS.findall(text.translate(LOW))
     shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    shingles = list(set(shingles)) if distinct else shingles
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -246,16 +254,72 @@ def test_simhash_rows(spark, docs, odd):
             assert r.component_id == min(ids, default=None)
 
 
-@pytest.mark.parametrize("n, spread", [(40, 64), (600, 12), (900, 5)])
-def test_tree_components(n, spread):
+@pytest.mark.parametrize("n, spread, block", [(40, 64, 1024), (600, 12, 50), (900, 5, 1), (3000, 9, 100)])
+def test_forest_joins_what_brute_force_joins(monkeypatch, n, spread, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(n)
     values = np.zeros(n, np.uint64)
     for _ in range(6):
         values ^= np.uint64(1) << rng.integers(0, spread, n).astype(np.uint64)
-    values = np.unique(values)
-    (label, pairs), want = simhash.components_of(values), brute_components([int(v) for v in values])
-    assert np.all(np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 1]]) <= 3) and len(pairs) >= len(values) - len(set(label.tolist()))
-    assert len(set(zip(label.tolist(), want.values()))) == len(set(label.tolist())) == len(set(want.values()))
+    shard = np.sort(rng.integers(0, 3, n))
+    pairs = sorted(set(zip(shard.tolist(), values.tolist())))
+    shard, values = np.array([s for s, _ in pairs]), np.array([v for _, v in pairs], np.uint64)
+    for large in (False, True):
+        members = simhash.Members(shard, values, values.view(np.int64), None, None)
+        a, b = simhash.forest(members, 3, 0.0, large)
+        assert np.all(np.bitwise_count(values[a] ^ values[b]) <= 3) and np.all(shard[a] == shard[b])
+        label = {}
+
+        def root(x):
+            while label.setdefault(x, x) != x:
+                x = label[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            assert root(x) != root(y)  # a forest has no edge too many
+            label[root(x)] = root(y)
+        for s in set(shard.tolist()):
+            mine = np.flatnonzero(shard == s)
+            want = brute_components([int(v) for v in values[mine]])
+            assert len({root(i) for i in mine.tolist()}) == len(set(want.values())) == len({(root(i), want[int(values[i])]) for i in mine.tolist()})
+
+
+def test_trees_find_every_near_pair():
+    """Also with several rows at one fingerprint, and in shards of one, two and many members."""
+    rng = np.random.default_rng(8)
+    shard = np.sort(rng.integers(0, 90, 1500) ** 2 // 300)
+    value = rng.integers(0, 1 << 10, 1500).astype(np.uint64)
+    order = np.lexsort((value, shard))
+    shard, value = shard[order], value[order]
+    members = simhash.Members(shard, value, np.arange(1500), None, None)
+    own = np.arange(1500)
+    got = {(a, b) for x, y, _ in members.pairs(np.arange(len(members.first)), 2, 0.0, own, False) for a, b in zip(x.tolist(), y.tolist())}
+    near = (np.bitwise_count(value[:, None] ^ value[None]) <= 2) & (shard[:, None] == shard[None])
+    assert got == {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(near))) if a > b}
+    assert members.trees.levels[-1] == len(members.first) and len(members.trees.levels) > 4
+
+
+def test_dense_shards_are_dealt_again(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    values = {int(b) ^ sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 3))) for b in base for _ in range(25)}
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    want = brute_components(values)
+    for dense in (1 << 40, 5):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        rooted = {r.node: r.root for r in simhash.contract(simhash.linked(simhash.shards(frame), 3)).collect()}
+        groups = Counter((rooted.get(simhash._signed(v), simhash._signed(v)), want[v]) for v in values)
+        assert len(groups) == len({g for g, _ in groups}) == len(set(want.values()))
+
+
+def test_marks_bound_the_difference():
+    rnd = random.Random(6)
+    for _ in range(200):
+        words = [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 300))]
+        other = [w if rnd.random() < 0.97 else rnd.choice("xyz") for w in words]
+        a, b = " ".join(words), " ".join(other)
+        (x, y), sizes = simhash.marks_of([a.encode(), b.encode()])
+        assert np.bitwise_count(x ^ y).sum() <= len(simhash._shingles(a, 5) ^ simhash._shingles(b, 5)) and sizes.tolist() == [len(simhash._shingles(t, 5)) for t in (a, b)]
 
 
 def test_contract_long_chain(spark):
@@ -272,6 +336,15 @@ def test_keep_first(docs, odd):
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in rows) == [1, 2, 5, 6, 7, 7] and all(r.fp == "mine" for r in rows)
 
 
+def within(a, b):
+    """Whether SimHash brings two pairs of prints together."""
+    return any((x ^ y).bit_count() <= simhash.KEEP_RADIUS for x, y in zip(a, b))
+
+
+def both_prints(text):
+    return brute_print(text, 1, True), brute_print(text, 2, True)
+
+
 def test_every_link_shares_a_shard(spark):
     rnd = random.Random(5)
     for radius in (3, 6):
@@ -299,10 +372,10 @@ def test_keep_first_drops_near_copies(spark):
     assert {i for i in range(60) if i % 3 != 1} <= kept and sum(i % 3 == 1 for i in kept) <= 1
 
 
-@pytest.mark.parametrize("most", [1, 8])
-def test_keep_first_compares_every_link(spark, monkeypatch, most):
+@pytest.mark.parametrize("dense", [20, 1 << 20])
+def test_keep_first_compares_every_link(spark, monkeypatch, dense):
     """Copies of one text that are similar to it but not to each other: no link within the radius may go uncompared."""
-    monkeypatch.setattr(simhash, "ROUND", most, raising=False)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
     made = []
@@ -315,31 +388,17 @@ def test_keep_first_compares_every_link(spark, monkeypatch, most):
                 copy[k] = word()
             made.append(" ".join(copy))
     rnd.shuffle(made)
-    prints, sets = [brute_print(t) for t in made], [simhash._shingles(t, 5) for t in made]
+    prints, sets = [both_prints(t) for t in made], [simhash._shingles(t, 5) for t in made]
     root = list(range(len(made)))
     for a in range(len(made)):
         for b in range(a + 1, len(made)):
-            if (prints[a] ^ prints[b]).bit_count() <= 6 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if within(prints[a], prints[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)).collect()}
     assert len(set(root)) < len(made) and kept == set(root)
 
 
-def test_pairs_apart_by_brute_force():
-    rng = np.random.default_rng(4)
-    n = 3000
-    key, value, own = np.sort(rng.integers(0, 60, n) ** 2 // 40), rng.integers(0, 1 << 9, n), rng.integers(0, 4, n) ** 3
-    rows = pa.RecordBatch.from_pydict({"shard": key, "fp": value, "vertex": np.arange(n), "class": own})
-    parts = [rows.slice(at, 170) for at in range(0, n, 170)]
-    near = (np.bitwise_count(value[:, None] ^ value[None]) <= 2) & (key[:, None] == key[None]) & (own[:, None] != own[None])
-    want = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(near))) if a < b}
-    got = [p for b in simhash._apart(parts, 2, n) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert len(got) == len(want) and set(got) == want
-    some = {p for b in simhash._apart(parts, 2, 3) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
-    assert (None, None) in some and some - {(None, None)} < want
-
-
 # mixing
 
 def brute_targets(sizes):
