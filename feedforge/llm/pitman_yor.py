@@ -2,24 +2,23 @@
 
 Each word that precedes another has a restaurant whose customers are the words that follow it;
 all these restaurants share one parent, whose customers are their tables and whose base is uniform
-over the training words and one unknown word. Seatings are resampled in sweeps: the tables of a
-dish in a restaurant are drawn customer by customer from the Chinese restaurant process, given the
-restaurant's tables and the parent's predictive probability. Predictive probabilities use the mean
-of the seatings kept, which again sums to one over all words.
+over the training words and one unknown word. Seatings are sampled in sweeps (`seating`): the
+parent is seated given all restaurants' tables, then every restaurant given the parent. After the
+first sweeps each one gives a predictive probability, from the parent and the restaurant of that
+sweep; scores are made from the mean of these. All draws depend on words and sweep alone, so the
+result is the same however the corpus is cut.
 
 Nothing of vocabulary size reaches the driver or a broadcast. Documents are cut into blocks of
-tokens; a block asks for what it needs and gets it back by two exchanges:
+tokens. Words and distinct bigrams of blocks go, packed, to shards named by hashes:
 
-* Its distinct bigrams go to shards of contexts. A shard seats its restaurants, with a parent of
-  its own for the sampling, and answers with each bigram's mass (customers minus discounted tables)
-  and each context's back-off. It passes the tables of each word on.
-* Its distinct words go to shards of words, where they meet those tables: the parent is seated,
-  and the answer is each word's count and its mass in the parent.
+* Shards of words count each word, and seat the parent's dishes in each sweep.
+* Shards of contexts hold the restaurants. In each sweep they get the parent's masses for their
+  followers and give back their tables; at the end they give blocks the mean probabilities of
+  their bigrams.
 
-A context with more than a shard's share of all tokens is split over several shards by its
-followers; their number bounds the list of such contexts, which is all that the driver holds
-besides sums. Shards grow in number with the corpus. Words are counted by
-64-bit hashes; contexts and their followers are named by 48 of these bits.
+A context with more tokens than half a shard is split over several shards by its followers. Their
+number is bounded by the corpus over half a shard's tokens; this list and sums are all that the
+driver holds. Shards grow in number with the corpus. Words are named by 64-bit hashes.
 
 Null texts count as empty: one end token. Null ids count as the empty text for the split. Repeated
 rows are scored alike, and each counts in training. Without training tokens every word is unknown
@@ -37,39 +36,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytekit, common
-from .common import crc_bucket_py, staged
+from .common import crc_bucket_py, discard, staged
+from .seating import draw_tables, gamma
 
 MODULUS, HELD = 7, 2
 #: Text of a block, and tokens of a shard on average.
-BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 3_000_000
+BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 2_000_000
 #: Concentrations of context restaurants and of their parent.
 CONTEXT_STRENGTH, PARENT_STRENGTH = 1.0, 1.0
-SWEEPS, KEPT = 6, 4
+SWEEPS, KEPT = 5, 3
 SEED = 20
 
 _U = np.uint64
 BEGIN, END = _U(0x1B873593CC9E2D51), _U(0x85EBCA6BC2B2AE35)
-_LOW48 = _U((1 << 48) - 1)
+_PHI = 0x9E3779B97F4A7C15
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    """Four-byte values by byte planes, compressed: small and repeated values take little."""
-    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+# arrays as bytes
+
+def _planes(a: np.ndarray) -> bytes:
+    """Values by byte planes, compressed: small and repeated values take little."""
+    width = a.dtype.itemsize
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, width).T).tobytes(), 1)
 
 
 def _spread(value: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
     raw = np.frombuffer(zlib.decompress(value), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+
+
+def _steps(a: np.ndarray) -> bytes:
+    """Ascending 64-bit values by their differences."""
+    return _planes(np.diff(a, prepend=_U(0)))
 
 
-def _cut48(a: np.ndarray) -> bytes:
-    """The low 48 bits of each hash."""
-    return (a & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((a >> _U(32)) & _U(0xFFFF)).astype(np.uint16).tobytes()
+def _climb(value: bytes) -> np.ndarray:
+    return np.cumsum(_spread(value, _U), dtype=_U)
 
 
-def _join48(value: bytes) -> np.ndarray:
-    n = len(value) // 6
-    return np.frombuffer(value, np.uint32, n).astype(_U) | (np.frombuffer(value, np.uint16, n, 4 * n).astype(_U) << _U(32))
+def _small(a: np.ndarray) -> bytes:
+    return _planes(a.astype(np.uint32))
 
 
 def _un(value: bytes, kind) -> np.ndarray:
@@ -82,13 +89,9 @@ _BLOCK = "block long, doc_ids binary, nulls binary, held binary, sizes binary, w
 
 
 def _block_row(block: int, ids: list, sizes: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
-    """One block: its documents, its distinct words with their training counts, and its tokens as places among these."""
+    """One block: its documents, its distinct words (ascending) with their training counts, and its tokens as places among these."""
     size = np.concatenate(sizes).astype(np.int32)
-    words, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")  # frequent words get small places
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    words, tokens = words[order], place[tokens]
+    words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
     held = np.array([crc_bucket_py(i, MODULUS) == HELD for i in ids])
     counts = np.bincount(tokens, weights=np.repeat(~held, size), minlength=len(words)).astype(np.uint32)
     none = np.array([i is None for i in ids])
@@ -97,7 +100,7 @@ def _block_row(block: int, ids: list, sizes: list[np.ndarray], hashes: list[np.n
         **{
             name: pa.array([a if isinstance(a, bytes) else a.tobytes()], pa.binary())
             for name, a in (
-                ("doc_ids", np.array([i or 0 for i in ids], np.int64)), ("nulls", none), ("held", held), ("sizes", size), ("words", words), ("counts", _squeeze(counts)), ("tokens", _squeeze(tokens.astype(np.uint32))),
+                ("doc_ids", np.array([i or 0 for i in ids], np.int64)), ("nulls", none), ("held", held), ("sizes", size), ("words", _steps(words)), ("counts", _small(counts)), ("tokens", _small(tokens)),
             )
         },
         "n_train": pa.array([int(counts.sum())], pa.int64()),
@@ -132,9 +135,13 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(made, _BLOCK)
 
 
+#: Training tokens after each split context, and over how many shards its followers are dealt.
+Hot = dict[int, tuple[int, int]]
+
+
 class Block:
     def __init__(self, row: dict):
-        self.words, self.counts, self.tokens = _un(row["words"], _U), _spread(row["counts"], np.uint32), _spread(row["tokens"], np.uint32).astype(np.int64)
+        self.words, self.counts, self.tokens = _climb(row["words"]), _spread(row["counts"], np.uint32), _spread(row["tokens"], np.uint32).astype(np.int64)
         self.sizes, self.held = _un(row["sizes"], np.int32), _un(row["held"], bool)
         self.ends = np.cumsum(self.sizes)
         n = len(self.words)
@@ -149,259 +156,271 @@ class Block:
     def pair_counts(self) -> np.ndarray:
         return np.bincount(self.pair_of, weights=np.repeat(~self.held, self.sizes), minlength=len(self.pairs)).astype(np.uint32)
 
-    def shards(self, n: int, hot: dict[int, int]) -> np.ndarray:
-        """Shard of each distinct pair."""
+    def by_shard(self, n: int, hot: Hot):
+        """(shard, its pairs in order of the hashes of context and word)."""
         hashes = self.context_hash[self.context]
-        out = bytekit.mix64(hashes) % _U(n)
+        shard = shard_of(hashes, n)
         if hot:
             keys = np.array(sorted(hot), _U)
-            parts = np.array([hot[int(k)] for k in keys], _U)
+            parts = np.array([hot[int(k)][1] for k in keys], _U)
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            mine = keys[at] == hashes
+            mine = np.flatnonzero(keys[at] == hashes)
             part = bytekit.mix64(self.words[self.follower[mine]]) % parts[at[mine]]
-            out[mine] = bytekit.mix64(hashes[mine] + part * _U(0x9E3779B97F4A7C15)) % _U(n)
-        return out.astype(np.int64)
+            shard[mine] = shard_of(hashes[mine] + part * _U(_PHI), n)
+        # words ascend with their hashes, contexts but for the beginning do too
+        order = np.lexsort((self.follower, hashes, shard))
+        cuts = np.searchsorted(shard[order], np.arange(n + 1))
+        return [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
 
 
-def hot_contexts(made: DataFrame, shards: int) -> dict[int, int]:
-    """Contexts with more than a shard's share of training tokens, and over how many shards each is split.
+def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (bytekit.mix64(hashes) % _U(n)).astype(np.int64)
 
-    A block names the words that reach a shard's share in itself; a word with that share of the
-    corpus reaches it in some block. Counts of the named words are then taken over all blocks.
-    """
-    if shards < 2:
-        return {}
 
-    def named(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, counts = _un(row["words"], _U), _spread(row["counts"], np.uint32)
-                much = words[counts * float(shards) >= max(1, row["n_train"])]
-                yield pa.RecordBatch.from_pydict({"word": pa.array(much.view(np.int64))})
+#: All that moves between shards: what it is, the shard it goes to, where it is from, arrays, sums.
+_ROW = "kind string, shard long, other long, a binary, b binary, c binary, d binary, e binary, s0 double, s1 double, s2 double, s3 double"
+_KINDS = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _record(rows: list[dict]) -> pa.RecordBatch:
+    fields = [x.split() for x in _ROW.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in fields], names=[n for n, _ in fields])
+
 
-    picked = {r.word for r in made.select("words", "counts", "n_train").mapInArrow(named, "word long").distinct().collect()}
-    keys = np.array(sorted(picked), np.int64).view(_U)
-    keys.sort()
+def _rows(df: DataFrame, make) -> DataFrame:
+    """make(row) gives rows for each row of df."""
 
-    def counted(batches):
-        total = np.zeros(len(keys), np.int64)
+    def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                words, counts = _un(row["words"], _U), _spread(row["counts"], np.uint32)
-                at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-                mine = keys[at] == words
-                np.add.at(total, at[mine], counts[mine])
-        yield pa.RecordBatch.from_pydict({"word": pa.array(keys.view(np.int64)), "n": pa.array(total)})
-
-    if not len(keys):
-        return {}
-    whole = made.agg(F.sum("n_train")).first()[0]
-    got = made.select("words", "counts").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    hot = {r.word & ((1 << 64) - 1): int(-(-2 * r.n * shards // whole)) for r in got if r.n * shards > whole}
-    if int(END) in hot:  # texts begin as often as they end
-        hot[int(BEGIN)] = hot[int(END)]
-    return hot
-
-
-# seating
-
-def sample_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of one dish each: customers sit down in turn, at a new table with weight `new`, at one of n
-    others' tables with weight n - discount * tables. From the 65th on, as many at once as sit already, at their
-    common probability."""
-    tables = np.minimum(customers, 1).astype(np.int64)
-    seated = 1
-    active = np.flatnonzero(customers > 1)
-    while len(active):
-        step = 1 if seated < 64 else seated
-        old = seated - discount * tables[active]
-        chance = new[active] / (new[active] + np.maximum(old, 1e-9))
-        if step == 1:
-            tables[active] += rng.random(len(active)) < chance
-        else:
-            tables[active] += rng.binomial(np.minimum(step, customers[active] - seated), chance)
-        seated += step
-        active = active[customers[active] > seated]
-    return tables
+                yield _record(list(make(row)))
 
+    return df.mapInArrow(run, _ROW)
 
-def discount_of(customers: np.ndarray) -> float:
-    """From the numbers of dishes with one and two customers."""
-    one, two = int((customers == 1).sum()), int((customers == 2).sum())
-    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
 
+def _per_shard(df: DataFrame, make) -> DataFrame:
+    """make(rows by kind, shard) gives rows for all rows of a shard. Its draws and sums don't depend on the order of the rows."""
 
-def seat(context: np.ndarray, follower: np.ndarray, customers: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Mean tables of each (context, follower) over the kept sweeps, and the discount."""
-    d = discount_of(customers)
-    tables = np.minimum(customers, 1).astype(np.int64)
-    mean = np.zeros(len(customers))
-    n_context, n_word = int(context.max(initial=-1)) + 1, int(follower.max(initial=-1)) + 1
-    many = np.flatnonzero(customers > 1)
-    for sweep in range(SWEEPS):
-        parent = np.bincount(follower, weights=tables, minlength=n_word).astype(np.int64)
-        pd = discount_of(parent)
-        above = sample_tables(parent, np.full(n_word, (PARENT_STRENGTH + pd * n_word) / (n_word + 1)), pd, rng)
-        total = PARENT_STRENGTH + parent.sum()
-        p = (parent - pd * above + (PARENT_STRENGTH + pd * above.sum()) / (n_word + 1)) / total
-        of_context = np.bincount(context, weights=tables, minlength=n_context)
-        new = (CONTEXT_STRENGTH + d * (of_context[context[many]] - tables[many])) * p[follower[many]]
-        tables[many] = sample_tables(customers[many], new, d, rng)
-        if sweep >= SWEEPS - KEPT:
-            mean += tables
-    return mean / KEPT, d
+    def run(table: pa.Table) -> pa.Table:
+        rows: dict[str, list] = {}
+        for r in table.to_pylist():
+            rows.setdefault(r["kind"], []).append(r)
+        for own in rows.values():
+            own.sort(key=lambda r: -1 if r["other"] is None else r["other"])
+        return pa.Table.from_batches([_record(list(make(rows, table["shard"][0].as_py())))])
 
+    return df.groupBy("shard").applyInArrow(run, _ROW)
 
-# exchange with the shards of contexts
 
-_ASK = "block long, shard long, contexts binary, lengths binary, followers binary, places binary, counts binary"
+# words
 
+def count_words(made: DataFrame, shards: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Of each shard: its words ("vocabulary"), counts for blocks ("counts", to the block in `other`), words that are frequent enough to split their restaurant ("hot"), and N and V ("sums")."""
 
-def ask_pairs(made: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
-    def asked(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                counts, shard = block.pair_counts(), block.shards(shards, hot)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                out = []
-                for s in range(shards):
-                    at = order[cuts[s] : cuts[s + 1]]
-                    if not len(at):
-                        continue
-                    context = block.context[at]
-                    heads = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-                    followers, place = np.unique(block.follower[at], return_inverse=True)
-                    lengths = np.diff(np.append(heads, len(at))).astype(np.uint32)
-                    out.append((row["block"], s, _cut48(block.context_hash[context[heads]]), _squeeze(lengths), _cut48(block.words[followers]), _squeeze(place.astype(np.uint32)), _squeeze(counts[at])))
-                yield _record(out, _ASK)
-
-    return made.mapInArrow(asked, _ASK)
-
-
-def _record(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    fields = [x.split() for x in ddl.split(", ")]
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
-#: kind "pairs": to a block, mass codes and extra masses by pair, back-off parts by context.
-#: kind "tables": to the shards of words, words (48 bits) and their tables.
-#: kind "hot": contexts that are split, with this shard's back-off parts.
-_ANSWER = "kind string, block long, shard long, a binary, b binary, c binary, d binary"
-
-
-def answer_pairs(asks: DataFrame, hot: dict[int, int]) -> DataFrame:
-    split = np.array(sorted(hot), _U) & _LOW48
-
-    def answered(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        context = np.concatenate([np.repeat(_join48(r["contexts"]), _spread(r["lengths"], np.uint32)) for r in rows])
-        word = np.concatenate([_join48(r["followers"])[_spread(r["places"], np.uint32)] for r in rows])
-        counts = [_spread(r["counts"], np.uint32) for r in rows]
-        count = np.concatenate(counts)
-        contexts, context = np.unique(context, return_inverse=True)
-        words, follower = np.unique(word, return_inverse=True)
-        del word
-        pairs, place = np.unique(context.astype(np.int64) * len(words) + follower, return_inverse=True)
-        customers = np.bincount(place, weights=count, minlength=len(pairs)).astype(np.int64)
-        p_context, p_follower = pairs // len(words), pairs % len(words)
-        some = np.flatnonzero(customers)
-        rng = np.random.default_rng([SEED, rows[0]["shard"]])
-        tables = np.zeros(len(pairs))
-        tables[some], d = seat(p_context[some], p_follower[some], customers[some], rng)
-        mass = (customers - d * tables).astype(np.float32)
-        held_back = np.bincount(p_context, weights=d * tables, minlength=len(contexts))
-        total = np.bincount(p_context, weights=customers, minlength=len(contexts))
-        # codes: 0 without customers, 1 for one, 2 for a mass that follows among the extra ones
-        code = np.minimum(customers, 2).astype(np.uint8)
-        out, at = [], 0
-        for r, n in zip(rows, map(len, counts), strict=True):
-            mine = place[at : at + n]
-            own = np.searchsorted(contexts, _join48(r["contexts"]))
-            codes = code[mine]
-            out.append(("pairs", r["block"], r["shard"], zlib.compress(codes.tobytes(), 1), _squeeze(mass[mine[codes == 2]]), _squeeze(np.concatenate([held_back[own], total[own]]).astype(np.float32)), np.float32(1 - d).tobytes()))
-            at += n
-        of_word = np.bincount(p_follower, weights=tables, minlength=len(words))
-        used = of_word > 0
-        out.append(("tables", None, rows[0]["shard"], _cut48(words[used]), _squeeze(of_word[used].astype(np.float32)), None, None))
-        mine = np.isin(contexts, split)
-        if mine.any():
-            out.append(("hot", None, rows[0]["shard"], contexts[mine].tobytes(), held_back[mine].tobytes(), total[mine].tobytes(), None))
-        return pa.Table.from_batches([_record(out, _ANSWER)])
-
-    return asks.groupBy("shard").applyInArrow(answered, _ANSWER)
-
-
-# exchange with the shards of words
-
-_WORDS = "block long, shard long, words binary, counts binary"
-_FOUND = "kind string, block long, shard long, a binary, b binary, c binary, d binary"
-
-
-def ask_words(made: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
-    """Words and counts of blocks, and tables of words (with a null block), by shard of the low 48 bits."""
-
-    def parts(words: np.ndarray):
-        shard = (bytekit.mix64(words & _LOW48) % _U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        return [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s] < cuts[s + 1]]
-
-    def of_blocks(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, counts = _un(row["words"], _U), _spread(row["counts"], np.uint32)
-                yield _record([(row["block"], s, words[at].tobytes(), _squeeze(counts[at])) for s, at in parts(words)], _WORDS)
+    def asked(row):
+        words, counts = _climb(row["words"]), _spread(row["counts"], np.uint32)
+        shard = shard_of(words, shards)
+        for s in range(shards):
+            at = np.flatnonzero(shard == s)
+            if len(at):
+                yield {"kind": "words", "shard": s, "other": row["block"], "a": _steps(words[at]), "b": _small(counts[at])}
 
-    def of_tables(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, tables = _join48(row["a"]), _spread(row["b"], np.float32)
-                yield _record([(None, s, _cut48(words[at]), _squeeze(tables[at])) for s, at in parts(words)], _WORDS)
-
-    return made.select("block", "words", "counts").mapInArrow(of_blocks, _WORDS).unionByName(answers.where("kind = 'tables'").select("a", "b").mapInArrow(of_tables, _WORDS))
-
-
-def answer_words(asks: DataFrame) -> DataFrame:
-    """To blocks, counts and parent masses; kind "sums": N, V, customers of the parent and what its discount holds back."""
-
-    def answered(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        asked = sorted((r for r in rows if r["block"] is not None), key=lambda r: r["block"])
-        low = [r for r in rows if r["block"] is None]
-        hashes = [_un(r["words"], _U) for r in asked]
-        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([_spread(r["counts"], np.uint32) for r in asked]), minlength=len(words)).astype(np.int64)
-        order = np.argsort(words & _LOW48, kind="stable")
-        keys = (words & _LOW48)[order]
-        customers = np.zeros(len(words))
-        for r in low:
-            at = np.searchsorted(keys, _join48(r["words"]))
-            np.add.at(customers, order[np.minimum(at, len(order) - 1)], _spread(r["counts"], np.float32))
-        rng = np.random.default_rng([SEED + 1, rows[0]["shard"]])
-        whole = np.maximum(np.round(customers), count > 0).astype(np.int64)
-        known = np.flatnonzero(count)
-        d, n, mean = discount_of(whole[known]), len(known), np.zeros(len(words))
-        tables = np.minimum(whole[known], 1)
-        for sweep in range(SWEEPS):
-            tables = sample_tables(whole[known], np.full(n, (PARENT_STRENGTH + d * tables.sum()) / (n + 1)), d, rng)
-            if sweep >= SWEEPS - KEPT:
-                mean[known] += tables / KEPT
-        mass = np.where(count > 0, np.maximum(whole - d * mean, 0), 0).astype(np.float32)
-        out, at = [], 0
-        for r, h in zip(asked, hashes, strict=True):
-            mine = place[at : at + len(h)]
-            whole_count = count[mine].astype(np.uint64)
-            out.append(("words", r["block"], r["shard"], _squeeze((whole_count & _U(0xFFFFFFFF)).astype(np.uint32)), _squeeze(mass[mine]), _squeeze((whole_count >> _U(32)).astype(np.uint32)), None))
+    def counted(rows, shard):
+        own = [_climb(r["a"]) for r in rows["words"]]
+        words, place = np.unique(np.concatenate(own), return_inverse=True)
+        count = np.bincount(place, weights=np.concatenate([_spread(r["b"], np.uint32) for r in rows["words"]]), minlength=len(words)).astype(np.int64)
+        at = 0
+        for r, h in zip(rows["words"], own, strict=True):
+            yield {"kind": "counts", "shard": shard, "other": r["other"], "a": _planes(count[place[at : at + len(h)]])}
             at += len(h)
-        held_back = float(whole[known].sum()) - float(mass.astype(float).sum())
-        out.append(("sums", None, rows[0]["shard"], np.array([count.sum(), n, whole[known].sum(), held_back], float).tobytes(), None, None, None))
-        return pa.Table.from_batches([_record(out, _FOUND)])
-
-    return asks.groupBy("shard").applyInArrow(answered, _FOUND)
+        known = count > 0
+        yield {"kind": "vocabulary", "shard": shard, "a": _steps(words[known])}
+        much = count > shard_tokens // 2
+        if much.any():
+            yield {"kind": "hot", "shard": shard, "a": words[much].tobytes(), "b": count[much].tobytes()}
+        yield {"kind": "sums", "shard": shard, "s0": float(count.sum()), "s1": float(known.sum())}
+
+    return _per_shard(_rows(made.select("block", "words", "counts"), asked), counted)
+
+
+# restaurants
+
+class Restaurants:
+    """Contexts, followers (both ascending hashes) and pairs of a shard, in order of both."""
+
+    def __init__(self, row: dict, words: int):
+        self.contexts, self.followers = _climb(row["a"]), _climb(row["c"])
+        self.context = np.repeat(np.arange(len(self.contexts)), _spread(row["b"], np.uint32))
+        self.follower, self.customers = _spread(row["d"], np.uint32).astype(np.int64), _spread(row["e"], np.uint32).astype(np.int64)
+        shard = shard_of(self.followers, words)
+        #: Followers by the shard of words that they belong to.
+        self.order = np.argsort(shard, kind="stable")
+        self.cuts = np.searchsorted(shard[self.order], np.arange(words + 1))
+
+
+def seat_blocks(made: DataFrame, shards: int, hot: Hot) -> DataFrame:
+    """Of each shard its restaurants, with every pair that any block has; for each block the places of its pairs; and followers for the shards of words ("follow")."""
+
+    def asked(row):
+        block = Block(row)
+        counts = block.pair_counts()
+        for s, at in block.by_shard(shards, hot):
+            context = block.context[at]
+            heads = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            followers, place = np.unique(block.follower[at], return_inverse=True)
+            yield {"kind": "pairs", "shard": s, "other": row["block"], "a": _steps(block.context_hash[context[heads]]), "b": _small(np.diff(np.append(heads, len(at)))), "c": _steps(block.words[followers]), "d": _small(place), "e": _small(counts[at])}
+
+    def seated(rows, shard):
+        contexts = np.unique(np.concatenate([_climb(r["a"]) for r in rows["pairs"]]))
+        followers = np.unique(np.concatenate([_climb(r["c"]) for r in rows["pairs"]]))
+        keys, counts = [], []
+        for r in rows["pairs"]:
+            context = np.repeat(np.searchsorted(contexts, _climb(r["a"])), _spread(r["b"], np.uint32))
+            keys.append(context * len(followers) + np.searchsorted(followers, _climb(r["c"]))[_spread(r["d"], np.uint32)])
+            counts.append(_spread(r["e"], np.uint32))
+        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+        customers = np.bincount(place, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
+        context = pairs // len(followers)
+        row = {"a": _steps(contexts), "b": _small(np.bincount(context, minlength=len(contexts))), "c": _steps(followers), "d": _small(pairs % len(followers)), "e": _small(customers)}
+        at = 0
+        for r, k in zip(rows["pairs"], keys, strict=True):
+            yield {"kind": "places", "shard": shard, "other": r["other"], "a": _small(np.diff(place[at : at + len(k)], prepend=0))}
+            at += len(k)
+        yield {"kind": "restaurants", "shard": shard, **row}
+        own = Restaurants(row, shards)
+        for w in range(shards):
+            mine = own.order[own.cuts[w] : own.cuts[w + 1]]
+            if len(mine):
+                yield {"kind": "follow", "shard": w, "other": shard, "a": _steps(own.followers[mine])}
+        yield from _tables(own, np.minimum(customers, 1), shard, shards)
+        yield {"kind": "sums", "shard": shard, "s0": float((customers == 1).sum()), "s1": float((customers == 2).sum())}
+        yield from _hot_tables(own, np.minimum(customers, 1), shard, hot)
+
+    return _per_shard(_rows(made.select("block", "held", "sizes", "words", "counts", "tokens"), asked), seated)
+
+
+def _tables(own: Restaurants, tables: np.ndarray, shard: int, shards: int):
+    """Tables of each follower, to the shards of words."""
+    of_word = np.bincount(own.follower, weights=tables, minlength=len(own.followers)).astype(np.int64)
+    for w in range(shards):
+        mine = own.order[own.cuts[w] : own.cuts[w + 1]]
+        if len(mine):
+            yield {"kind": "tables", "shard": w, "other": shard, "a": _planes(of_word[mine])}
+
+
+def _hot_tables(own: Restaurants, tables: np.ndarray, shard: int, hot: Hot):
+    """Tables of the parts of split restaurants, for the driver."""
+    mine = np.flatnonzero(np.isin(own.contexts, np.array(sorted(hot), _U))) if hot else []
+    if len(mine):
+        total = np.bincount(own.context, weights=tables, minlength=len(own.contexts))
+        yield {"kind": "hot", "shard": shard, "a": own.contexts[mine].tobytes(), "b": total[mine].tobytes()}
+
+
+def seat_parent(words: DataFrame, follow: DataFrame, tables: DataFrame, sweep: int, discount: float, rate: float) -> DataFrame:
+    """The parent's dishes given all tables: for the shards of contexts, customers less discounted tables ("masses"); sums of customers, tables, and dishes of one and two customers."""
+
+    def seated(rows, shard):
+        vocabulary = _climb(rows["vocabulary"][0]["a"]) if "vocabulary" in rows else np.zeros(0, _U)
+        given, total = {r["other"]: _spread(r["a"], np.int64) for r in rows.get("tables", ())}, np.zeros(len(vocabulary) + 1)
+        places = []
+        for r in rows.get("follow", ()):
+            asked = _climb(r["a"])
+            at = np.searchsorted(vocabulary, asked)
+            known = at < len(vocabulary)
+            known[known] = vocabulary[at[known]] == asked[known]
+            at[~known] = len(vocabulary)
+            places.append((r["other"], at))
+            np.add.at(total, at, given[r["other"]])
+        customers = total[:-1].astype(np.int64)
+        key = bytekit.mix64(vocabulary + _U((SEED + 1000 * sweep) * _PHI & 0xFFFFFFFFFFFFFFFF))
+        own = draw_tables(customers, np.full(len(customers), rate), discount, key)
+        mass = np.append(customers - discount * own, 0.0).astype(np.float32)
+        for other, at in places:
+            yield {"kind": "masses", "shard": other, "other": shard, "a": _planes(mass[at])}
+        yield {"kind": "sums", "shard": shard, "s0": float(customers.sum()), "s1": float(own.sum()), "s2": float((customers == 1).sum()), "s3": float((customers == 2).sum())}
+
+    return _per_shard(words.where("kind = 'vocabulary'").unionByName(follow).unionByName(tables), seated)
+
+
+class Parent:
+    """What turns masses into probabilities: customers and tables of all dishes, discount, and words."""
+
+    def __init__(self, customers: float, tables: float, discount: float, words: float):
+        self.whole = PARENT_STRENGTH + customers
+        self.back = (PARENT_STRENGTH + discount * tables) / (words + 1)
+
+    def probability(self, mass: np.ndarray) -> np.ndarray:
+        return (mass + self.back) / self.whole
+
+
+def sweep_restaurants(seats: DataFrame, state: DataFrame | None, masses: DataFrame, shards: int, sweep: int, discount: float, parent: Parent, hot: Hot, hot_tables: dict[int, float]) -> DataFrame:
+    """New tables of all restaurants given the parent; from the first kept sweep on, what their predictive probabilities are made of.
+
+    A row "state" has tables, their sum over kept sweeps, and for each kept sweep the tables of each
+    context and the parent's probability of each follower. After the last sweep there are "answers"
+    for blocks instead: the logarithm of the mean probability of each of their pairs.
+    """
+    last = sweep == SWEEPS - 1
+
+    def swept(rows, shard):
+        own = Restaurants(rows["restaurants"][0], shards)
+        n, k = len(own.contexts), max(0, sweep - (SWEEPS - KEPT))
+        p = np.zeros(len(own.followers))
+        for r in rows["masses"]:
+            p[own.order[own.cuts[r["other"]] : own.cuts[r["other"] + 1]]] = parent.probability(_spread(r["a"], np.float32).astype(float))
+        if "state" in rows:
+            r = rows["state"][0]
+            tables, summed = _spread(r["a"], np.uint32).astype(np.int64), _spread(r["b"], np.uint32).astype(np.int64)
+            of_context, of_follower = _spread(r["c"], np.float32).reshape(k, n).astype(float), _spread(r["d"], np.float32).reshape(k, len(p)).astype(float)
+        else:
+            tables, summed = np.minimum(own.customers, 1), np.zeros(len(own.customers), np.int64)
+            of_context, of_follower = np.zeros((0, n)), np.zeros((0, len(p)))
+        split = np.flatnonzero(np.isin(own.contexts, np.array(sorted(hot), _U))) if hot else []
+        total = np.bincount(own.context, weights=tables, minlength=n)
+        for i in split:
+            total[i] = hot_tables[int(own.contexts[i])]
+        turn = _U((SEED + 7 + 1000 * sweep) * _PHI & 0xFFFFFFFFFFFFFFFF)
+        u = gamma(CONTEXT_STRENGTH / discount + total, bytekit.mix64(own.contexts + turn))
+        key = bytekit.mix64(bytekit.mix64(own.contexts + turn)[own.context] ^ own.followers[own.follower])
+        tables = draw_tables(own.customers, discount * u[own.context] * p[own.follower], discount, key)
+        yield from _hot_tables(own, tables, shard, hot)
+        if not last:
+            yield from _tables(own, tables, shard, shards)
+        if sweep >= SWEEPS - KEPT:
+            summed = summed + tables
+            of_context = np.concatenate([of_context, [np.bincount(own.context, weights=tables, minlength=n)]])
+            of_follower = np.concatenate([of_follower, [p]])
+        yield {"kind": "state", "shard": shard, "a": _small(tables), "b": _small(summed), "c": _planes(of_context.astype(np.float32).ravel()), "d": _planes(of_follower.astype(np.float32).ravel())}
+
+    parts = [seats.where("kind = 'restaurants'"), masses.where("kind = 'masses'")] + ([state.where("kind = 'state'")] if state is not None else [])
+    whole = parts[0]
+    for df in parts[1:]:
+        whole = whole.unionByName(df)
+    return _per_shard(whole, swept)
+
+
+def answers(seats: DataFrame, state: DataFrame, shards: int, discount: float, hot: Hot, hot_kept: list[dict[int, float]]) -> DataFrame:
+    """For each block and shard the base-10 logarithm of its pairs' mean predictive probability."""
+
+    def answered(rows, shard):
+        own, r = Restaurants(rows["restaurants"][0], shards), rows["state"][0]
+        n, m = len(own.contexts), len(own.followers)
+        summed = _spread(r["b"], np.uint32).astype(float)
+        of_context, of_follower = _spread(r["c"], np.float32).reshape(KEPT, n).astype(float), _spread(r["d"], np.float32).reshape(KEPT, m).astype(float)
+        total = np.bincount(own.context, weights=own.customers, minlength=n)
+        for i in np.flatnonzero(np.isin(own.contexts, np.array(sorted(hot), _U))) if hot else []:
+            word = int(own.contexts[i])
+            total[i] = hot[word][0]
+            of_context[:, i] = [kept[word] for kept in hot_kept]
+        back = np.zeros(len(own.context))
+        for tables, p in zip(of_context, of_follower, strict=True):
+            back += (CONTEXT_STRENGTH + discount * tables)[own.context] * p[own.follower]
+        p = (own.customers - discount * summed / KEPT + back / KEPT) / (CONTEXT_STRENGTH + total)[own.context]
+        logs = np.log10(p).astype(np.float32)
+        for r in rows["places"]:
+            yield {"kind": "answers", "shard": shard, "other": r["other"], "a": _planes(logs[np.cumsum(_spread(r["a"], np.int32), dtype=np.int64)])}
+
+    return _per_shard(seats.where("kind in ('restaurants', 'places')").unionByName(state.where("kind = 'state'")), answered)
 
 
 # scores
@@ -409,67 +428,76 @@ def answer_words(asks: DataFrame) -> DataFrame:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def scores(made: DataFrame, answers: DataFrame, found: DataFrame, shards: int, hot: dict[int, int]) -> DataFrame:
-    totals = np.sum([np.frombuffer(r.a) for r in found.where("kind = 'sums'").select("a").collect()] or [np.zeros(4)], axis=0)
-    n, v, customers, held_back = totals
-    split: dict[int, list[float]] = {}
-    for r in answers.where("kind = 'hot'").collect():  # a row for each part of a split context
-        for key, back, all_ in zip(_un(r.a, _U).tolist(), np.frombuffer(r.b), np.frombuffer(r.c), strict=True):
-            one = split.setdefault(key, [0.0, 0.0])
-            one[0] += back
-            one[1] += all_
-    unseen = (PARENT_STRENGTH + held_back) / (v + 1)
-
+def scores(made: DataFrame, given: DataFrame, words: DataFrame, shards: int, hot: Hot, n: int, v: int) -> DataFrame:
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         block, got = Block(row), right.to_pylist()
-        nw = len(block.words)
-        count, parent = np.zeros(nw, np.int64), np.zeros(nw)
-        w_shard = (bytekit.mix64(block.words & _LOW48) % _U(shards)).astype(np.int64)
-        mass, back, all_ = np.zeros(len(block.pairs)), np.zeros(nw + 1), np.zeros(nw + 1)
-        p_shard = block.shards(shards, hot)
+        count, logs = np.zeros(len(block.words), np.int64), np.zeros(len(block.pairs))
+        w_shard, mine = shard_of(block.words, shards), dict(block.by_shard(shards, hot))
         for r in got:
-            if r["kind"] == "words":
-                at = np.flatnonzero(w_shard == r["shard"])
-                count[at] = _spread(r["a"], np.uint32).astype(np.int64) + (_spread(r["c"], np.uint32).astype(np.int64) << 32)
-                parent[at] = _spread(r["b"], np.float32)
+            if r["kind"] == "counts":
+                count[w_shard == r["shard"]] = _spread(r["a"], np.int64)
             else:
-                at = np.flatnonzero(p_shard == r["shard"])
-                code = np.frombuffer(zlib.decompress(r["a"]), np.uint8)
-                value = np.where(code == 1, np.frombuffer(r["d"], np.float32)[0], 0).astype(float)
-                value[code == 2] = _spread(r["b"], np.float32)
-                mass[at] = value
-                context = block.context[at]
-                heads = context[np.concatenate(([True], context[1:] != context[:-1]))]
-                parts = _spread(r["c"], np.float32).reshape(2, -1)
-                back[heads], all_[heads] = parts[0], parts[1]
-        for key, (b, a) in split.items():
-            at = np.flatnonzero((block.context_hash & _LOW48) == _U(key))
-            back[at], all_[at] = b, a
-        p1 = (parent + unseen) / (PARENT_STRENGTH + customers)
-        p2 = (mass + (CONTEXT_STRENGTH + back[block.context]) * p1[block.follower]) / (CONTEXT_STRENGTH + all_[block.context])
-        by_token = np.concatenate(([0.0], np.cumsum(np.log10(p2)[block.pair_of])))
+                logs[mine[r["shard"]]] = _spread(r["a"], np.float32)
+        by_token = np.concatenate(([0.0], np.cumsum(logs[block.pair_of])))
         base = np.concatenate(([0.0], np.cumsum(np.log10((count + 1) / (n + v + 1))[block.tokens])))
         known = np.concatenate(([0], np.cumsum((count > 0)[block.tokens])))
         begin = block.ends - block.sizes
-        none = _un(row["nulls"], bool)
-        ids = pa.array(_un(row["doc_ids"], np.int64), mask=none)
+        ids = pa.array(_un(row["doc_ids"], np.int64), mask=_un(row["nulls"], bool))
         columns = [ids, pa.array(block.held), pa.array(block.sizes.astype(np.int64)), pa.array(known[block.ends] - known[begin]), pa.array(base[block.ends] - base[begin]), pa.array(by_token[block.ends] - by_token[begin])]
         return pa.Table.from_arrays(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
 
-    both = answers.where("kind = 'pairs'").unionByName(found.where("kind = 'words'"))
+    both = given.where("kind = 'answers'").unionByName(words.where("kind = 'counts'")).select("kind", "shard", F.col("other").alias("block"), "a")
     out = made.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(scored, _SCORES)
-    return out.withColumn("train_tokens", F.lit(int(n)).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def discount_of(one: float, two: float) -> float:
+    """From the numbers of dishes with one and two customers."""
+    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+
+
+def _summed(df: DataFrame) -> list[float]:
+    row = df.where("kind = 'sums'").agg(*[F.sum(F.col(f"s{i}")) for i in range(4)]).first()
+    return [float(x or 0) for x in row]
+
+
+def _hot_sums(df: DataFrame) -> dict[int, float]:
+    out: dict[int, float] = {}
+    for r in df.where("kind = 'hot'").select("a", "b").collect():
+        for word, t in zip(_un(r.a, _U).tolist(), _un(r.b, float).tolist(), strict=True):
+            out[word] = out.get(word, 0.0) + t
+    return out
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     made = staged(blocks(docs, block_bytes), "blocks")
     shards = max(1, -(-int(made.agg(F.sum("n_tokens").alias("n")).first().n or 0) // shard_tokens))
-    hot = hot_contexts(made, shards)
-    answers = staged(answer_pairs(ask_pairs(made, shards, hot), hot), "pair-answers")
-    found = staged(answer_words(ask_words(made, answers, shards)), "word-answers")
-    return scores(made, answers, found, shards, hot)
+    words = staged(count_words(made, shards, shard_tokens), "words")
+    n, v, *_ = _summed(words)
+    hot: Hot = {w: (c, -(-2 * c // shard_tokens)) for r in words.where("kind = 'hot'").collect() for w, c in zip(_un(r.a, _U).tolist(), _un(r.b, np.int64).tolist(), strict=True)}
+    if int(END) in hot:  # texts begin as often as they end
+        hot[int(BEGIN)] = hot[int(END)]
+    seats = staged(seat_blocks(made, shards, hot), "restaurants")
+    discount = discount_of(*_summed(seats)[:2])
+    follow, tables, state, hot_tables, kept = seats.where("kind = 'follow'"), seats, None, _hot_sums(seats), []
+    parent_discount, parent_tables, rate = 0.5, v, 0.0
+    for sweep in range(SWEEPS):
+        u = float(np.random.default_rng([SEED, sweep]).gamma(PARENT_STRENGTH / parent_discount + parent_tables))
+        rate = parent_discount * u / (v + 1)
+        masses = staged(seat_parent(words, follow, tables.where("kind = 'tables'"), sweep, parent_discount, rate), "masses")
+        customers, parent_tables, one, two = _summed(masses)
+        parent = Parent(customers, parent_tables, parent_discount, v)
+        fresh = staged(sweep_restaurants(seats, state, masses, shards, sweep, discount, parent, hot, hot_tables), "state")
+        discard(masses, *([state] if state is not None else []))
+        state = tables = fresh
+        parent_discount, hot_tables = discount_of(one, two), _hot_sums(state)
+        if sweep >= SWEEPS - KEPT:
+            kept.append(hot_tables)
+    given = staged(answers(seats, state, shards, discount, hot, kept), "answers")
+    discard(seats, state)
+    return scores(made, given, words, shards, hot, int(n), int(v))
 
 
 def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

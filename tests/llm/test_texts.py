@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from feedforge.llm import fingerprints, mixing, packing, pitman_yor, secrets, simhash, token_counts
+from feedforge.llm import bytekit, fingerprints, mixing, packing, pitman_yor, seating, secrets, simhash, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -454,13 +454,91 @@ def test_curriculum_follows_weights(docs, odd):
 
 # language model
 
-def test_seating_bounds():
-    rng = np.random.default_rng(0)
-    customers = np.array([0, 1, 2, 5, 100, 100000])
-    tables = pitman_yor.sample_tables(customers, np.full(6, 2.0), 0.5, rng)
-    assert tables[0] == 0 and tables[1] == 1 and np.all(tables <= customers) and np.all(tables[1:] >= 1)
-    many = [pitman_yor.sample_tables(np.full(4000, 2), np.full(4000, 0.5), 0.5, np.random.default_rng(i)).mean() for i in range(3)]
-    assert np.allclose(many, 1.5, atol=0.05)  # the second customer opens a table with chance 0.5 / (0.5 + 0.5)
+def exact_tables(c, d, strength, p):
+    """Mean tables of a restaurant's only dish, from the recurrence of the generalised Stirling numbers."""
+    logs, t = np.full(c + 2, -np.inf), np.arange(c + 2)
+    logs[0] = 0
+    for n in range(c):
+        stay = np.where(n - d * t > 0, np.log(np.maximum(n - d * t, 1e-300)), -np.inf) + logs
+        logs = np.concatenate(([-np.inf], np.logaddexp(logs[:-1], stay[1:])))
+    logs = logs + t * np.log(p) + np.concatenate(([0], np.cumsum(np.log(strength + d * np.arange(c + 1)))))
+    w = np.exp(logs - logs.max())
+    return float((w * t).sum() / w.sum())
+
+
+@pytest.mark.parametrize("c, d, strength, p", [(50, 0.7, 1, 0.3), (200, 0.7, 1, 0.3), (1000, 0.7, 1, 0.3), (200, 0.7, 20, 0.01), (3, 0.5, 2, 0.5), (3000, 0.7, 1, 0.3), (20000, 0.5, 50, 0.2)])
+def test_tables_follow_the_exact_posterior(c, d, strength, p):
+    n, tables, total = 3000, np.ones(3000, np.int64), 0.0
+    for sweep in range(24):
+        key = bytekit.mix64(np.arange(n, dtype=np.uint64) + np.uint64(100003 * sweep))
+        u = seating.gamma(strength / d + tables, key)
+        tables = seating.draw_tables(np.full(n, c), d * u * p, d, key + np.uint64(5))
+        total += tables.mean() if sweep >= 8 else 0
+    assert total / 16 == pytest.approx(exact_tables(c, d, strength, p), rel=0.02)
+
+
+def test_gamma_variables():
+    x = seating.gamma(np.full(200000, 3.5), np.arange(200000, dtype=np.uint64))
+    assert x.mean() == pytest.approx(3.5, rel=0.01) and x.var() == pytest.approx(3.5, rel=0.02)
+    assert seating.draw_tables(np.array([0, 1]), np.ones(2), 0.5, np.arange(2, dtype=np.uint64)).tolist() == [0, 1]
+
+
+def brute_scores(rows):
+    """The model in one process, over dicts: same draws, no shards. rows: (id, text)."""
+    held = lambda i: binascii.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    name = lambda w: int(one_hash(w))
+    docs = [(i, [*(name(w) for w in WORDS.findall((t or "").translate(LOW))), int(pitman_yor.END)]) for i, t in rows]
+    counts = Counter()
+    for i, t in docs:
+        if not held(i):
+            counts.update(zip([int(pitman_yor.BEGIN), *t], t))
+    pairs = sorted(counts)
+    c = np.array([counts[p] for p in pairs])
+    contexts, followers = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.uint64)
+    words = np.unique(followers)
+    place, of = np.searchsorted(words, followers), np.unique(contexts, return_inverse=True)[1]
+    v, tables, U = len(words), np.ones(len(pairs), np.int64), np.uint64
+    d = pitman_yor.discount_of((c == 1).sum(), (c == 2).sum())
+    pd, pt, kept = 0.5, v, []
+    turn = lambda seed, sweep: U((seed + 1000 * sweep) * pitman_yor._PHI & 0xFFFFFFFFFFFFFFFF)
+    for sweep in range(pitman_yor.SWEEPS):
+        u = float(np.random.default_rng([pitman_yor.SEED, sweep]).gamma(1 / pd + pt))
+        customers = np.bincount(place, weights=tables).astype(np.int64)
+        own = seating.draw_tables(customers, np.full(v, pd * u / (v + 1)), pd, bytekit.mix64(words + turn(pitman_yor.SEED, sweep)))
+        pt = own.sum()
+        base = (1 + pd * pt) / (v + 1) / (1 + customers.sum())
+        p = (customers - pd * own) / (1 + customers.sum()) + base
+        t_of = np.bincount(of, weights=tables)
+        g = seating.gamma(1 / d + t_of, bytekit.mix64(np.unique(contexts) + turn(pitman_yor.SEED + 7, sweep)))
+        key = bytekit.mix64(bytekit.mix64(contexts + turn(pitman_yor.SEED + 7, sweep)) ^ followers)
+        tables = seating.draw_tables(c, d * g[of] * p[place], d, key)
+        if sweep >= pitman_yor.SWEEPS - pitman_yor.KEPT:
+            kept.append((dict(zip(words.tolist(), p.tolist())), base, dict(zip(pairs, tables.tolist())), dict(zip(np.unique(contexts).tolist(), np.bincount(of, weights=tables).tolist()))))
+        pd = pitman_yor.discount_of((customers == 1).sum(), (customers == 2).sum())
+    total = Counter()
+    for (u, _), n in counts.items():
+        total[u] += n
+    out = []
+    for i, t in docs:
+        s = 0.0
+        for u, w in zip([int(pitman_yor.BEGIN), *t], t):
+            s += math.log10(np.mean([(counts.get((u, w), 0) - d * tb.get((u, w), 0) + (1 + d * tc.get(u, 0)) * p.get(w, base)) / (1 + total[u]) for p, base, tb, tc in kept]))
+        out.append((i, s))
+    return out
+
+
+def one_hash(word):
+    texts = bytekit.Texts([word.encode()])
+    return texts.span_hashes(texts.start, texts.end)[0]
+
+
+@pytest.mark.parametrize("kw", [{"shard_tokens": 1 << 40}, {"block_bytes": 60000, "shard_tokens": 9000}])
+def test_language_model_scores_by_brute_force(docs, kw):
+    """The same scores whatever the blocks and shards, also where restaurants are split."""
+    got = {r.doc_id: r.score for r in pitman_yor.score(docs, **kw).collect()}
+    want = brute_scores([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    near = [abs(got[i] - s) <= 1e-4 * abs(s) + 1e-3 for i, s in want]
+    assert np.mean(near) == 1, (np.mean(near), [(got[i], s) for (i, s), ok in zip(want, near) if not ok][:5])
 
 
 @pytest.mark.parametrize("which, kw", [("docs", {}), ("docs", {"block_bytes": 40000, "shard_tokens": 3000}), ("odd", {"block_bytes": 5000, "shard_tokens": 3000})])
@@ -484,25 +562,5 @@ def test_language_model(request, which, kw):
         assert sum(r.score for r in apart) > sum(r.base_score for r in apart)
 
 
-def test_language_model_sums_to_one(docs):
-    """Masses of a context's followers and what is held back for the parent add up to its customers, and so in the parent."""
-    made = pitman_yor.blocks(docs.coalesce(1)).cache()
-    block = pitman_yor.Block(made.first().asDict())
-    answers = pitman_yor.answer_pairs(pitman_yor.ask_pairs(made, 1, {}), {}).cache()
-    row = answers.where("kind = 'pairs'").first()
-    code = np.frombuffer(pitman_yor.zlib.decompress(row.a), np.uint8)
-    mass = np.where(code == 1, np.frombuffer(row.d, np.float32)[0], 0.0)
-    mass[code == 2] = pitman_yor._spread(row.b, np.float32)
-    heads = block.context[np.concatenate(([True], block.context[1:] != block.context[:-1]))]
-    back, whole = pitman_yor._spread(row.c, np.float32).reshape(2, -1)
-    assert np.allclose(np.bincount(block.context, weights=mass)[heads] + back, whole, rtol=1e-4)
-    assert np.array_equal(np.bincount(block.context, weights=block.pair_counts())[heads], whole)
-    found = pitman_yor.answer_words(pitman_yor.ask_words(made, answers, 1)).cache()
-    n, v, customers, held_back = np.frombuffer(found.where("kind = 'sums'").first().a)
-    words = found.where("kind = 'words'").first()
-    count, parent = pitman_yor._spread(words.a, np.uint32).astype(np.int64), pitman_yor._spread(words.b, np.float32)
-    assert (n, v) == (count.sum(), (count > 0).sum()) and math.isclose(parent.astype(float).sum() + held_back, customers, rel_tol=1e-4)
-
-
 def test_language_model_empty(odd):
     assert pitman_yor.score(odd.limit(0)).count() == 0
