@@ -6,9 +6,10 @@ Base kinds are found by pattern alone. The method adds spans that are confirmed
   OpenSSH key container, or to the length-prefixed strings of one.
 * token: three base64url parts whose first decodes to a JSON object with an algorithm and whose
   second to a JSON object; the signature may be empty only for the algorithm "none".
-* key: a bare base64 or hexadecimal run that decodes to a DER private or public key structure
-  (a sequence whose nested lengths add up, with a version or an algorithm identifier in front), or
-  to SSH key fields. Base64 may be wrapped: lines are joined up to the one that ends the structure.
+* key: a bare base64, base64url or hexadecimal run that decodes to a DER private or public key
+  structure (a sequence whose nested lengths add up, with a version or an algorithm identifier in
+  front), or to SSH key fields. Every run that is long enough for a key is decoded. Base64 may be
+  wrapped: lines are joined up to the one that ends the structure.
 
 Lines of a pem or a key may also be parted by backslash-n or backslash-r as written in JSON or
 settings files, and may have quote marks (>) in front.
@@ -39,15 +40,20 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "pem", "token", "key")
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.>-]|\\+[nr])*?)-----END \1-----")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+_BEGIN = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,.>-]|\\+[nr])*")
+#: A header of 14 characters is the shortest that can name an algorithm.
+_TOKEN = re.compile(r"(?:(?<![A-Za-z0-9_\\-])|(?<=\\[nr])|(?<=\\)(?![nr]))(?=([A-Za-z0-9_-]{14,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
 _PARTS = re.compile(r"(?:[\s>]|\\+[nr])+")
 _NEXT = re.compile(r"[ \t>]*(?:\r?\n|\r|(?:\\+r)?\\+n|\\+r)[ \t>]*([A-Za-z0-9+/]+={0,2})")
-_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{38,}={0,2}")
-_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[Ff]70656[Ee]7373682[Dd])[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+#: Runs of 32 bytes and more; no key is shorter.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/\\])|(?<=\\[nr])|(?<=\\)(?![nr]))[A-Za-z0-9+/]{42,}={0,2}")
+_URL = re.compile(r"(?:(?<![A-Za-z0-9_\\-])|(?<=\\[nr])|(?<=\\)(?![nr]))[A-Za-z0-9_-]{42,}={0,2}")
+_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
+#: Bytes of the shortest word that a token or a run can stand in.
+_LEAST_TOKEN, _LEAST_RUN = 17, 42
 _CONTAINER = b"openssh-key-v1\0"
 _SSH_NAME = re.compile(rb"\0\0\0[\x05-\x40](?:ssh|ecdsa|sk)-")
-_HINTS = ("eyJ", "PRIVATE KEY-----")
 
 
 def _base64(text: str, url: bool = False) -> bytes | None:
@@ -180,29 +186,53 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    if _HINTS[1] in text:
-        for m in _PEM.finditer(text):
-            body = "".join(line for line in _PARTS.split(m[2]) if ":" not in line and "," not in line)
+def _pem_spans(text: str) -> list[tuple[str, int, int]]:
+    """Each BEGIN line with the next line of its kind, if that is its END; one pass over the text."""
+    out, begun = [], None
+    for m in _BEGIN.finditer(text):
+        if m[1] == "END" and begun is not None and begun[2] == m[2] and _BODY.fullmatch(text, begun.end(), m.start()):
+            body = "".join(line for line in _PARTS.split(text[begun.end() : m.start()]) if ":" not in line and "," not in line)
             data = _base64(body)
-            if data and (is_der_key(data) or is_ssh_key(data) or ("ENCRYPTED" in m[0] and len(data) % 8 == 0 and len(data) >= 32)):
-                out.append(("pem", *m.span()))
-    armoured = list(out)
-    if _HINTS[0] in text:
-        out += [("token", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
-    for m in _BASE64.finditer(text):
-        data = _base64(m[0])
-        if not any(a <= m.start() < b for _, a, b in armoured) and (end := _wrapped_end(text, m)):
-            out.append(("key", m.start(), end))
-        elif data and (is_der_key(data) or is_ssh_key(data)):
-            out.append(("key", *m.span()))
-    for m in _HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and (is_der_key(data := bytes.fromhex(m[0])) or is_ssh_key(data)):
-            out.append(("key", *m.span()))
+            if data and (is_der_key(data) or is_ssh_key(data) or ("ENCRYPTED" in text[begun.start() : m.end()] and len(data) % 8 == 0 and len(data) >= 32)):
+                out.append(("pem", begun.start(), m.end()))
+        begun = m if m[1] == "BEGIN" else None
     return out
 
 
+def confirmed_spans(text: str, longest: int | None = None) -> list[tuple[str, int, int]]:
+    """Spans confirmed by structure. `longest` may give the bytes of the longest word, to save looking for what can't be there."""
+    longest = len(text) * 4 if longest is None else longest
+    out = _pem_spans(text) if "PRIVATE KEY-----" in text else []
+    armoured = [(a, b) for _, a, b in out]
+    if longest >= _LEAST_TOKEN and "." in text:
+        out += [("token", m.start(), m.end(3)) for m in _TOKEN.finditer(text) if is_signed_token(*m.groups())]
+    if longest < _LEAST_RUN:
+        return out
+    keys: set[tuple[int, int]] = set()
+    covered, at = 0, 0
+    for m in _BASE64.finditer(text):
+        while at < len(armoured) and armoured[at][1] <= m.start():
+            at += 1
+        if m.start() < covered or at < len(armoured) and armoured[at][0] <= m.start():
+            continue
+        if end := _wrapped_end(text, m):
+            covered = end
+            keys.add((m.start(), end))
+        elif (data := _base64(m[0])) and (is_der_key(data) or is_ssh_key(data)):
+            keys.add(m.span())
+    keys |= {m.span() for m in _URL.finditer(text) if ("-" in m[0] or "_" in m[0]) and (data := _base64(m[0], url=True)) and (is_der_key(data) or is_ssh_key(data))}
+    keys |= {m.span() for m in _HEX_KEY.finditer(text) if len(m[0]) % 2 == 0 and (is_der_key(data := bytes.fromhex(m[0])) or is_ssh_key(data))}
+    return out + [("key", *span) for span in sorted(keys)]
+
+
+def longest_words(texts: bytekit.Texts) -> list[int]:
+    """Bytes of the longest word of each text."""
+    first, last, bounds = texts.words()
+    out = np.zeros(len(texts.blobs), np.int64)
+    np.maximum.at(out, bytekit.owners(bounds), last - first)
+    return out.tolist()
+
+
 def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
@@ -234,7 +264,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def scanned(batches):
         for part, texts in bytekit.batches_of_texts(batches):
             base = [base_spans(text) for text in (b.decode() for b in texts.blobs)]
-            more = [confirmed_spans(b.decode()) for b in texts.blobs]
+            more = [confirmed_spans(b.decode(), n) for b, n in zip(texts.blobs, longest_words(texts), strict=True)]
             counts = [pa.array(np.array([sum(s[0] == kind for s in spans) for spans in base], np.int64)) for kind in KINDS[:3]]
             digests = pa.array([hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base])
             yield pa.RecordBatch.from_arrays([*part.columns, *counts, digests, pa.array([joined(a + b) for a, b in zip(base, more, strict=True)])], names=[*names, *added])
@@ -249,7 +279,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def cleaned(batches):
         for part, texts in bytekit.batches_of_texts(batches):
             given = part.column(names.index("text")).to_pylist()
-            fresh = [None if text is None else redacted(text, base_spans(text) + confirmed_spans(text)) for text in given]
+            fresh = [None if text is None else redacted(text, base_spans(text) + confirmed_spans(text, n)) for text, n in zip(given, longest_words(texts), strict=True)]
             columns = list(part.columns)
             columns[names.index("text")] = pa.array(fresh, pa.string())
             if "n_chars" in names:
