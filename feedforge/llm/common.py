@@ -91,6 +91,21 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, target: str, modulus: int
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label")
 
 
+def whole_within(sample: DataFrame, size: Column, most: int) -> DataFrame:
+    """The sample's documents whose sizes add up to `most` at most, taken whole in md5 order of their ids; one that doesn't fit is left out.
+
+    The sizes of the sample's rows, whose number is bounded, go to the driver.
+    """
+    got = sample.groupBy("doc_id").agg(F.sum(size).alias("size")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").collect()
+    taken, full = [], 0
+    for r in got:
+        if full + r["size"] <= most:
+            taken.append((r.doc_id,))
+            full += r["size"]
+    chosen = sample.sparkSession.createDataFrame(taken, "doc_id long")
+    return sample.join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
 def widened(schema: T.StructType, ddl: str) -> T.StructType:
     """The schema with further fields, given as DDL."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import bytekit, common
 from .fitting import ChainField, platt, sigmoid
 
-#: Bound of the sample that the field is fitted on, and of the lines of one document in it.
-SAMPLE_ROWS, SAMPLE_LINES = 6000, 400
+#: Bounds of the sample that the field is fitted on: labelled documents, each of them whole, and their lines together.
+SAMPLE_ROWS, SAMPLE_LINES = 6000, 250_000
 THRESHOLD = 0.7
 MODULUS, HELD = 4, 2
 
@@ -111,9 +111,10 @@ def _weighted(p: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray
 
 
 def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held: int = HELD) -> LineQuality:
-    """Fit on at most `rows` labelled documents that aren't held out, and SAMPLE_LINES lines of each.
+    """Fit on at most `rows` whole labelled documents that aren't held out, of at most SAMPLE_LINES lines together.
 
-    Executors turn the sample into features, so that the driver gets numbers of bounded size.
+    Executors turn the sample into features, so that the driver gets numbers of bounded size
+    (252 bytes a line).
     """
 
     def features(batches):
@@ -121,22 +122,24 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int
             x, size, bounds = line_features(texts)
             label = part.column(part.schema.get_field_index("_label")).to_pylist()
             ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-            out = [(x[a : min(b, a + SAMPLE_LINES)], size[a : min(b, a + SAMPLE_LINES)]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            out = [(x[a:b], size[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "label": pa.array(label, pa.int32()), "lines": pa.array([len(s) for _, s in out], pa.int32()),
                 "x": pa.array([f.astype(np.float32).tobytes() for f, _ in out], pa.binary()), "size": pa.array([s.astype(np.float32).tobytes() for _, s in out], pa.binary()),
             })
 
     sample = common.labelled_sample(docs, marks, "quality", modulus, held, rows)
+    sample = common.whole_within(sample, F.regexp_count("text", F.lit("\n")) + 1, SAMPLE_LINES)
     got = sorted(sample.mapInArrow(features, "doc_id long, label int, lines int, x binary, size binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     width = line_features(bytekit.Texts([b""]))[0].shape[1]
     if len({r.label for r in got}) < 2:
         return LineQuality(ChainField(np.zeros(width), np.zeros((2, 2)), np.zeros(2)), (1.0, 0.0))
     lines = np.array([r.lines for r in got])
     bounds = np.concatenate(([0], np.cumsum(lines)))
-    x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, width) for r in got]).astype(float)
+    x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, width) for r in got])
     size = np.concatenate([np.frombuffer(r.size, np.float32) for r in got]).astype(float)
     label = np.array([r.label for r in got])
+    del got
     field = ChainField.fit(x, np.repeat(label, lines), bounds)
     raw = np.clip(_weighted(field.marginals(x @ field.weights, bounds), size, bounds), 1e-9, 1 - 1e-9)
     return LineQuality(field, platt(np.log(raw / (1 - raw)), label))
