@@ -12,9 +12,12 @@ pass through; a column named like an output is replaced by it.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bytekit, common
 from .fitting import adam, platt, sigmoid
@@ -24,8 +27,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 #: Least calibrated probability of label 1 that keeps a document.
 KEEP_AT = 0.5
-#: Bound of the sample of labelled rows, and of the bytes of one document in it.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 14
+#: Bounds of the sample that the regression is fitted on: labelled documents, each of them whole, and their bytes together.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 6 << 20
 BITS = 18
 KINDS = 5
 
@@ -112,28 +115,39 @@ class GramQuality:
         return sigmoid(self.scale[0] * margin + self.scale[1])
 
 
+def sparse_rows(texts: bytekit.Texts) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots of all kinds, their share of the kind's features) of each whole text."""
+    out: list[tuple[list, list]] = [([], []) for _ in texts.blobs]
+    for kind, (bounds, slots) in enumerate(_grams(texts)):
+        low, high = bounds if isinstance(bounds, tuple) else (bounds[:-1], bounds[1:])
+        for (at, share), a, b in zip(out, low, high, strict=True):
+            slot, count = np.unique(slots[a:b], return_counts=True)
+            at.append(slot + np.int32(kind << BITS))
+            share.append((count / max(1, b - a)).astype(np.float32))
+    return [(np.concatenate(at).astype(np.int32), np.concatenate(share)) for at, share in out]
+
+
 def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = 1, held: int = -1) -> GramQuality | None:
-    """Fit on at most `rows` labelled documents, each by its first SAMPLE_BYTES bytes; None without both labels."""
-    from pyspark.sql import functions as F
+    """Fit on at most `rows` whole labelled documents of at most SAMPLE_BYTES bytes together; None without both labels.
+
+    Executors hash the documents to sparse rows; the driver gets eight bytes for each distinct feature of a document.
+    """
 
-    sample = common.labelled_sample(docs, marks, "quality", modulus, held, rows)
-    got = sample.select("doc_id", "_label", F.expr(f"substring(cast(text as binary), 1, {SAMPLE_BYTES})").alias("text")).collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.text)))
-    label = np.array([r._label for r in got])
+    def hashed(batches):
+        for part, texts in bytekit.batches_of_texts(batches):
+            found = sparse_rows(texts)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "label": part.column(2), "slots": pa.array([a.tobytes() for a, _ in found], pa.binary()), "shares": pa.array([b.tobytes() for _, b in found], pa.binary())})
+
+    sample = common.whole_within(common.labelled_sample(docs, marks, "quality", modulus, held, rows), F.octet_length("text"), SAMPLE_BYTES)
+    got = sample.mapInArrow(hashed, "doc_id long, label int, slots binary, shares binary").collect()
+    got.sort(key=lambda r: (hashlib.md5(str(r.doc_id).encode()).digest(), bytes(r.slots)))
+    label = np.array([r.label for r in got])
     if len(set(label.tolist())) < 2:
         return None
     n, size = len(got), KINDS << BITS
-    parts: list[tuple] = []
-    for at in range(0, n, 50):
-        texts = bytekit.Texts([bytes(r.text) for r in got[at : at + 50]])
-        for kind, (bounds, slots) in enumerate(_grams(texts)):
-            low, high = bounds if isinstance(bounds, tuple) else (bounds[:-1], bounds[1:])
-            for i, (a, b) in enumerate(zip(low, high, strict=True)):
-                slot, count = np.unique(slots[a:b], return_counts=True)
-                parts.append((np.full(len(slot), at + i, np.int32), slot + np.int32(kind << BITS), (count / max(1, b - a)).astype(np.float32)))
+    rows_ = np.repeat(np.arange(n, dtype=np.int32), [len(r.slots) // 4 for r in got])
+    slots_, values = np.frombuffer(b"".join(r.slots for r in got), np.int32), np.frombuffer(b"".join(r.shares for r in got), np.float32)
     del got
-    rows_, slots_, values = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    del parts
     apart = np.arange(n) % 5 == 4
     fitted = ~apart
     gain = np.float32(20.0)
