@@ -54,6 +54,39 @@ class ChainField:
         """Probability of label 1 at each position, by forward-backward over all chains at once."""
         return _forward_backward(unary, bounds, self.move, self.begin)[0]
 
+    def none(self, unary: np.ndarray, bounds: np.ndarray, each: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(marginals, logarithm of the probability that no position of a chain has label 1). A position counts `each` times."""
+        p, ahead = _forward_backward(unary, bounds, self.move, self.begin)[::3]
+        return p, _log_none(p, unary + ahead, bounds, self.move, each)
+
+    @classmethod
+    def fit_any(cls, features: np.ndarray, any_one: np.ndarray, bounds: np.ndarray, each: np.ndarray, start: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> ChainField:
+        """Maximum marginal likelihood of chains of which only that is known whether any position has label 1.
+
+        The positions' labels are latent. The gradient of a chain without label 1 is that of its one
+        possible labelling; that of another chain is the same with the odds of no label 1 against any,
+        and the other sign. A position counts `each` times; `start` holds the first weights.
+        """
+        width, total = features.shape[1], max(1, len(bounds) - 1)
+        own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        heads = bounds[:-1][np.diff(bounds) > 0]
+        inner = np.ones(len(own), bool)
+        inner[heads] = False
+
+        def gradient(x):
+            unary, move, begin = features @ x[:width], x[width : width + 4].reshape(2, 2), x[width + 4 :]
+            p, ahead, forward = _messages(unary, bounds, move, begin)
+            none = _log_none(p, unary + ahead, bounds, move, each)
+            share = np.where(any_one > 0, -np.exp(np.clip(none, -50, -1e-6) - np.log(-np.expm1(np.clip(none, -50, -1e-6)))), 1.0)
+            weight = share[own] * each
+            pairs, first = _expected(unary, forward, ahead, p, bounds, move, weight)
+            pairs[0, 0] -= weight[inner].sum()
+            first[0] -= weight[heads].sum()
+            return np.concatenate([features.T @ (p * weight), pairs.ravel(), first]) / total + ridge * (x - start)
+
+        x = adam(gradient, start.copy(), steps, rate)
+        return cls(x[:width], x[width : width + 4].reshape(2, 2), x[width + 4 :])
+
     @classmethod
     def fit(cls, features: np.ndarray, label: np.ndarray, bounds: np.ndarray, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3, weight: np.ndarray | None = None) -> ChainField:
         """Maximum likelihood of whole label chains, with a ridge. Chains count by `weight`."""
@@ -71,7 +104,7 @@ class ChainField:
 
         def gradient(x):
             unary, move, begin = features @ x[:width], x[width : width + 4].reshape(2, 2), x[width + 4 :]
-            p, pairs, first = _forward_backward(unary, bounds, move, begin, each)
+            p, pairs, first, _ = _forward_backward(unary, bounds, move, begin, each)
             return np.concatenate([features.T @ ((p - label) * each), (pairs - seen).ravel(), first - seen_first]) / total + ridge * x
 
         x = adam(gradient, np.zeros(width + 6), steps, rate)
@@ -79,7 +112,15 @@ class ChainField:
 
 
 def _forward_backward(unary: np.ndarray, bounds: np.ndarray, move: np.ndarray, begin: np.ndarray, each: np.ndarray | None = None):
-    """Marginals; with `each` also the expected moves and first labels, weighted by it.
+    """Marginals, with `each` the expected moves and first labels, weighted by it, and the backward messages."""
+    p, backward, forward = _messages(unary, bounds, move, begin)
+    if each is None:
+        return p, None, None, backward
+    return p, *_expected(unary, forward, backward, p, bounds, move, each), backward
+
+
+def _messages(unary: np.ndarray, bounds: np.ndarray, move: np.ndarray, begin: np.ndarray):
+    """Marginals, backward and forward messages.
 
     Chains run side by side, longest first, so that step t works on the chains with over t
     positions. Messages are kept as log odds of label 1 against label 0: a forward message f is
@@ -111,16 +152,29 @@ def _forward_backward(unary: np.ndarray, bounds: np.ndarray, move: np.ndarray, b
         b = unary[at + 1] + ahead
         state = np.logaddexp(m10, m11 + b) - np.logaddexp(m00, m01 + b)
         backward[at] = state
-    p = sigmoid(forward + backward)
-    if each is None:
-        return p, None, None
-    inner = np.ones(n, bool)
+    return sigmoid(forward + backward), backward, forward
+
+
+def _expected(unary: np.ndarray, forward: np.ndarray, backward: np.ndarray, p: np.ndarray, bounds: np.ndarray, move: np.ndarray, each: np.ndarray):
+    """Expected moves and first labels, weighted by `each`."""
+    inner = np.ones(len(unary), bool)
     heads = bounds[:-1][np.diff(bounds) > 0]
     inner[heads] = False
     to = np.flatnonzero(inner)
     f, b = forward[to - 1], unary[to] + backward[to]
-    logs = np.stack([np.full(len(to), m00), m01 + b, m10 + f, m11 + f + b])
+    logs = np.stack([np.full(len(to), move[0, 0]), move[0, 1] + b, move[1, 0] + f, move[1, 1] + f + b])
     logs -= logs.max(0) if len(to) else 0
     odds = np.exp(logs)
     odds *= each[to] / odds.sum(0)
-    return p, odds.sum(1).reshape(2, 2), np.array([np.sum(each[heads] * (1 - p[heads])), np.sum(each[heads] * p[heads])])
+    return odds.sum(1).reshape(2, 2), np.array([np.sum(each[heads] * (1 - p[heads])), np.sum(each[heads] * p[heads])])
+
+
+def _log_none(p: np.ndarray, ahead: np.ndarray, bounds: np.ndarray, move: np.ndarray, each: np.ndarray | None) -> np.ndarray:
+    """Of each chain, the logarithm of the probability of label 0 throughout: first, then after one another."""
+    steps = -np.logaddexp(0, move[0, 1] - move[0, 0] + ahead)
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    steps[heads] = np.log1p(-np.minimum(p[heads], 1 - 1e-15))
+    if each is not None:
+        steps *= each
+    total = np.concatenate(([0.0], np.cumsum(steps)))
+    return total[bounds[1:]] - total[bounds[:-1]]

@@ -1,16 +1,17 @@
 """Toxicity: a linear-chain conditional random field that tags toxic tokens.
 
-Labels mark whole documents. They become token labels by association: a word, or the first
-letters of a word, that occurs in several toxic sample documents and far more often than in clean
-ones is toxic where it occurs in a toxic document. The field is fitted on these labelled tokens;
-its features are the strengths of association of a token and of its two neighbours.
-Forward-backward gives each token's probability of being toxic. The document's score is the
-calibrated chance that any of its tokens is, and the spans whose probability reaches a half are
-reported by code point offsets.
+Labels mark whole documents, so the labels of tokens are latent: the field is fitted by the marginal
+likelihood that a toxic document has a toxic token at least and a clean one has none. Its features
+are lexical (how far a word, or the first letters of a word, is associated with toxic documents of
+the sample), of shape (length, characters beside letters) and of context (the same of the two
+neighbours), all over whole texts. Forward-backward gives each token's probability of being toxic.
+The document's score is the calibrated chance that any of its tokens is, and the spans whose
+probability reaches a half are reported by code point offsets.
 
 Tokens without any association all look alike, so a run of them is shortened to the length after
-which forward and backward messages stand still in double precision; results are those of the
-full chain, at the cost of the tokens that matter.
+which forward and backward messages stand still in double precision, and its middle counts for what
+is left out; results are those of the full chain, at the cost of the tokens that matter. In fitting,
+runs are shortened to TRAIN_RUN on either side.
 
 Null texts count as empty; a text without tokens has the raw score of no toxic token. Repeated
 rows get equal scores. Without usable labels every score is 0. Extra columns pass through; a
@@ -19,6 +20,7 @@ column named like an output is replaced by it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -31,15 +33,15 @@ from pyspark.sql import functions as F
 from . import bytekit, common
 from .fitting import ChainField, platt, sigmoid
 
-#: Bound of the sample the field is fitted on, and of the tokens of one document in it.
-SAMPLE_ROWS, SAMPLE_TOKENS = 6000, 1024
+#: Bound of the sample of labelled documents; each is used whole.
+SAMPLE_ROWS = 6000
 THRESHOLD = 0.5
 MODULUS, HELD = 5, 0
-#: So many of these documents train the field; all of them give the associations.
-FIELD_ROWS = 2500
 #: A feature counts from so many toxic documents and so high a log odds ratio.
-LEAST_DOCUMENTS, LEAST_ODDS = 3, 2.0
+LEAST_DOCUMENTS, LEAST_ODDS = 3, 1.5
 PREFIXES = (6, 5, 4)
+#: Positions that are left of a run without associations on either side in fitting.
+TRAIN_RUN = 12
 #: Words whose class a worker remembers.
 MEMO = 500_000
 
@@ -59,12 +61,12 @@ class ToxicTokens:
         self._prepare()
 
     def _prepare(self):
-        move, begin = self.field.move, self.field.begin
-        self.base = float(_features(np.zeros((1, _WIDTH)), np.zeros((1, _WIDTH)), np.zeros((1, _WIDTH)))[0] @ self.field.weights)
+        move = self.field.move
+        self.base = float(_features(*[np.zeros((1, _WIDTH))] * 3)[0] @ self.field.weights)
         step = np.exp(move) * np.exp([0.0, self.base])[None, :]
         eigen = np.sort(np.abs(np.linalg.eigvals(step)))
         ratio = float(eigen[0] / eigen[1])
-        self.still = min(4096, 4 + (0 if ratio <= 0 else math.ceil(math.log(1e-17) / math.log(min(ratio, 0.9999)))))
+        self.still = 4 + (0 if ratio <= 0 else math.ceil(math.log(1e-17) / math.log(min(ratio, 1 - 1e-12))))
         self._memo: dict[str, tuple] = {}
 
     def __getstate__(self):
@@ -75,9 +77,9 @@ class ToxicTokens:
         self._prepare()
 
     def look_up(self, word: str):
-        """The token's strengths by form, or None where it has none."""
+        """The token's strengths by form and its shape, or None where it has no strength."""
         found = tuple(self.strength.get(x, 0.0) for x in forms(word))
-        return found if any(found) else None
+        return (*found, *shape(word)) if any(found) else None
 
     def _classes(self, words: list[str]) -> list:
         memo, out = self._memo, []
@@ -95,45 +97,55 @@ class ToxicTokens:
     def hits(self, words: list[str]) -> dict[int, tuple]:
         return {i: c for i, c in enumerate(self._classes(words)) if c is not None}
 
-    def tag(self, hits: list[dict[int, tuple]], sizes: list[int]) -> list[tuple[dict[int, float], float]]:
-        """For each text: probability of the tokens at or beside a hit, and the log chance that no token is toxic."""
-        unary, bounds, places = [], [0], []
+    def chains(self, hits: list[dict[int, tuple]], sizes: list[int], still: int):
+        """(features, count of each position, its token or -1, bounds) of texts with runs shortened to `still` on either side."""
+        blank = [0.0] * _WIDTH
+        own, before, after, each, token, bounds = [], [], [], [], [], [0]
         for found, n in zip(hits, sizes, strict=True):
             near = sorted({j for i in found for j in (i - 1, i, i + 1) if 0 <= j < n})
-            last, chain, own = -1, [], []
-            rows = np.zeros((len(near), 3, _WIDTH))
-            for r, j in enumerate(near):
-                for s in (0, 1, 2):
-                    if (c := found.get(j + s - 1)) is not None:
-                        rows[r, s] = c
-            values = _features(rows[:, 1], rows[:, 0], rows[:, 2]) @ self.field.weights if near else ()
-            for j, v in zip([*near, n], [*values, None], strict=True):
+            last = -1
+            for j in (*near, n):
                 gap = j - last - 1
-                kept = min(gap, 2 * self.still + 1)
-                chain.extend([self.base] * kept)
-                weights = [1.0] * kept
-                if kept:  # the middle of the run stands for all that was left out
+                kept = min(gap, 2 * still + 1)
+                if kept:
+                    weights = [1.0] * kept
                     weights[kept // 2] += gap - kept
-                own.extend((-1, w) for w in weights)
-                if v is not None:
-                    chain.append(v)
-                    own.append((j, 1.0))
+                    each.extend(weights)
+                    token.extend([-1] * kept)
+                    for side in (own, before, after):
+                        side.extend([blank] * kept)
+                if j < n:
+                    for side, i in ((own, j), (before, j - 1), (after, j + 1)):
+                        side.append(found.get(i, blank))
+                    each.append(1.0)
+                    token.append(j)
                 last = j
-            unary.extend(chain)
-            bounds.append(bounds[-1] + len(chain))
-            places.append(own)
-        p = self.field.marginals(np.array(unary, float), np.array(bounds))
-        out = []
-        for k, own in enumerate(places):
-            mine = p[bounds[k] : bounds[k + 1]]
-            weight = np.array([w for _, w in own])
-            none = float(np.sum(np.log1p(-np.minimum(mine, 1 - 1e-12)) * weight)) if own else 0.0
-            out.append(({j: float(q) for (j, _), q in zip(own, mine, strict=True) if j >= 0}, none))
+            bounds.append(len(each))
+        table = lambda x: np.array(x, np.float32).reshape(-1, _WIDTH)
+        return _features(table(own), table(before), table(after)), np.array(each), np.array(token, np.int64), np.array(bounds)
+
+    def tag(self, hits: list[dict[int, tuple]], sizes: list[int]) -> list[tuple[dict[int, float], float]]:
+        """For each text: probability of the tokens at or beside a hit, and the log chance that no token is toxic."""
+        out: list = [None] * len(hits)
+        plain: dict[int, list[int]] = {}
+        for k, (found, n) in enumerate(zip(hits, sizes, strict=True)):
+            if not found:  # texts without a hit differ in length alone
+                plain.setdefault(n, []).append(k)
+        some = [k for k, found in enumerate(hits) if found] + [own[0] for own in plain.values()]
+        x, each, token, bounds = self.chains([hits[k] for k in some], [sizes[k] for k in some], self.still)
+        p, none = self.field.none(x @ self.field.weights, bounds, each)
+        for i, k in enumerate(some):
+            a, b = bounds[i], bounds[i + 1]
+            at = np.flatnonzero(token[a:b] >= 0) + a
+            out[k] = (dict(zip(token[at].tolist(), p[at].tolist(), strict=True)), float(none[i]))
+        for own in plain.values():
+            for k in own[1:]:
+                out[k] = out[own[0]]
         return out
 
     def raw(self, none: np.ndarray) -> np.ndarray:
         """Log odds of some token being toxic."""
-        none = np.minimum(none, -1e-9)
+        none = np.minimum(none, -1e-12)
         return np.log(-np.expm1(none)) - none
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
@@ -155,57 +167,68 @@ def _split(text: str) -> list[str]:
 
 #: str.split() also splits at these ASCII characters, which belong to words.
 _ODD = {0x1C: "�", 0x1D: "�", 0x1E: "�", 0x1F: "�"}
-_WIDTH = 1 + len(PREFIXES)
+_STRENGTHS = 1 + len(PREFIXES)
+_WIDTH = _STRENGTHS + 2
+
+
+def shape(word: str) -> tuple[float, float]:
+    """Length, and share of characters that aren't letters."""
+    return min(len(word), 20) / 20, sum(not c.isalpha() for c in word) / max(1, len(word))
 
 
 def _features(own: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    hit = lambda x: (x > 0).any(1, keepdims=True).astype(float)
-    return np.concatenate([own / 5, hit(own), before.max(1, keepdims=True) / 5, after.max(1, keepdims=True) / 5, hit(before) * hit(own), hit(after) * hit(own), np.ones((len(own), 1))], 1)
+    hit = lambda x: (x[:, :_STRENGTHS] > 0).any(1, keepdims=True).astype(float)
+    top = lambda x: x[:, :_STRENGTHS].max(1, keepdims=True) / 5
+    return np.concatenate([own[:, :_STRENGTHS] / 5, own[:, _STRENGTHS:], hit(own), top(before), top(after), hit(before) * hit(own), hit(after) * hit(own), np.ones((len(own), 1))], 1)
 
 
-def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held: int = HELD) -> ToxicTokens | None:
-    """Fit on at most `rows` labelled documents that aren't held out, and SAMPLE_TOKENS tokens of each; None without both labels."""
-    sample = common.labelled_sample(docs, marks, "toxic", modulus, held, rows)
+def _strengths(sample: DataFrame) -> tuple[dict[str, float], int]:
+    """Forms that are associated with toxic documents of the sample, and the number of its labels: counted on executors, over whole texts."""
 
-    def heads(batches):
+    def counted(batches):
+        total: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            text = [" ".join(_split(x or "")[:SAMPLE_TOKENS]) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), batch.column(2)], names=["doc_id", "text", "label"])
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                total[label].update({f for w in set(_split(text)) for f in forms(w) if len(f) > 3})
+                total[label][""] += 1
+        for label, counts in total.items():
+            yield pa.RecordBatch.from_pydict({"form": pa.array(list(counts), pa.string()), "toxic": pa.array([n * label for n in counts.values()], pa.int64()), "clean": pa.array([n * (1 - label) for n in counts.values()], pa.int64())})
+
+    per = sample.mapInArrow(counted, "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    got = {r.form: (r.toxic, r.clean) for r in per.where((F.col("form") == "") | (F.col("toxic") >= LEAST_DOCUMENTS)).collect()}
+    toxic, clean = got.pop("", (0, 0))
+    odds = {f: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) for f, (a, b) in got.items()}
+    return {f: x for f, x in odds.items() if x >= LEAST_ODDS}, (toxic > 0) + (clean > 0)
 
-    got = sorted(sample.mapInArrow(heads, "doc_id long, text string, label int").collect())
-    label = np.array([r.label for r in got])
-    toxic, clean = int((label == 1).sum()), int((label == 0).sum())
-    if not toxic or not clean:
+
+def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int = MODULUS, held: int = HELD) -> ToxicTokens | None:
+    """Fit on at most `rows` labelled documents that aren't held out, each of them whole; None without both labels."""
+    sample = common.labelled_sample(docs, marks, "toxic", modulus, held, rows)
+    strength, labels = _strengths(sample)
+    if labels < 2:
         return None
-    seen = (Counter(), Counter())
-    pool: dict[str, str] = {}  # one object for each distinct word keeps the sample small
-    words = [[pool.setdefault(w, w) for w in r.text.split(" ")] if r.text else [] for r in got]
-    del got, pool
-    known: dict[str, tuple[str, ...]] = {}
-    for w, y in zip(words, label, strict=True):
-        seen[y].update({f for x in set(w) for f in known.setdefault(x, forms(x)) if f})
-    strength = {}
-    for f, n in seen[1].items():
-        odds = math.log((n + 0.5) / (toxic + 1)) - math.log((seen[0].get(f, 0) + 0.5) / (clean + 1))
-        if n >= LEAST_DOCUMENTS and odds >= LEAST_ODDS and len(f) > 3:
-            strength[f] = odds
-    del seen, known
-    model = ToxicTokens(strength, ChainField(np.zeros(_features(*[np.zeros((1, _WIDTH))] * 3).shape[1]), np.zeros((2, 2)), np.zeros(2)), (1.0, 0.0))
-    some = [i for i in range(len(words)) if words[i]]
-    sure = LEAST_ODDS + 1
-    features, marked, bounds = [], [], [0]
-    for i in some[:FIELD_ROWS]:
-        found = model.hits(words[i])
-        table = np.zeros((len(words[i]) + 2, _WIDTH))
-        for j, c in found.items():
-            table[j + 1] = c
-        features.append(_features(table[1:-1], table[:-2], table[2:]).astype(np.float32))
-        marked.append((table[1:-1].max(1) >= sure) & (label[i] == 1))
-        bounds.append(bounds[-1] + len(words[i]))
-    model.field = ChainField.fit(np.concatenate(features), np.concatenate(marked).astype(np.int64), np.array(bounds), steps=50, rate=0.3, ridge=1e-4)
+    width = _features(*[np.zeros((1, _WIDTH))] * 3).shape[1]
+    start = np.zeros(width + 6)
+    start[:_STRENGTHS], start[width - 1] = 1.0, -6.0  # no token is toxic at first, but for strong associations
+    model = ToxicTokens(strength, ChainField(start[:width], np.zeros((2, 2)), np.zeros(2)), (1.0, 0.0))
+
+    def found(batches):
+        for batch in batches:
+            words = [_split(x) for x in batch.column(1).to_pylist()]
+            hits = [model.hits(w) for w in words]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "label": batch.column(2), "n": pa.array([len(w) for w in words], pa.int64()),
+                "at": pa.array([np.array(list(h), np.int32).tobytes() for h in hits]), "what": pa.array([np.array(list(h.values()), np.float32).tobytes() for h in hits]),
+            })
+
+    got = sample.mapInArrow(found, "doc_id long, label int, n long, at binary, what binary").collect()
+    got.sort(key=lambda r: (hashlib.md5(str(r.doc_id).encode()).digest(), r.n, bytes(r.at), bytes(r.what)))
+    label, sizes = np.array([r.label for r in got]), [r.n for r in got]
+    hits = [dict(zip(np.frombuffer(r.at, np.int32).tolist(), map(tuple, np.frombuffer(r.what, np.float32).reshape(-1, _WIDTH).tolist()), strict=True)) for r in got]
+    x, each, _, bounds = model.chains(hits, sizes, TRAIN_RUN)
+    model.field = ChainField.fit_any(x, label, bounds, each, start)
     model._prepare()
-    tags = model.tag([model.hits(w) for w in words], [len(w) for w in words])
-    model.scale = platt(model.raw(np.array([t[1] for t in tags])), label)
+    model.scale = platt(model.raw(np.array([t[1] for t in model.tag(hits, sizes)])), label)
     return model
 
 

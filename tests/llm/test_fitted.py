@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from feedforge.llm import bytekit, quality_lines, quality_rules, toxicity
+from feedforge.llm import bytekit, fitting, quality_lines, quality_rules, toxicity
 from feedforge.llm.fitting import ChainField, platt
 
 SF = "/root/testdata/sf0.01"
@@ -50,9 +50,14 @@ def test_quality_lines_held_out(spark, docs, marks):
     assert n > 50 and share > 0.95
 
 
-def test_toxicity_held_out(spark, docs, marks):
-    n, share = accuracy(toxicity.op10_toxicity(spark, SF), marks, "toxic")
-    assert n > 50 and share > 0.9
+def test_toxicity_held_out(spark, docs):
+    """Of held-out toxic documents most are caught, and few clean ones are."""
+    at = "/root/testdata/sf0.1"
+    rows = toxicity.op10_toxicity(spark, at).where("held_out").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").collect()
+    caught = sum(r.predicted and r.toxic for r in rows)
+    assert sum(r.toxic for r in rows) > 50
+    assert caught >= 0.85 * sum(r.toxic for r in rows) and caught >= 0.9 * sum(r.predicted for r in rows)
+    assert sum(r.spans != "" for r in rows if r.predicted) > 0.8 * sum(r.predicted for r in rows)
 
 
 def brute_counts(text):
@@ -102,16 +107,71 @@ def test_odd_rows(request, spark, which, marks):
     assert toxicity.fit(df, nulls) is None and quality_rules.fit(df, nulls) is None
 
 
+def test_fitted_models_take_odd_rows(spark, docs, odd, marks):
+    full = spark.read.parquet(f"{SF}/documents.parquet")
+    lines, rules, tox = quality_lines.fit(full, marks), quality_rules.fit(full, marks, rows=300), toxicity.fit(full, marks)
+    for df in (odd, odd.limit(0)):
+        n = df.count()
+        for out in (quality_lines.score(df, lines), toxicity.score(df, tox)):
+            rows = out.collect()
+            assert len(rows) == n and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
+        rows = quality_rules.judge(df, rules).collect()
+        assert len(rows) == n and all(0 <= r.probability <= 1 and r.kept <= (not r.base_failed) for r in rows)
+    same = quality_lines.score(odd, lines).where("doc_id = 1").collect()
+    assert same[0].score == same[1].score
+
+
+def test_none_and_its_gradient_by_enumeration():
+    rng = np.random.default_rng(9)
+    x, bounds, any_one, each = rng.normal(size=(9, 2)), np.array([0, 3, 5, 9]), np.array([1, 0, 1]), np.ones(9)
+    w, move, begin = rng.normal(size=2), rng.normal(size=(2, 2)), rng.normal(size=2)
+
+    def logs(w, move, begin):
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            score = {y: begin[y[0]] + sum(move[p, q] for p, q in zip(y, y[1:])) + np.dot(x[a:b] @ w, y) for y in itertools.product((0, 1), repeat=int(b - a))}
+            out.append(score[(0,) * int(b - a)] - np.log(np.sum(np.exp(list(score.values())))))
+        return np.array(out)
+
+    assert np.allclose(ChainField(w, move, begin).none(x @ w, bounds)[1], logs(w, move, begin))
+    theta = np.concatenate([w, move.ravel(), begin])
+    loss = lambda t: np.mean(np.where(any_one > 0, -np.log(-np.expm1(logs(t[:2], t[2:6].reshape(2, 2), t[6:]))), -logs(t[:2], t[2:6].reshape(2, 2), t[6:])))
+    want = np.array([(loss(theta + e) - loss(theta - e)) / 2e-6 for e in np.eye(8) * 1e-6])
+    found = []
+    real, fitting.adam = fitting.adam, lambda gradient, x, steps, rate: (found.append(gradient(x)), x)[1]
+    try:
+        ChainField.fit_any(x, any_one, bounds, each, theta)
+    finally:
+        fitting.adam = real
+    assert np.allclose(found[0], want, atol=1e-5)
+
+
+def test_latent_tags_find_the_cause():
+    """Only whole chains are labelled; the field still tags the positions that make the difference."""
+    rng = np.random.default_rng(2)
+    bounds = np.arange(0, 4001, 20)
+    any_one = np.arange(200) % 2
+    cause = np.zeros(4000)
+    for i in np.flatnonzero(any_one):
+        cause[bounds[i] + rng.integers(0, 17) + np.arange(3)] = 1
+    x = np.stack([cause, (rng.random(4000) < 0.1).astype(float), np.ones(4000)], 1)
+    start = np.zeros(9)
+    start[:3] = (1, 1, -3)
+    field = ChainField.fit_any(x, any_one, bounds, np.ones(4000), start)
+    tags = field.marginals(x @ field.weights, bounds) > 0.5
+    assert tags[cause == 1].mean() > 0.9 and tags[cause == 0].mean() < 0.02
+
+
 def test_toxic_spans_are_found_beside_clean_words():
-    field = ChainField(np.array([5.0, 4, 4, 4, 5, -2, -2, -1, 0, -2.0]), np.array([[2.0, -2], [-2, -2]]), np.array([0.0, -2]))
+    field = ChainField(np.array([5.0, 4, 4, 4, 0, 0, 5, -2, -2, -1, 0, -2.0]), np.array([[2.0, -2], [-2, -2]]), np.array([0.0, -2]))
     model = toxicity.ToxicTokens({"=bad": 9.0}, field, (1.0, 0.0))
     texts = ["", "fine " * 500, "fine " * 300 + "Bad! " + "fine " * 300]
     score, spans = model.score(texts)
     assert spans == [[], [], [(1500, 1504)]] and score[2] > score[1] and score[0] <= score[1] + 1e-9
-    whole = ChainField.marginals(field, *chain(model, texts[2]))
+    whole, whole_none = field.none(*chain(model, texts[2]))
     near, none = model.tag([model.hits(toxicity._split(texts[2]))], [601])[0]
     assert np.allclose([near[299], near[300], near[301]], whole[299:302])
-    assert none == pytest.approx(np.log1p(-whole).sum(), rel=1e-6)
+    assert none == pytest.approx(whole_none[0], rel=1e-6)
 
 
 def chain(model, text):
