@@ -41,7 +41,7 @@ from .seating import draw_tables, gamma
 
 MODULUS, HELD = 7, 2
 #: Text of a block, and tokens of a shard on average.
-BLOCK_BYTES, SHARD_TOKENS = 8 << 20, 2_000_000
+BLOCK_BYTES, SHARD_TOKENS = 6 << 20, 1_200_000
 #: Concentrations of context restaurants and of their parent.
 CONTEXT_STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 SWEEPS, KEPT = 5, 3
@@ -453,8 +453,8 @@ def scores(made: DataFrame, given: DataFrame, words: DataFrame, shards: int, hot
 
 
 def discount_of(one: float, two: float) -> float:
-    """From the numbers of dishes with one and two customers."""
-    return min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+    """From the numbers of dishes with one and two customers, to two decimals."""
+    return round(min(0.95, max(0.05, one / (one + 2 * two))), 2) if one else 0.5
 
 
 def _summed(df: DataFrame) -> list[float]:

@@ -46,7 +46,7 @@ def gamma(shape: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(8)
+@lru_cache(3)
 def stirling(d: float) -> np.ndarray:
     """Logarithms of S(c, t), c and t from 0 to EXACT."""
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)

@@ -42,14 +42,15 @@ from . import bytekit, common
 from .common import discard, staged
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: What brings texts together: fingerprints of distinct words and of distinct word pairs, at so many differing bits.
-KEEP_RADIUS, KEEP_WIDTHS = 6, (1, 2)
+#: What brings texts together: fingerprints of distinct words and of distinct word pairs, either one at so many
+#: differing bits and both together at so many.
+KEEP_RADIUS, KEEP_TOGETHER, KEEP_WIDTHS = 6, 18, (1, 2)
 #: What then makes them near-duplicates.
 KEEP_WORDS, KEEP_SIMILARITY = 5, 0.8
 #: Members from which a shard is dealt again by further bits.
 DENSE = 20_000
 #: Members of the small shards that are searched together, and of a large one that are searched before its components are joined.
-TOGETHER, BLOCK = 1 << 16, 1024
+TOGETHER, BLOCK = 1 << 15, 256
 
 _U = np.uint64
 
@@ -197,11 +198,11 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> t
 class Members:
     """Rows of complete shards, sorted by shard and fingerprint: trees over distinct fingerprints, and the rows at each."""
 
-    def __init__(self, shard: np.ndarray, fp: np.ndarray, own: np.ndarray, marks: np.ndarray | None, size: np.ndarray | None):
+    def __init__(self, shard: np.ndarray, fp: np.ndarray, own: np.ndarray, other: np.ndarray | None = None, marks: np.ndarray | None = None, size: np.ndarray | None = None):
         heads = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1]))))
         self.first, self.count = heads, np.diff(np.append(heads, len(fp)))
         self.trees = Trees(fp[heads], _starts(shard[heads]))
-        self.own, self.marks, self.size = own, marks, size
+        self.own, self.other, self.marks, self.size = own, other, marks, size
         self.node = np.repeat(np.arange(len(heads)), self.count)
 
     def pairs(self, queries: np.ndarray, radius: int, similarity: float, label: np.ndarray, skip: bool):
@@ -214,7 +215,7 @@ class Members:
         else:
             q, v, d = self.trees.near(queries, radius)
         sizes = self.count[q] * self.count[v]
-        for at in _chunks(sizes, 1 << 21):
+        for at in _chunks(sizes, 1 << 18):
             part, n = slice(*at), sizes[slice(*at)]
             k, one = _counting(n), np.repeat(np.arange(len(n)), n)
             width = self.count[v[part]][one]
@@ -222,6 +223,8 @@ class Members:
             keep = (a > b) & (label[a] != label[b])
             a, b, cost = a[keep], b[keep], d[part][one][keep]
             if self.marks is not None:
+                both = cost + np.bitwise_count(self.other[a] ^ self.other[b]) <= KEEP_TOGETHER
+                a, b = a[both], b[both]
                 # each shingle that only one has flips one bit of the mark, so this is a lower bound of the difference
                 cost = np.bitwise_count(self.marks[a] ^ self.marks[b]).sum(1, dtype=np.int64)
                 total = self.size[a] + self.size[b]
@@ -253,7 +256,8 @@ def forest(members: Members, radius: int, similarity: float, large: bool) -> tup
 
 
 _SHARD = "key int, shard long, fp long"
-_FULL = _SHARD + ", vertex long, class long, mark0 long, mark1 long, size long"
+_MARKS = ("mark0", "mark1", "mark2", "mark3")
+_FULL = _SHARD + ", vertex long, class long, other long, " + "".join(f"{m} long, " for m in _MARKS) + "size long"
 
 
 def _linked(batches, radius: int, similarity: float, across: bool, dense: int, ddl: str):
@@ -273,8 +277,8 @@ def _linked(batches, radius: int, similarity: float, across: bool, dense: int, d
 
     def links(rows, large):
         own = rows[3] if len(rows) > 3 else rows[2]
-        marks, size = (np.stack([rows[5].view(_U), rows[6].view(_U)], 1), rows[7]) if len(rows) > 3 else (None, None)
-        members = Members(rows[1], rows[2].view(_U), own, marks, size)
+        more = (rows[5].view(_U), np.stack([x.view(_U) for x in rows[6:10]], 1), rows[10]) if len(rows) > 3 else ()
+        members = Members(rows[1], rows[2].view(_U), own, *more)
         if not across:
             a, b = forest(members, radius, similarity, large)
             if len(a):
@@ -339,14 +343,15 @@ def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2, kept: tupl
     """(key, shard, fp, *kept): each fingerprint in all shards that its links may share.
 
     Of radius + agree blocks of bits, two fingerprints within the radius agree on `agree` at least;
-    a shard is a choice of so many blocks and their bits. Several fingerprints of a row are kept apart.
+    a shard is a choice of so many blocks and their bits. Of two fingerprints of a row, shards are made
+    of either one, with the other one beside it.
     """
     masks, rows = _blocks(list(range(64)), radius, agree), []
     for t, name in enumerate(tables):
         for k, mask in enumerate(masks):
             key = t * len(masks) + k
-            rows.append(F.struct(F.lit(key).alias("key"), F.xxhash64(F.lit(key), F.col(name).bitwiseAND(F.lit(_signed(mask)).cast("long"))).alias("shard"), F.col(name).alias("fp")))
-    return distinct.select(F.explode(F.array(*rows)).alias("_at"), *kept).select("_at.*", *kept)
+            rows.append(F.struct(F.lit(key).alias("key"), F.xxhash64(F.lit(key), F.col(name).bitwiseAND(F.lit(_signed(mask)).cast("long"))).alias("shard"), F.col(name).alias("fp"), *(F.col(x).alias("other") for x in tables if x != name)))
+    return distinct.select(F.explode(F.array(*rows)).alias("_at"), *(x for x in kept if x != "other")).select("_at.key", "_at.shard", "_at.fp", *(x if x != "other" else "_at.other" for x in kept))
 
 
 def further(dense: DataFrame, radius: int, agree: int = 2) -> DataFrame:
@@ -426,12 +431,12 @@ def _shingles(text: str, words: int) -> set[bytes]:
 
 
 def marks_of(blobs: list[bytes], words: int = KEEP_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(two words of bits, number) of the distinct shingles of each text: each shingle flips one of 128 bits."""
-    marks, sizes, digest = np.zeros((len(blobs), 2), _U), np.zeros(len(blobs), np.int64), xxhash.xxh64_intdigest
+    """(four words of bits, number) of the distinct shingles of each text: each shingle flips one of 256 bits."""
+    marks, sizes, digest = np.zeros((len(blobs), len(_MARKS)), _U), np.zeros(len(blobs), np.int64), xxhash.xxh64_intdigest
     for i, blob in enumerate(blobs):
         own = blob.lower().split()
         found = {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))}
-        bits = np.bincount(np.array([digest(x) & 127 for x in found]), minlength=128) & 1
+        bits = np.bincount(np.array([digest(x) & 255 for x in found]), minlength=256) & 1
         marks[i], sizes[i] = np.packbits(bits.astype(np.uint8), bitorder="little").view(_U), len(found)
     return marks, sizes
 
@@ -445,7 +450,7 @@ def _printed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
             prints = [fingerprint_of(texts.blobs, w, distinct=True).view(np.int64) for w in KEEP_WIDTHS]
             marks, sizes = marks_of(texts.blobs)
             marks = marks.view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, (*prints, np.ascontiguousarray(marks[:, 0]), np.ascontiguousarray(marks[:, 1]), sizes))], names=[*columns, *names.values()])
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, (*prints, *(np.ascontiguousarray(m) for m in marks.T), sizes))], names=[*columns, *names.values()])
 
     return docs.mapInArrow(made, common.widened(docs.schema, ", ".join(f"{x} long" for x in names.values())))
 
@@ -474,21 +479,21 @@ def keep_first(docs: DataFrame, radius: int = KEEP_RADIUS, words: int = KEEP_WOR
     """docs without the near-duplicates: of each group the row with the smallest id stays (null ids last, then the first row).
 
     Groups are connected by pairs of texts that SimHash brings together (radius differing bits at
-    most in either of two fingerprints) and whose shingles of `words` words are similar enough.
+    most in either of two fingerprints, KEEP_TOGETHER in both) and whose shingles of `words` words are similar enough.
     Equal texts are one vertex. In each shard a spanning forest of what SimHash brings together,
     with the pairs first whose marks differ least, is compared first, which joins most near copies;
     then every pair within the radius that still spans two classes. Pairs whose marks prove them too
     different to be similar are left out of both: no similar pair within the radius is lost.
     """
-    names = {x: common.free_name(docs, "_" + x) for x in ("fp0", "fp1", "mark0", "mark1", "size")}
+    names = {x: common.free_name(docs, "_" + x) for x in ("fp0", "fp1", *_MARKS, "size")}
     row, same = common.free_name(docs, "_row"), common.free_name(docs, "_same")
     text = F.coalesce("text", F.lit(""))
     numbered = staged(_printed(docs, names).withColumns({row: F.monotonically_increasing_id(), same: F.xxhash64(text)}), "fingerprinted")
     narrow = numbered.select("doc_id", F.col(row).alias("row"), F.col(same).alias("same"), *(F.col(v).alias(k) for k, v in names.items()))
     alone = ("fp0", "fp1", "same")
-    vertices = staged(narrow.groupBy(*alone).agg(F.min("row").alias("vertex"), *(F.first(x).alias(x) for x in ("mark0", "mark1", "size"))), "vertices")
+    vertices = staged(narrow.groupBy(*alone).agg(F.min("row").alias("vertex"), *(F.first(x).alias(x) for x in (*_MARKS, "size"))), "vertices")
     texts = numbered.select(F.col(row).alias("row"), text.alias("text"))
-    kept = ("vertex", "class", "mark0", "mark1", "size")
+    kept = ("vertex", "class", "other", *_MARKS, "size")
     pairs = linked(shards(vertices.withColumn("class", F.col("vertex")), radius, kept=kept, tables=("fp0", "fp1")), radius, similarity)
     good = staged(alike(pairs, texts, words, similarity), "alike")
     rooted = contract(good)
