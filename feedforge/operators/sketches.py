@@ -7,6 +7,7 @@ levels (within a day, and over the days), so no window holds the whole stream.
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,30 +115,38 @@ def sampled(events: DataFrame, column: str, one_in: int = 10) -> DataFrame:
 
 
 class Dgim:
-    """Approximate ones among the last `width` bits: at most two buckets of each size, half of the oldest counted."""
+    """Approximate ones among the last `width` bits. levels[i] holds, newest first, the times at which
+    groups of 2^i ones ended, two at most; the oldest group counts by half."""
 
-    def __init__(self, width: int, clock: int = 0, buckets: list[list[int]] | None = None):
-        self.width, self.clock, self.buckets = width, clock, buckets or []
+    def __init__(self, width: int, clock: int = 0, levels: list[list[int]] | None = None):
+        self.width, self.clock, self.levels = width, clock, [deque(x) for x in levels or []]
 
     def update(self, bit: int) -> None:
         self.clock += 1
-        while self.buckets and self.buckets[-1][0] <= self.clock - self.width:
-            self.buckets.pop()
-        if not bit:
-            return
-        self.buckets.insert(0, [self.clock, 1])
-        size, at = 1, 0
-        while True:
-            same = [i for i in range(at, len(self.buckets)) if self.buckets[i][1] == size]
-            if len(same) <= 2:
+        if self.levels and self.levels[-1][-1] <= self.clock - self.width:
+            self.levels[-1].pop()
+            if not self.levels[-1]:
+                self.levels.pop()
+        ended = self.clock if bit else None
+        for level in self.levels:
+            if ended is None:
                 return
-            keep, drop = same[-2], same[-1]
-            self.buckets[keep][1] *= 2
-            del self.buckets[drop]
-            size, at = 2 * size, keep
+            level.appendleft(ended)
+            ended = None
+            if len(level) > 2:
+                level.pop()
+                ended = level.pop()
+        if ended is not None:
+            self.levels.append(deque([ended]))
 
     def count(self) -> int:
-        return sum(b[1] for b in self.buckets[:-1]) + self.buckets[-1][1] // 2 if self.buckets else 0
+        if not self.levels:
+            return 0
+        oldest = 1 << len(self.levels) - 1
+        return sum(len(level) << i for i, level in enumerate(self.levels)) - oldest + oldest // 2
+
+    def state(self) -> list[list[int]]:
+        return [list(level) for level in self.levels]
 
 
 def dgim_by_key(events: DataFrame, key: str, bit: Column, width: int) -> DataFrame:

@@ -22,7 +22,7 @@ def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None
 
 
 def hourly_counts(events: DataFrame, time: str = "ts", late: str = "2 hours") -> DataFrame:
-    """hour, event_type, events by tumbling hours of event time; rows later than `late` are dropped by the watermark."""
+    """hour, event_type, events by tumbling hours of event time. In append and update mode rows later than `late` are dropped by the watermark; complete mode keeps all hours."""
     rows = events.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
     return rows.groupBy(F.window("_at", "1 hour"), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("hour"), "event_type", "events")
 
@@ -40,7 +40,7 @@ def dgim_counts(bits: DataFrame, key: str, width: int) -> DataFrame:
         sketch = Dgim(width, clock, json.loads(buckets))
         for bit in pd.concat(list(parts)).sort_values("seq")["bit"].tolist():
             sketch.update(int(bit))
-        state.update((sketch.clock, json.dumps(sketch.buckets)))
+        state.update((sketch.clock, json.dumps(sketch.state())))
         yield pd.DataFrame({key: [name[0]], "arrivals": [sketch.clock], "estimate": [sketch.count()]})
 
     return bits.groupBy(key).applyInPandasWithState(step, f"{key} string, arrivals long, estimate long", "clock long, buckets string", "update", GroupStateTimeout.NoTimeout)
