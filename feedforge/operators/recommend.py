@@ -41,21 +41,27 @@ def scores(train: DataFrame, sims: DataFrame) -> DataFrame:
 
 
 def hit_rates(split: DataFrame, ks=KS) -> DataFrame:
-    """k, popularity_hit_rate, cf_hit_rate, gain_pct over users with a held-out item. Users without any candidate get the popular items."""
+    """k, popularity_hit_rate, cf_hit_rate, gain_pct over users with a held-out item. Users without any candidate get the popular items.
+
+    Only the rank of the held-out item is needed. Among popular items it is its rank among all less
+    the user's own items before it; an item below the first max(ks) plus the longest history can't
+    be a hit, so that many are ranked. Among candidates it is the number of those before it.
+    """
     train, test = split.where("not held").select("user", "repo"), split.where("held").select("user", "repo")
-    people = test.select("user")
-    popular = people.crossJoin(popularity(train)).join(train, ["user", "repo"], "left_anti").select("user", "repo", F.col("users").cast("double").alias("score"))
-    found = scores(train, similarity(train)).join(people, "user", "left_semi")
-    rest = popular.join(found.select("user").distinct(), "user", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("score"), "repo"))
-    most = max(ks)
-    placed = lambda recs, name: test.join(recs.withColumn(name, rank).where(F.col(name) <= most).select("user", "repo", name), ["user", "repo"], "left")
-    both = placed(popular, "p").join(placed(found.unionByName(rest), "c"), ["user", "repo"])
-    out = None
-    for k in ks:
-        hit = lambda c: F.avg(F.when(F.col(c) <= k, 1).otherwise(0))  # noqa: B023, E731
-        row = both.agg(hit("p").alias("_p"), hit("c").alias("_c")).select(
-            F.lit(k).alias("k"), F.round("_p", 6).alias("popularity_hit_rate"), F.round("_c", 6).alias("cf_hit_rate"), F.round(F.when(F.col("_p") > 0, (F.col("_c") - F.col("_p")) / F.col("_p") * 100).otherwise(0.0), 4).alias("gain_pct")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    longest = train.groupBy("user").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    top = popularity(train).orderBy(F.desc("users"), "repo").limit(max(ks) + longest)
+    top = top.select("repo", F.row_number().over(Window.orderBy(F.desc("users"), "repo")).alias("_at"))
+    at = test.join(top, "repo")
+    own = train.join(top.select("repo", F.col("_at").alias("_own")), "repo").select("user", "_own")
+    popular = at.join(own, "user", "left").groupBy("user", "_at").agg(F.count_if(F.col("_own") < F.col("_at")).alias("_n")).select("user", (F.col("_at") - F.col("_n")).alias("p"))
+    found = scores(train, similarity(train)).join(test.select("user", F.col("repo").alias("_held")), "user")
+    mine = F.max(F.when(F.col("repo") == F.col("_held"), F.col("score"))).over(Window.partitionBy("user"))
+    before = (F.col("score") > F.col("_mine")) | ((F.col("score") == F.col("_mine")) & (F.col("repo") < F.col("_held")))
+    ranked = found.withColumn("_mine", mine).groupBy("user").agg((F.count_if(before) + 1).alias("_c"), F.max("_mine").alias("_mine"))
+    both = test.join(popular, "user", "left").join(ranked, "user", "left")
+    both = both.select("p", F.when(F.col("_c").isNull(), F.col("p")).when(F.col("_mine").isNotNull(), F.col("_c")).alias("c"))
+    hit = lambda c, k: F.avg(F.when(F.col(c) <= k, 1).otherwise(0))
+    rates = both.agg(*[hit(c, k).alias(f"{c}{k}") for c in "pc" for k in ks])
+    rows = rates.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("_p"), F.col(f"c{k}").alias("_c")) for k in ks])).alias("r")).select("r.*")
+    gain = F.when(F.col("_p") > 0, (F.col("_c") - F.col("_p")) / F.col("_p") * 100).otherwise(0.0)
+    return rows.select("k", F.round("_p", 6).alias("popularity_hit_rate"), F.round("_c", 6).alias("cf_hit_rate"), F.round(gain, 4).alias("gain_pct"))
