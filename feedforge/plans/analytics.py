@@ -28,12 +28,12 @@ def query(name: str, sql: str | None = None):
 # word count
 
 _STOP = ", ".join(f"'{w}'" for w in wordcount.STOP_WORDS)
-_TOKENS = "WITH tokens AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en')"
+_TOKENS = "WITH tokens AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents)"
 _WORDS = _TOKENS + f", counted AS (SELECT word, count(*) AS count FROM tokens WHERE length(word) >= 3 AND word NOT IN ({_STOP}) GROUP BY word)"
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en'").select("text")
+    return table(spark, d, "documents").select("text")
 
 
 @query("word_count", _WORDS + " SELECT * FROM counted")
@@ -46,7 +46,7 @@ def top_words(spark: SparkSession, d: str) -> DataFrame:
     return wordcount.top_words(wordcount.word_count(_messages(spark, d), "text"))
 
 
-@query("word_counters", _TOKENS + f""" SELECT (SELECT count(*) FROM documents WHERE lang = 'en') AS records, 0::BIGINT AS bot_records_skipped,
+@query("word_counters", _TOKENS + f""" SELECT (SELECT count(*) FROM documents) AS records, 0::BIGINT AS bot_records_skipped,
   count(*) FILTER (length(word) BETWEEN 1 AND 2) AS short_tokens_skipped, count(*) FILTER (length(word) >= 3 AND word IN ({_STOP})) AS stopwords_skipped,
   count(*) FILTER (length(word) >= 3 AND word NOT IN ({_STOP})) AS words_emitted FROM tokens""")
 def word_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +273,7 @@ def cf_hit_rate(spark: SparkSession, d: str) -> DataFrame:
 
 # graph
 
-MIN_WEIGHT = 20
+MIN_WEIGHT = 2
 _EDGES = _ev(f""", repos AS (SELECT DISTINCT actor_login AS actor, repo_owner || '/' || repo AS repo FROM ev WHERE NOT is_bot AND event_type IN ('PushEvent', 'PullRequestEvent', 'IssuesEvent')),
 fit AS (SELECT * FROM repos SEMI JOIN (SELECT actor FROM repos GROUP BY actor HAVING count(*) BETWEEN 2 AND 50) USING (actor)),
 edges AS (SELECT a.repo AS src, b.repo AS dst, count(*) AS weight FROM fit a JOIN fit b ON a.actor = b.actor AND a.repo < b.repo GROUP BY ALL HAVING count(*) >= {MIN_WEIGHT}),
