@@ -6,6 +6,7 @@ two texts. All offsets are into that buffer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,21 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system, and keep doing so for large arrays: workers are reused, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: The number of that option in malloc.h.
+_MMAP_THRESHOLD = -3
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, element by element."""
     x = x.astype(_U, copy=True)

@@ -41,7 +41,7 @@ from .seating import draw_tables, gamma
 
 MODULUS, HELD = 7, 2
 #: Text of a block, and tokens of a shard on average.
-BLOCK_BYTES, SHARD_TOKENS = 6 << 20, 1_200_000
+BLOCK_BYTES, SHARD_TOKENS = 6 << 20, 2_000_000
 #: Concentrations of context restaurants and of their parent.
 CONTEXT_STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 SWEEPS, KEPT = 5, 3
@@ -129,6 +129,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             if full >= block_bytes:
                 yield _block_row((task << 24) + n, ids, sizes, hashes)
                 ids, sizes, hashes, full, n = [], [], [], 0, n + 1
+                bytekit.give_back()
         if ids:
             yield _block_row((task << 24) + n, ids, sizes, hashes)
 
@@ -191,9 +192,11 @@ def _rows(df: DataFrame, make) -> DataFrame:
     """make(row) gives rows for each row of df."""
 
     def run(batches):
+        bytekit.give_back()
         for batch in batches:
             for row in batch.to_pylist():
                 yield _record(list(make(row)))
+        bytekit.give_back()
 
     return df.mapInArrow(run, _ROW)
 
@@ -207,7 +210,10 @@ def _per_shard(df: DataFrame, make) -> DataFrame:
             rows.setdefault(r["kind"], []).append(r)
         for own in rows.values():
             own.sort(key=lambda r: -1 if r["other"] is None else r["other"])
-        return pa.Table.from_batches([_record(list(make(rows, table["shard"][0].as_py())))])
+        out = pa.Table.from_batches([_record(list(make(rows, table["shard"][0].as_py())))])
+        rows.clear()
+        bytekit.give_back()
+        return out
 
     return df.groupBy("shard").applyInArrow(run, _ROW)
 
@@ -445,6 +451,8 @@ def scores(made: DataFrame, given: DataFrame, words: DataFrame, shards: int, hot
         begin = block.ends - block.sizes
         ids = pa.array(_un(row["doc_ids"], np.int64), mask=_un(row["nulls"], bool))
         columns = [ids, pa.array(block.held), pa.array(block.sizes.astype(np.int64)), pa.array(known[block.ends] - known[begin]), pa.array(base[block.ends] - base[begin]), pa.array(by_token[block.ends] - by_token[begin])]
+        del block, got, logs, by_token, base
+        bytekit.give_back()
         return pa.Table.from_arrays(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
 
     both = given.where("kind = 'answers'").unionByName(words.where("kind = 'counts'")).select("kind", "shard", F.col("other").alias("block"), "a")
