@@ -159,21 +159,29 @@ class Block:
 
     def by_shard(self, n: int, hot: Hot):
         """(shard, its pairs in order of the hashes of context and word)."""
-        hashes = self.context_hash[self.context]
-        shard = shard_of(hashes, n)
+        shard = shard_of(self.context_hash, n)[self.context]
         if hot:
             keys = np.array(sorted(hot), _U)
             parts = np.array([hot[int(k)][1] for k in keys], _U)
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            mine = np.flatnonzero(keys[at] == hashes)
-            part = bytekit.mix64(self.words[self.follower[mine]]) % parts[at[mine]]
-            shard[mine] = shard_of(hashes[mine] + part * _U(_PHI), n)
-        # words ascend with their hashes, contexts but for the beginning do too
-        order = np.lexsort((self.follower, hashes, shard))
+            at = np.minimum(np.searchsorted(keys, self.context_hash), len(keys) - 1)
+            mine = np.flatnonzero((keys[at] == self.context_hash)[self.context])
+            context = self.context[mine]
+            part = bytekit.mix64(self.words)[self.follower[mine]] % parts[at[context]]
+            shard[mine] = shard_of(self.context_hash[context] + part * _U(_PHI), n)
+        # words ascend with their hashes and pairs with their words; only those of the beginning, the last ones, move to the place of its hash
+        begin = int(np.searchsorted(self.context, len(self.words)))
+        to = int(np.searchsorted(self.context, np.searchsorted(self.words, BEGIN)))
+        order = np.concatenate([np.arange(to), np.arange(begin, len(shard)), np.arange(to, begin)])
+        order = order[_grouping(shard[order], n)]
         cuts = np.searchsorted(shard[order], np.arange(n + 1))
         return [(s, order[a:b]) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
 
 
+def _grouping(shard: np.ndarray, n: int) -> np.ndarray:
+    """Places by shard, in order within each one. Narrow numbers are sorted by their bytes."""
+    return np.argsort(shard.astype(np.min_scalar_type(n)), kind="stable")
+
+
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (bytekit.mix64(hashes) % _U(n)).astype(np.int64)
 
@@ -226,8 +234,10 @@ def count_words(made: DataFrame, shards: int, shard_tokens: int = SHARD_TOKENS)
     def asked(row):
         words, counts = _climb(row["words"]), _spread(row["counts"], np.uint32)
         shard = shard_of(words, shards)
-        for s in range(shards):
-            at = np.flatnonzero(shard == s)
+        order = _grouping(shard, shards)
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            at = order[a:b]
             if len(at):
                 yield {"kind": "words", "shard": s, "other": row["block"], "a": _steps(words[at]), "b": _small(counts[at])}
 
@@ -260,7 +270,7 @@ class Restaurants:
         self.follower, self.customers = _spread(row["d"], np.uint32).astype(np.int64), _spread(row["e"], np.uint32).astype(np.int64)
         shard = shard_of(self.followers, words)
         #: Followers by the shard of words that they belong to.
-        self.order = np.argsort(shard, kind="stable")
+        self.order = _grouping(shard, words)
         self.cuts = np.searchsorted(shard[self.order], np.arange(words + 1))
 
 
@@ -387,8 +397,11 @@ def sweep_restaurants(seats: DataFrame, state: DataFrame | None, masses: DataFra
             total[i] = hot_tables[int(own.contexts[i])]
         turn = _U((SEED + 7 + 1000 * sweep) * _PHI & 0xFFFFFFFFFFFFFFFF)
         u = gamma(CONTEXT_STRENGTH / discount + total, bytekit.mix64(own.contexts + turn))
-        key = bytekit.mix64(bytekit.mix64(own.contexts + turn)[own.context] ^ own.followers[own.follower])
-        tables = draw_tables(own.customers, discount * u[own.context] * p[own.follower], discount, key)
+        # none or one customer has as many tables: only the others are drawn
+        tables, several = np.minimum(own.customers, 1), np.flatnonzero(own.customers > 1)
+        context, follower = own.context[several], own.follower[several]
+        key = bytekit.mix64(bytekit.mix64(own.contexts + turn)[context] ^ own.followers[follower])
+        tables[several] = draw_tables(own.customers[several], discount * u[context] * p[follower], discount, key)
         yield from _hot_tables(own, tables, shard, hot)
         if not last:
             yield from _tables(own, tables, shard, shards)
@@ -440,9 +453,11 @@ def scores(made: DataFrame, given: DataFrame, words: DataFrame, shards: int, hot
         block, got = Block(row), right.to_pylist()
         count, logs = np.zeros(len(block.words), np.int64), np.zeros(len(block.pairs))
         w_shard, mine = shard_of(block.words, shards), dict(block.by_shard(shards, hot))
+        w_order = _grouping(w_shard, shards)
+        w_cuts = np.searchsorted(w_shard[w_order], np.arange(shards + 1))
         for r in got:
             if r["kind"] == "counts":
-                count[w_shard == r["shard"]] = _spread(r["a"], np.int64)
+                count[w_order[w_cuts[r["shard"]] : w_cuts[r["shard"] + 1]]] = _spread(r["a"], np.int64)
             else:
                 logs[mine[r["shard"]]] = _spread(r["a"], np.float32)
         by_token = np.concatenate(([0.0], np.cumsum(logs[block.pair_of])))
