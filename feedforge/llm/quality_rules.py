@@ -29,6 +29,8 @@ SYMBOLS = b"#*$%&|<>"
 KEEP_AT = 0.5
 #: Bounds of the sample that the regression is fitted on: labelled documents, each of them whole, and their bytes together.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 6 << 20
+#: Bytes of text hashed at once; a longer text is handled alone.
+SCORED_BYTES = 1 << 18
 BITS = 18
 KINDS = 5
 
@@ -134,7 +136,8 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int
     """
 
     def hashed(batches):
-        for part, texts in bytekit.batches_of_texts(batches):
+        bytekit.give_back()
+        for part, texts in bytekit.batches_of_texts(batches, limit=SCORED_BYTES):
             found = sparse_rows(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "label": part.column(2), "slots": pa.array([a.tobytes() for a, _ in found], pa.binary()), "shares": pa.array([b.tobytes() for _, b in found], pa.binary())})
 
@@ -173,11 +176,13 @@ def judge(docs: DataFrame, model: GramQuality | None, keep_at: float = KEEP_AT)
     names = docs.columns
 
     def judged(batches):
-        for part, texts in bytekit.batches_of_texts(batches):
+        bytekit.give_back()
+        for part, texts in bytekit.batches_of_texts(batches, limit=SCORED_BYTES):
             counts = base_counts(texts)
             p = model.score(texts) if model else np.full(len(texts.blobs), np.nan)
             kept = ~counts["base_failed"] & ((p >= keep_at) | np.isnan(p))
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in counts.values()), pa.array(p, from_pandas=True), pa.array(kept)], names=[*names, *added])
+        bytekit.give_back()
 
     ddl = ", ".join(f"{x} long" for x in added[:5]) + ", base_failed boolean, probability double, kept boolean"
     return docs.mapInArrow(judged, common.widened(docs.schema, ddl))
