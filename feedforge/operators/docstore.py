@@ -15,7 +15,7 @@ BOT = r"(?i)\[bot\]$"
 def event_share(docs: DataFrame) -> DataFrame:
     per = docs.groupBy(F.col("type").alias("event_type")).agg(F.count("*").alias("count"))
     whole = per.agg(F.sum("count").alias("_whole"))
-    return per.crossJoin(F.broadcast(whole)).select("event_type", "count", F.bround(F.col("count") / F.col("_whole") * 100, 2).alias("percentage"))
+    return per.crossJoin(F.broadcast(whole)).select("event_type", "count", F.bround(F.col("count") / F.col("_whole") * 100, 2).alias("percentage")).orderBy(F.desc("count"), "event_type")
 
 
 def top_starred(docs: DataFrame, most: int = 10) -> DataFrame:
@@ -34,14 +34,19 @@ def commit_stats(docs: DataFrame, most: int = 10, slice_rows: int | None = None)
     return per.orderBy(F.desc("commits"), "repo").limit(most)
 
 
+def stats(docs: DataFrame) -> DataFrame:
+    """One row: documents, and the span of their times."""
+    return docs.agg(F.count("*").alias("documents"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+
+
 def bot_human(docs: DataFrame) -> DataFrame:
     kind = F.when(F.col("actor.login").rlike(BOT), "BOT").otherwise("HUMAN")
-    return docs.groupBy(F.col("type").alias("event_type"), kind.alias("actor_category")).agg(F.count("*").alias("count"))
+    return docs.groupBy(F.col("type").alias("event_type"), kind.alias("actor_category")).agg(F.count("*").alias("count")).orderBy("event_type", F.desc("count"))
 
 
 def issue_lifecycle(docs: DataFrame) -> DataFrame:
     """A missing action is a group of its own."""
-    return docs.where("type = 'IssuesEvent'").groupBy(F.col("payload.action").alias("action")).agg(F.count("*").alias("total_actions"))
+    return docs.where("type = 'IssuesEvent'").groupBy(F.col("payload.action").alias("action")).agg(F.count("*").alias("total_actions")).orderBy(F.desc("total_actions"), "action")
 
 
 def find(docs: DataFrame, where: Column, *fields: str) -> DataFrame:
@@ -52,8 +57,11 @@ def insert(docs: DataFrame, new: DataFrame) -> DataFrame:
     return docs.unionByName(new)
 
 
-def update(docs: DataFrame, where: Column, path: str, value: Column) -> DataFrame:
-    """Set one field, nested ones by dotted path, where the condition holds."""
+def update(docs: DataFrame, where: Column, path: str, value: Column, stamp: str | None = None) -> DataFrame:
+    """Set one field, nested ones by dotted path, where the condition holds; stamp names a column that then gets the current time."""
+    if stamp is not None:
+        before = F.col(stamp) if stamp in docs.columns else F.lit(None).cast("timestamp")
+        docs = docs.withColumn(stamp, F.when(where, F.current_timestamp()).otherwise(before))
     top, _, rest = path.partition(".")
     changed = F.col(top).withField(rest, value) if rest else value
     return docs.withColumn(top, F.when(where, changed).otherwise(F.col(top)))

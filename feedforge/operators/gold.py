@@ -55,6 +55,14 @@ def repo_collaboration(events: DataFrame, most: int = 50) -> DataFrame:
     return _rank(per, ["era"], [F.desc("contributors"), "repo"], most).select("era", "rank_no", "repo", "contributors", "events")
 
 
+def weekday_grid(events: DataFrame) -> DataFrame:
+    """events for every weekday and hour, 0 where there are none: 168 rows."""
+    days, hours = F.array(*map(F.lit, ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"))), F.sequence(F.lit(0), F.lit(23))
+    grid = events.sparkSession.range(1).select(F.explode(days).alias("weekday")).select("weekday", F.explode(hours).alias("hr"))
+    per = events.groupBy(F.date_format("created_at", "EEE").alias("weekday"), "hr").agg(F.count("*").alias("events"))
+    return grid.join(per, ["weekday", "hr"], "left").select("weekday", "hr", F.coalesce("events", F.lit(0)).alias("events"))
+
+
 def complete_days(events: DataFrame, hours: int = 24) -> DataFrame:
     return events.groupBy("dt").agg(F.count_distinct("hr").alias("hours")).where(F.col("hours") == hours)
 

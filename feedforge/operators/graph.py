@@ -15,8 +15,10 @@ from ..sources.staging import staged
 CONTRIBUTIONS = ("PushEvent", "PullRequestEvent", "IssuesEvent")
 
 
-def edges(events: DataFrame, min_weight: int = 2, least_repos: int = 2, most_repos: int = 50) -> DataFrame:
-    """(src, dst, weight), src < dst: people that contributed to both. People with fewer or more repositories make no pairs."""
+def edges(events: DataFrame, min_weight: int = 2, least_repos: int = 2, most_repos: int = 50, most_events: int | None = None) -> DataFrame:
+    """(src, dst, weight), src < dst: people that contributed to both. People with fewer or more repositories make no pairs. most_events looks at the earliest so many events only."""
+    if most_events is not None:
+        events = events.orderBy("created_at", "event_id").limit(most_events)
     pairs = events.where(~F.col("is_bot") & F.col("event_type").isin(*CONTRIBUTIONS)).select(F.col("actor_login").alias("actor"), F.concat("repo_owner", F.lit("/"), "repo").alias("repo")).distinct()
     fit = pairs.groupBy("actor").agg(F.count("*").alias("n")).where(F.col("n").between(least_repos, most_repos)).select("actor")
     pairs = pairs.join(fit, "actor", "left_semi")
@@ -62,6 +64,18 @@ def top_subgraph(edge: DataFrame, most: int = 30) -> DataFrame:
     return edge.join(top.select(F.col("node").alias("src")), "src", "left_semi").join(top.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "weight")
 
 
+def plot_edges(edge: DataFrame, most: int = 50) -> DataFrame:
+    """The subgraph of the nodes of highest degree; where none of them are linked, the heaviest edges instead."""
+    top = top_subgraph(edge, most)
+    return edge.select("src", "dst", "weight").orderBy(F.desc("weight"), "src", "dst").limit(most) if top.isEmpty() else top
+
+
+def plot_nodes(edge: DataFrame, most: int = 50) -> DataFrame:
+    """Nodes of highest degree with a size on a log scale and a label."""
+    top = degrees(edge).orderBy(F.desc("degree"), "node").limit(most)
+    return top.select("node", "degree", F.round(F.log1p("degree"), 6).alias("size"), F.format_string("%s (%d)", "node", "degree").alias("label"))
+
+
 def louvain_of(links: list[tuple[str, str, float]], whole: float) -> dict[str, str]:
     """Communities of one connected graph by greedy local moves and aggregation; deterministic in the order of names."""
     near: dict[str, dict[str, float]] = {}

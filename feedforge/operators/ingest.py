@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import time
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +68,11 @@ def profile(rows: DataFrame) -> DataFrame:
     return out.withColumn("era", F.when(F.col("pushes") == 0, "unknown").when(F.col("pushes_with_commits") > 0, "v2024").otherwise("v2026"))
 
 
+def type_mix(rows: DataFrame) -> DataFrame:
+    """type, events of the lines that can be read, most frequent first."""
+    return good(rows).groupBy("type").agg(F.count("*").alias("events")).orderBy(F.desc("events"), "type")
+
+
 def gate(profiled: DataFrame, min_lines: int = MIN_LINES, max_bad: float = MAX_BAD_RATIO) -> dict:
     """The profile as a dict; raises if lines are too few or too many are bad."""
     row = profiled.first().asDict()
@@ -88,6 +94,34 @@ def write_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def load(rows: DataFrame, path: str, *by: str, drop: bool = False) -> dict:
+    """Add the lines that can be read to a table, or replace it: inserted, failed, seconds and rows a second. Counted while written, in one pass."""
+    seen, started = Observation(), time.monotonic()
+    counted = rows.observe(seen, F.count("*").alias("lines"), F.count_if(F.col("_corrupt").isNotNull()).alias("failed"))
+    good(counted).write.mode("overwrite" if drop else "append").partitionBy(*by).parquet(path)
+    seconds, got = time.monotonic() - started, seen.get
+    return {"inserted": got["lines"] - got["failed"], "failed": got["failed"], "seconds": seconds, "rate": (got["lines"] - got["failed"]) / seconds}
+
+
+def write_tsv(df: DataFrame, path: str, *by: str) -> None:
+    """Tab-separated without a header, a folder for each partition: the exchange format of text-table engines."""
+    df.write.mode("overwrite").option("sep", "\t").partitionBy(*by).csv(path)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = False) -> DataFrame:
+    return spark.read.schema(schema).option("sep", "\t").option("header", header).csv(path)
+
+
+LOG = "hour string, status string, lines long, bad_lines long, pushes long, pushes_with_commits long, era string, first_event_at string, last_event_at string, error string, ingested_at timestamp"
+
+
+def write_log(spark: SparkSession, record: dict, path: str) -> None:
+    """Add one record; absent fields are null, and upsert_log lets them keep earlier values."""
+    names = [x.split()[0] for x in LOG.split(", ")]
+    row = {**record, "ingested_at": datetime.now(UTC)}
+    spark.createDataFrame([tuple(row.get(n) for n in names)], LOG).coalesce(1).write.mode("append").parquet(path)
+
+
 def write_export(df: DataFrame, path: str) -> None:
     """One tab-separated file with a header, for small results."""
     df.coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)

@@ -70,6 +70,11 @@ def fm_estimate(registers: DataFrame, *by: str) -> DataFrame:
     return buckets.groupBy(*by).agg(F.round(F.median("_e"), 6).alias("estimate"))
 
 
+def replay(events: DataFrame, most: int | None = None) -> DataFrame:
+    """Events in order of arrival, the first `most` of them if given; without a limit the order is left to `sequenced`, which needs no global sort."""
+    return events if most is None else events.orderBy("created_at", "event_id").limit(most)
+
+
 def sequenced(events: DataFrame) -> DataFrame:
     """events with seq, from 1 in order of arrival."""
     per = events.groupBy("dt").agg(F.count("*").alias("_n"))
@@ -163,6 +168,24 @@ def dgim_by_key(events: DataFrame, key: str, bit: Column, width: int) -> DataFra
     return rows.groupBy(key).applyInPandas(run, f"{key} string, arrivals long, estimate long, exact long")
 
 
+def dgim_checkpoints(events: DataFrame, bit: Column, width: int) -> DataFrame:
+    """events_processed, estimate, exact, error_pct of the last `width` arrivals of the whole stream, after every `width` arrivals.
+
+    What lies before the window never counts, so each window is a group of its own, `width` rows long: no task reads the whole stream.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        bits, sketch = group.sort_values("seq")["bit"].tolist(), Dgim(width)
+        for b in bits:
+            sketch.update(b)
+        return pd.DataFrame({"events_processed": [int(group["seq"].max())], "estimate": [sketch.count()], "exact": [int(sum(bits))]})
+
+    seq = sequenced(events.select("dt", "created_at", "event_id", F.coalesce(bit, F.lit(False)).cast("int").alias("bit")))
+    rows = seq.select("seq", "bit", F.ceil(F.col("seq") / width).alias("c"))
+    each = rows.groupBy("c").applyInPandas(run, "events_processed long, estimate long, exact long").where(F.col("events_processed") % width == 0)
+    return each.withColumn("error_pct", F.round(F.try_divide(F.abs(F.col("estimate") - F.col("exact")), F.col("exact")) * 100, 4))
+
+
 def rates_table(spark: SparkSession, n: int) -> DataFrame:
     rows = [(r, *bloom_size(n, r)) for r in RATES]
     return spark.createDataFrame([(r, m, k, round((1 - math.exp(-k * n / m)) ** k, 5)) for r, m, k in rows], "target_fpr double, m long, k long, theoretical_fpr double")

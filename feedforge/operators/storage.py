@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,22 @@ def plan_summary(df: DataFrame) -> dict:
     }
 
 
+def keys_of(spark: SparkSession, table: str) -> dict[str, str]:
+    """Columns that a catalog table is laid out by: partition or bucket."""
+    return {c.name: "partition" if c.isPartition else "bucket" for c in spark.catalog.listColumns(table) if c.isPartition or c.isBucket}
+
+
+def executed(df: DataFrame) -> dict:
+    """Run a query without exchanges (a find) and say what it took: rows examined by its scans, rows returned, seconds, and its plan's summary."""
+    started, run = time.monotonic(), df._jdf.queryExecution()
+    returned, leaves = run.toRdd().count(), run.executedPlan().collectLeaves()
+    seconds, read = time.monotonic() - started, 0
+    for i in range(leaves.size()):
+        metric = leaves.apply(i).metrics().get("numOutputRows")
+        read += metric.get().value() if metric.isDefined() else 0
+    return {**plan_summary(df), "rows_examined": read, "rows_returned": returned, "seconds": seconds}
+
+
 def melt(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """A row for each value column, as double."""
     return df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(keys, values, "variable", "value")

@@ -39,6 +39,27 @@ def top_words(counts: DataFrame, most: int = 50) -> DataFrame:
     return counts.orderBy(F.desc("count"), "word").limit(most)
 
 
+def raw_counters(rows: DataFrame, skip_bots: bool = True, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """One row over the parsed feed (ingest.parse_lines): records, bad_records, commits, bot_commits_skipped and the fates of tokens.
+
+    Words are counted within their row, so there is one scan and one aggregate. A missing message has no words; a missing login isn't a bot's.
+    """
+    commits = F.coalesce(F.when(F.col("type") == "PushEvent", F.col("payload.commits")), F.array().cast("array<struct<sha:string,message:string>>"))
+    bot = F.coalesce(F.col("actor.login").endswith("[bot]"), F.lit(False)) & F.lit(skip_bots)
+    read = rows.select(F.col("_corrupt").isNotNull().alias("bad"), bot.alias("bot"), commits.alias("commits"))
+    split = lambda c: F.filter(F.split(F.lower(F.coalesce(c["message"], F.lit(""))), "[^a-z]+"), lambda w: w != "")
+    each = read.select("bad", "bot", F.size("commits").cast("long").alias("n"), F.when(F.col("bot"), F.array().cast("array<string>")).otherwise(F.flatten(F.transform("commits", split))).alias("words"))
+    size = lambda test: F.size(F.filter("words", test)).cast("long")
+    long = lambda w: F.length(w) >= MIN_LENGTH
+    return each.agg(
+        F.count("*").alias("records"), F.count_if("bad").alias("bad_records"), F.coalesce(F.sum("n"), F.lit(0)).alias("commits"),
+        F.coalesce(F.sum(F.when(F.col("bot"), F.col("n")).otherwise(0)), F.lit(0)).alias("bot_commits_skipped"),
+        F.coalesce(F.sum(size(lambda w: ~long(w))), F.lit(0)).alias("short_tokens_skipped"),
+        F.coalesce(F.sum(size(lambda w: long(w) & w.isin(stop))), F.lit(0)).alias("stopwords_skipped"),
+        F.coalesce(F.sum(size(lambda w: _counts(w, stop))), F.lit(0)).alias("words_emitted"),
+    )
+
+
 def counters(messages: DataFrame, text: str, bot: str | None = None, stop: list[str] = STOP_WORDS) -> DataFrame:
     """What was read, emitted and skipped, and why, in one row."""
     rows = messages if bot is None else messages.where(~F.col(bot))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import docstore, graph, ingest, recommend, sketches, storage, wordcount
+from ..operators import docstore, gold, graph, ingest, recommend, sketches, storage, wordcount
 from ..sources.staging import shared_path, staged
 from ..sources.tables import activity, bronze, table
 from ..streaming import jobs
@@ -390,3 +390,65 @@ def top_degree_nodes(spark: SparkSession, d: str) -> DataFrame:
 @query("component_sizes", _REACH + " SELECT component, count(*) AS nodes FROM parts GROUP BY component ORDER BY nodes DESC, component LIMIT 5")
 def component_sizes(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(_edges(spark, d)).groupBy("component").agg(F.count("*").alias("nodes")).orderBy(F.desc("nodes"), "component").limit(5)
+
+
+# raw feed, replay, grids and plots beyond the above
+
+@query("word_counters_raw", _silver(f""", raw AS (SELECT *, event_id % 500 = 3 AS bad, login LIKE '%[bot]' AS bot FROM bronze),
+pushed AS (SELECT bot, 'Fix' || chr(9) || 'bug ' || k || ' part ' || i AS message FROM raw, unnest(range(n_commits)) t(i) WHERE NOT bad AND n_commits > 0),
+tokens AS (SELECT unnest(regexp_split_to_array(lower(message), '[^a-z]+')) AS word FROM pushed WHERE NOT bot)
+SELECT (SELECT count(*) FROM raw) AS records, (SELECT count(*) FROM raw WHERE bad) AS bad_records, (SELECT count(*) FROM pushed) AS commits, (SELECT count(*) FROM pushed WHERE bot) AS bot_commits_skipped,
+  count(*) FILTER (length(word) BETWEEN 1 AND 2) AS short_tokens_skipped, count(*) FILTER (length(word) >= 3 AND word IN ({_STOP})) AS stopwords_skipped,
+  count(*) FILTER (length(word) >= 3 AND word NOT IN ({_STOP})) AS words_emitted FROM tokens"""))
+def word_counters_raw(spark: SparkSession, d: str) -> DataFrame:
+    return wordcount.raw_counters(ingest.parse_lines(_lines(spark, d)))
+
+
+@query("validate_type_mix", _silver("SELECT event_type AS type, count(*) AS events FROM bronze WHERE event_id % 500 <> 3 GROUP BY ALL"))
+def validate_type_mix(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.type_mix(ingest.parse_lines(_lines(spark, d)))
+
+
+@query("doc_stats", _silver("SELECT count(*) AS documents, strftime(min(created_at), '%Y-%m-%dT%H:%M:%SZ') AS first_at, strftime(max(created_at), '%Y-%m-%dT%H:%M:%SZ') AS last_at FROM bronze"))
+def doc_stats(spark: SparkSession, d: str) -> DataFrame:
+    return docstore.stats(bronze(spark, d))
+
+
+@query("weekday_grid", _ev(""", per AS (SELECT strftime(created_at, '%a') AS weekday, hr, count(*) AS events FROM ev GROUP BY ALL)
+SELECT g.weekday, g.hr, coalesce(events, 0) AS events FROM (SELECT weekday, hr::INT AS hr FROM unnest(['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun']) a(weekday), range(24) b(hr)) g LEFT JOIN per USING (weekday, hr)"""))
+def weekday_grid(spark: SparkSession, d: str) -> DataFrame:
+    return gold.weekday_grid(activity(spark, d))
+
+
+@query("replay_first", _ev(" SELECT event_id, created_at, event_type, actor_login FROM ev ORDER BY created_at, event_id LIMIT 1000"))
+def replay_first(spark: SparkSession, d: str) -> DataFrame:
+    return sketches.replay(activity(spark, d), 1000).select("event_id", "created_at", "event_type", "actor_login")
+
+
+@query("dgim_guarantee", _ev(_SEQ + """ SELECT max(seq) AS events_processed, count(*) FILTER (event_type = 'WatchEvent') AS exact, true AS within_half FROM seq GROUP BY ceil(seq / 500) HAVING count(*) = 500"""))
+def dgim_guarantee(spark: SparkSession, d: str) -> DataFrame:
+    """The sketch is held to its guarantee: no estimate is off by over half of the exact count."""
+    found = sketches.dgim_checkpoints(activity(spark, d), F.col("event_type") == "WatchEvent", 500)
+    return found.select("events_processed", "exact", (F.abs(F.col("estimate") - F.col("exact")) * 2 <= F.col("exact")).alias("within_half"))
+
+
+@query("network_edges", _EDGES + """, top AS (SELECT node FROM degrees ORDER BY degree DESC, node LIMIT 50), plot AS (SELECT src, dst, weight FROM edges WHERE src IN (FROM top) AND dst IN (FROM top))
+SELECT * FROM plot UNION ALL SELECT * FROM (SELECT src, dst, weight FROM edges ORDER BY weight DESC, src, dst LIMIT 50) WHERE NOT EXISTS (FROM plot)""")
+def network_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.plot_edges(_edges(spark, d))
+
+
+@query("network_nodes", _EDGES + "SELECT node, degree, round(ln(1 + degree), 6) AS size, node || ' (' || degree || ')' AS label FROM degrees ORDER BY degree DESC, node LIMIT 50")
+def network_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.plot_nodes(_edges(spark, d))
+
+
+@query("louvain_quality", _EDGES + "SELECT count(*) AS nodes, true AS beats_owners FROM degrees")
+def louvain_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Communities are held to a bound: a modularity no lower than that of grouping repositories by owner."""
+    edge = _edges(spark, d)
+    found = staged(graph.louvain(edge), "communities")
+    ours = graph.modularity(edge, found, "community").select(F.col("modularity").alias("_q"))
+    owners = graph.modularity(edge, found.select("node", F.split("node", "/")[0].alias("owner")), "owner").select(F.col("modularity").alias("_o"))
+    both = ours.crossJoin(F.broadcast(owners)).crossJoin(F.broadcast(found.agg(F.count("*").alias("nodes"))))  # one row each
+    return both.select("nodes", F.coalesce(F.col("_q") >= F.col("_o"), F.lit(True)).alias("beats_owners"))
