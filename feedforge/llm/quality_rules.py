@@ -31,6 +31,8 @@ KEEP_AT = 0.5
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 6 << 20
 #: Bytes of text hashed at once; a longer text is handled alone.
 SCORED_BYTES = 1 << 18
+#: Features of the sample that the driver sums at once; the sums are those of the whole sample.
+FITTED_AT_ONCE = 1 << 21
 BITS = 18
 KINDS = 5
 
@@ -154,14 +156,23 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE_ROWS, modulus: int
     apart = np.arange(n) % 5 == 4
     fitted = ~apart
     gain = np.float32(20.0)
+    parts = [slice(at, at + FITTED_AT_ONCE) for at in range(0, len(slots_), FITTED_AT_ONCE)]
 
     def margins(w):
-        return np.bincount(rows_, weights=values * w[slots_], minlength=n) * gain + w[-1]
+        out = np.zeros(n)
+        for part in parts:
+            at = rows_[part.start]
+            sums = np.bincount(rows_[part] - at, weights=values[part] * w[slots_[part]])
+            out[at : at + len(sums)] += sums
+        return out * gain + w[-1]
 
     def gradient(w):
         error = (np.where(fitted, sigmoid(margins(w)) - label, 0) / fitted.sum()).astype(np.float32)
         out = np.empty_like(w)
-        out[:-1] = np.bincount(slots_, weights=error[rows_] * values, minlength=size) * gain + 1e-7 * w[:-1]
+        sums = np.zeros(size)
+        for part in parts:
+            sums += np.bincount(slots_[part], weights=error[rows_[part]] * values[part], minlength=size)
+        out[:-1] = sums * gain + 1e-7 * w[:-1]
         out[-1] = error.sum()
         return out
 
