@@ -21,7 +21,10 @@ Components are found by alternating large-star and small-star contraction of the
 tables until nothing changes; group minima are aggregates joined back, so that a hub is never
 collected and skewed joins are split.
 
-`keep_first` drops near-duplicates: SimHash brings texts together, five-word shingles decide.
+`keep_first` drops near-duplicates: SimHash brings texts together, five-word shingles decide. A pair
+that lies in several shards is taken from the first of them, and sketches of the shingles, which bound
+the difference of two texts from below, decide which pairs need the texts themselves. Texts are moved
+only if a bit field of fixed size says that they may be needed.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other.
 Null ids never name a component: a component of null ids only has a null component_id. Repeated
@@ -51,6 +54,8 @@ KEEP_WORDS, KEEP_SIMILARITY = 5, 0.8
 DENSE = 20_000
 #: Members of the small shards that are searched together, and of a large one that are searched before its components are joined.
 TOGETHER, BLOCK = 1 << 15, 256
+#: Bits of the field, 4 KB a row, that says which rows may be among others.
+FIELD = 1 << 24
 
 _U = np.uint64
 
@@ -287,6 +292,8 @@ def _linked(batches, radius: int, similarity: float, across: bool, dense: int, d
         n = len(members.first)
         for at in range(0, n, BLOCK if large else n):
             for a, b, _ in members.pairs(np.arange(at, min(n, at + (BLOCK if large else n))), radius, similarity, rows[4], large):
+                own_here = _first_shard(rows[0], members, a, b, radius)
+                a, b = a[own_here], b[own_here]
                 if len(a):
                     yield put(own[a], own[b])
 
@@ -335,6 +342,19 @@ def _blocks(bits: list[int], radius: int, agree: int) -> list[int]:
     return [sum(chosen) for chosen in itertools.combinations(each, agree)]
 
 
+def _first_shard(key: np.ndarray, members: Members, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether the shards of this key are the first ones that the rows a and b share within the radius."""
+    masks = [_U(x) for x in _blocks(list(range(64)), radius, 2)]
+    second = key[a] >= len(masks)
+    fp = members.trees.values[members.node]
+    here, there = fp[a] ^ fp[b], members.other[a] ^ members.other[b]
+    earlier = second & (np.bitwise_count(there) <= radius)  # then they share a shard of the first fingerprint
+    first = np.zeros(len(a), np.int64)
+    for k in reversed(range(len(masks))):
+        first[here & masks[k] == 0] = k
+    return (key[a] == key[b]) & ~earlier & (first == key[a] % len(masks))
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -430,38 +450,101 @@ def _shingles(text: str, words: int) -> set[bytes]:
     return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
 
 
-def marks_of(blobs: list[bytes], words: int = KEEP_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(four words of bits, number) of the distinct shingles of each text: each shingle flips one of 256 bits."""
-    marks, sizes, digest = np.zeros((len(blobs), len(_MARKS)), _U), np.zeros(len(blobs), np.int64), xxhash.xxh64_intdigest
+def sketches_of(blobs: list[bytes], words: int = KEEP_WORDS) -> tuple[list[bytes], np.ndarray]:
+    """(sketch, number) of the distinct shingles of each text: each shingle flips one bit.
+
+    A sketch has a power of two of bits, 256 and two for each shingle at least. Folded, it is the sketch of fewer bits.
+    """
+    sketches, sizes, digest = [], np.zeros(len(blobs), np.int64), xxhash.xxh64_intdigest
     for i, blob in enumerate(blobs):
         own = blob.lower().split()
         found = {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))}
-        bits = np.bincount(np.array([digest(x) & 255 for x in found]), minlength=256) & 1
-        marks[i], sizes[i] = np.packbits(bits.astype(np.uint8), bitorder="little").view(_U), len(found)
-    return marks, sizes
+        width = max(64 * len(_MARKS), 1 << (2 * len(found) - 1).bit_length())
+        bits = np.bincount((np.array([digest(x) for x in found], _U) & _U(width - 1)).astype(np.int64), minlength=width) & 1
+        sketches.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
+        sizes[i] = len(found)
+    return sketches, sizes
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch in so many bytes, as words of 64 bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, _U).reshape(-1, size // 8), axis=0)
+
+
+def marks_of(blobs: list[bytes], words: int = KEEP_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(four words of bits, number) of the distinct shingles of each text: each shingle flips one of 256 bits."""
+    sketches, sizes = sketches_of(blobs, words)
+    return _marks(sketches), sizes
+
+
+def _marks(sketches: list[bytes]) -> np.ndarray:
+    return np.array([folded(x, 8 * len(_MARKS)) for x in sketches], _U).reshape(-1, len(_MARKS))
 
 
-def _printed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
-    """docs with both fingerprints, marks and number of shingles, under the given names."""
-    columns = docs.columns
+def _printed(docs: DataFrame, words: int) -> DataFrame:
+    """docs, without their texts, with both fingerprints, marks, number of shingles and sketch."""
+    names = [x for x in docs.columns if x != "text"]
 
     def made(batches):
         for part, texts in bytekit.batches_of_texts(batches):
             prints = [fingerprint_of(texts.blobs, w, distinct=True).view(np.int64) for w in KEEP_WIDTHS]
-            marks, sizes = marks_of(texts.blobs)
-            marks = marks.view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, (*prints, *(np.ascontiguousarray(m) for m in marks.T), sizes))], names=[*columns, *names.values()])
+            sketches, sizes = sketches_of(texts.blobs, words)
+            marks = _marks(sketches).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(x) for x in names), *map(pa.array, (*prints, *(np.ascontiguousarray(m) for m in marks.T), sizes)), pa.array(sketches, pa.binary())], names=[*names, "fp0", "fp1", *_MARKS, "size", "sketch"]
+            )
+        bytekit.give_back()
 
-    return docs.mapInArrow(made, common.widened(docs.schema, ", ".join(f"{x} long" for x in names.values())))
+    return docs.mapInArrow(made, common.widened(docs.drop("text").schema, ", ".join(f"{x} long" for x in ("fp0", "fp1", *_MARKS, "size")) + ", sketch binary"))
 
 
-def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (low, high) of rows whose texts' shingle sets have that Jaccard similarity at least. texts: row, text.
+def among(table: DataFrame, name: str, rows: DataFrame, out: str) -> DataFrame:
+    """table with a boolean: false only for rows whose number (column `name`) isn't in `rows`, a table of that column.
+
+    A field of FIELD bits, of which each number sets one, is broadcast; its size doesn't depend on the tables.
+    """
+    part, place, bits = (common.free_name(table, x) for x in ("_part", "_place", "_bits"))
+    at = F.pmod(F.xxhash64(name), F.lit(FIELD))
+    dealt = lambda df: df.withColumns({part: F.shiftright(at, 15), place: at.bitwiseAND(F.lit(32767))})
+    field = dealt(rows.select(name)).groupBy(part).agg(F.bitmap_construct_agg(place).alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, F.col(place).bitwiseAND(F.lit(7)).cast("int")) == 1
+    return dealt(table).join(F.broadcast(field), part, "left").withColumn(out, F.coalesce(found, F.lit(False))).drop(part, place, bits)
+
 
-    Texts move once to their pairs and once with them; only texts that are in pairs are moved the second time.
+def _sides(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(low, high, both) of pairs of rows, with the two values. values: row, value.
+
+    Only values that may be in a pair are moved: once to their pairs and once with them.
     """
     ends = pairs.select("low", "high", F.explode(F.array("low", "high")).alias("row"))
-    sides = texts.join(ends, "row").groupBy("low", "high").agg(F.collect_list("text").alias("both"))
+    needed = among(values, "row", ends.select("row"), "needed").where("needed").select("row", "value")
+    return needed.join(ends, "row").groupBy("low", "high").agg(F.collect_list("value").alias("both"))
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (low, high) of rows whose shingle sets can be that similar. sketches: row, size, sketch.
+
+    Each shingle that only one text has flips one bit, so that the bits that differ bound the difference from below,
+    as the difference of the sizes does.
+    """
+
+    def compared(batches):
+        for batch in batches:
+            low, high, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for i, (a, b) in enumerate(batch.column(2).to_pylist()):
+                width = min(len(a["sketch"]), len(b["sketch"]))
+                apart = max(int(np.bitwise_count(folded(a["sketch"], width) ^ folded(b["sketch"], width)).sum()), abs(a["size"] - b["size"]))
+                if apart <= (a["size"] + b["size"]) * ((1 - similarity) / (1 + similarity)) + 1e-9:
+                    keep.append(i)
+            yield pa.RecordBatch.from_pydict({"low": pa.array([low[i] for i in keep], pa.int64()), "high": pa.array([high[i] for i in keep], pa.int64())})
+        bytekit.give_back()
+
+    return _sides(pairs, sketches.select("row", F.struct("size", "sketch").alias("value"))).mapInArrow(compared, "low long, high long")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (low, high) of rows whose texts' shingle sets have that Jaccard similarity at least. texts: row, text."""
 
     def compared(batches):
         for batch in batches:
@@ -471,8 +554,9 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
                 if len(x & y) >= similarity * len(x | y):
                     keep.append(i)
             yield pa.RecordBatch.from_pydict({"low": pa.array([low[i] for i in keep], pa.int64()), "high": pa.array([high[i] for i in keep], pa.int64())})
+        bytekit.give_back()
 
-    return sides.select("low", "high", "both").mapInArrow(compared, "low long, high long")
+    return _sides(pairs, texts.select("row", F.col("text").alias("value"))).mapInArrow(compared, "low long, high long")
 
 
 def keep_first(docs: DataFrame, radius: int = KEEP_RADIUS, words: int = KEEP_WORDS, similarity: float = KEEP_SIMILARITY) -> DataFrame:
@@ -483,32 +567,38 @@ def keep_first(docs: DataFrame, radius: int = KEEP_RADIUS, words: int = KEEP_WOR
     Equal texts are one vertex. In each shard a spanning forest of what SimHash brings together,
     with the pairs first whose marks differ least, is compared first, which joins most near copies;
     then every pair within the radius that still spans two classes. Pairs whose marks prove them too
-    different to be similar are left out of both: no similar pair within the radius is lost.
+    different to be similar are left out of both, as are those that sketches prove so: no similar
+    pair within the radius is lost. Rows that can't be among the dropped ones are never moved.
     """
-    names = {x: common.free_name(docs, "_" + x) for x in ("fp0", "fp1", *_MARKS, "size")}
-    row, same = common.free_name(docs, "_row"), common.free_name(docs, "_same")
+    row, maybe = common.free_name(docs, "_row"), common.free_name(docs, "_maybe")
     text = F.coalesce("text", F.lit(""))
-    numbered = staged(_printed(docs, names).withColumns({row: F.monotonically_increasing_id(), same: F.xxhash64(text)}), "fingerprinted")
-    narrow = numbered.select("doc_id", F.col(row).alias("row"), F.col(same).alias("same"), *(F.col(v).alias(k) for k, v in names.items()))
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(row).alias("row"), text.alias("text"))
+    prints = staged(_printed(numbered.select("doc_id", F.col(row).alias("row"), F.xxhash64(text).alias("same"), "text"), words), "prints")
+    narrow, sketches = prints.drop("sketch"), prints.select("row", "size", "sketch")
     alone = ("fp0", "fp1", "same")
     vertices = staged(narrow.groupBy(*alone).agg(F.min("row").alias("vertex"), *(F.first(x).alias(x) for x in (*_MARKS, "size"))), "vertices")
-    texts = numbered.select(F.col(row).alias("row"), text.alias("text"))
     kept = ("vertex", "class", "other", *_MARKS, "size")
     pairs = linked(shards(vertices.withColumn("class", F.col("vertex")), radius, kept=kept, tables=("fp0", "fp1")), radius, similarity)
-    good = staged(alike(pairs, texts, words, similarity), "alike")
+    close = staged(possible(pairs, sketches, similarity), "possible")
+    good = staged(alike(close, texts, words, similarity), "alike")
+    discard(close)
     rooted = contract(good)
     classes = staged(vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("class", F.coalesce("root", "vertex")).drop("root"), "classes")
     apart = linked(shards(classes, radius, kept=kept, tables=("fp0", "fp1")), radius, similarity, across=True)
     fresh = staged(apart.join(pairs, ["low", "high"], "left_anti"), "apart")
-    more = staged(alike(fresh, texts, words, similarity), "alike")
+    close = staged(possible(fresh, sketches, similarity), "possible")
+    more = staged(alike(close, texts, words, similarity), "alike")
     if not more.isEmpty():
         again = contract(good.unionByName(more))
         discard(rooted)
         rooted = again
-    discard(pairs, good, classes, apart, fresh, more)
-    classes = vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select(*alone, F.coalesce("root", "vertex").alias("class"))
-    first = narrow.join(classes, list(alone)).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias(row))
-    return numbered.join(first, row, "left_semi").select(*docs.columns)
+    classed = vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").select(*alone, F.coalesce("root", "vertex").alias("class"))
+    first = narrow.join(classed, list(alone)).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select("first.row")
+    dropped = staged(narrow.select("row").join(first, "row", "left_anti").withColumnRenamed("row", row), "dropped")
+    discard(pairs, good, classes, apart, fresh, close, more, prints, vertices, rooted)
+    found = among(numbered, row, dropped, maybe)
+    return found.where(~F.col(maybe)).unionByName(found.where(maybe).join(dropped, row, "left_anti")).select(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

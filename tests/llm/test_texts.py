@@ -418,6 +418,70 @@ def test_keep_first_compares_every_link(spark, monkeypatch, dense):
     assert len(set(root)) < len(made) and kept == set(root)
 
 
+def _dealt(spark, texts, classes):
+    """All shard rows of texts, sorted as `linked` sorts them, and both fingerprints of each."""
+    prints = [tuple(int(simhash.fingerprint_of([t.encode()], w, distinct=True).view(np.int64)[0]) for w in simhash.KEEP_WIDTHS) for t in texts]
+    marks, sizes = simhash.marks_of([t.encode() for t in texts])
+    rows = [(i, c, *p, *map(int, m.view(np.int64)), int(n)) for i, (c, p, m, n) in enumerate(zip(classes, prints, marks, sizes, strict=True))]
+    names = "vertex long, class long, fp0 long, fp1 long, " + "".join(f"{m} long, " for m in simhash._MARKS) + "size long"
+    kept = ("vertex", "class", "other", *simhash._MARKS, "size")
+    return simhash.shards(spark.createDataFrame(rows, names), simhash.KEEP_RADIUS, kept=kept, tables=("fp0", "fp1")).coalesce(1).sortWithinPartitions("shard", "fp"), prints
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_pairs_across_classes_come_once(spark, large):
+    """A pair shares many of the 56 shards; it is emitted by one of them, and by one it is."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    made = [" ".join(words)]
+    for _ in range(simhash.BLOCK + 20 if large else 30):
+        copy = list(words)
+        for k in rnd.sample(range(10, 290, 10), 4):
+            copy[k] = "".join(rnd.choice("abcdefghij") for _ in range(5))
+        made.append(" ".join(copy))
+    dealt, prints = _dealt(spark, made, range(len(made)))
+    batches = [b for b in pa.Table.from_batches(dealt.toArrow().to_batches()).combine_chunks().to_batches()]
+    got = Counter()
+    for b in simhash._linked(iter(batches), simhash.KEEP_RADIUS, 0.8, True, simhash.DENSE, simhash._FULL):
+        got.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    marks, sizes = simhash.marks_of([t.encode() for t in made])
+    can = lambda a, b: np.bitwise_count(marks[a] ^ marks[b]).sum() <= (sizes[a] + sizes[b]) / 9 + 1e-9
+    bits = [tuple(x & (1 << 64) - 1 for x in p) for p in prints]
+    want = {(a, b) for a in range(len(made)) for b in range(a + 1, len(made)) if within(bits[a], bits[b]) and can(a, b)}
+    assert len(want) > len(made) and set(got) == want and max(got.values()) == 1
+
+
+def test_sketches_fold_and_bound_the_difference(spark):
+    rnd = random.Random(8)
+    made = [""] + [" ".join(rnd.choice("abcdefghijkl") for _ in range(rnd.choice((3, 100, 700, 5000)))) for _ in range(40)]
+    for t in made[1:21]:
+        made.append(" ".join(w if rnd.random() < 0.98 else "new" for w in t.split()))
+    sets = [simhash._shingles(t, 5) for t in made]
+    sketches, sizes = simhash.sketches_of([t.encode() for t in made])
+    assert sizes.tolist() == [len(x) for x in sets] and all(8 * len(x) >= max(256, 2 * n) for x, n in zip(sketches, sizes.tolist(), strict=True))
+    pairs = [(a, b) for a in range(len(made)) for b in range(a + 1, len(made))]
+    for a, b in pairs:
+        width = min(len(sketches[a]), len(sketches[b]))
+        assert np.bitwise_count(simhash.folded(sketches[a], width) ^ simhash.folded(sketches[b], width)).sum() <= len(sets[a] ^ sets[b])
+    rows = spark.createDataFrame([(i, int(n), bytearray(x)) for i, (n, x) in enumerate(zip(sizes, sketches, strict=True))], "row long, size long, sketch binary")
+    kept = {(r.low, r.high) for r in simhash.possible(spark.createDataFrame(pairs, "low long, high long"), rows, 0.8).collect()}
+    true = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert true and true <= kept and len(kept - true) < 0.1 * len(pairs)
+
+
+def test_among_leaves_out_no_row(spark, monkeypatch):
+    """Every row that is among the others is marked; of the rest few are, and with a small field more, but still no row is lost."""
+    table = spark.range(0, 4000).select(F.expr("(id % 7 << 33) + id").alias("row"), F.lit("mine").alias("_part")).repartition(3)
+    rows = table.where("row % 5 = 0").select("row")
+    for field in (1 << 24, 1 << 16):
+        monkeypatch.setattr(simhash, "FIELD", field)
+        got = simhash.among(table, "row", rows, "maybe")
+        assert got.columns == ["row", "_part", "maybe"]
+        marked = Counter((r.row % 5 == 0, r.maybe) for r in got.collect())
+        assert marked[True, True] == rows.count() and marked[True, False] == 0 and marked[False, True] < 0.05 * 4000
+    assert simhash.among(table, "row", rows.limit(0), "maybe").where("maybe").count() == 0
+
+
 # mixing
 
 def brute_targets(sizes):
