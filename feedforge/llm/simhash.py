@@ -374,6 +374,28 @@ def shards(distinct: DataFrame, radius: int = RADIUS, agree: int = 2, kept: tupl
     return distinct.select(F.explode(F.array(*rows)).alias("_at"), *(x for x in kept if x != "other")).select("_at.key", "_at.shard", "_at.fp", *(x if x != "other" else "_at.other" for x in kept))
 
 
+def gathered(distinct: DataFrame, radius: int, kept: tuple[str, ...], tables: tuple[str, ...]) -> DataFrame:
+    """The rows of `shards` for two agreeing blocks, dealt out with each shard whole in a partition.
+
+    All shards whose first block is the same one with the same bits lie in one partition, so that a row
+    is moved once for each first block and becomes the rows of its shards only there.
+    """
+    n, masks = radius + 2, _blocks(list(range(64)), radius, 2)
+    ones, at = _blocks(list(range(64)), radius + 1, 1), list(itertools.combinations(range(n), 2))
+    rows = []
+    for t, name in enumerate(tables):
+        for i in range(n - 1):
+            rows.append(F.struct(F.lit(t * n + i).alias("first"), F.xxhash64(F.lit(t * n + i), F.col(name).bitwiseAND(F.lit(_signed(ones[i])).cast("long"))).alias("group"), F.col(name).alias("fp"), *(F.col(x).alias("other") for x in tables if x != name)))
+    moved = distinct.select(F.explode(F.array(*rows)).alias("_at"), *(x for x in kept if x != "other")).select("_at.first", "_at.group", "_at.fp", *(x if x != "other" else "_at.other" for x in kept)).repartition("group")
+    found = None
+    for t in range(len(tables)):
+        for i in range(n - 1):
+            own = [(t * len(masks) + k, mask) for k, mask in enumerate(masks) if at[k][0] == i]
+            here = F.array(*(F.struct(F.lit(key).alias("key"), F.xxhash64(F.lit(key), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long"))).alias("shard")) for key, mask in own))
+            found = F.when(F.col("first") == t * n + i, here) if found is None else found.when(F.col("first") == t * n + i, here)
+    return moved.select(F.explode(found).alias("_at"), "fp", *kept).select("_at.key", "_at.shard", "fp", *kept)
+
+
 def further(dense: DataFrame, radius: int, agree: int = 2) -> DataFrame:
     """Rows of dense shards, dealt again by the bits that their key leaves open."""
     names = dense.columns
@@ -391,15 +413,15 @@ def further(dense: DataFrame, radius: int, agree: int = 2) -> DataFrame:
     return dense.mapInArrow(dealt, dense.schema)
 
 
-def linked(dealt: DataFrame, radius: int, similarity: float = 0.0, across: bool = False) -> DataFrame:
-    """(low, high), staged: links found in the shards; dense shards are dealt once more."""
+def linked(dealt: DataFrame, radius: int, similarity: float = 0.0, across: bool = False, whole: bool = False) -> DataFrame:
+    """(low, high), staged: links found in the shards; dense shards are dealt once more. whole: each shard already lies in one partition."""
     ddl = _FULL if "vertex" in dealt.columns else _SHARD
-    run = lambda df, dense: staged(df.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(lambda batches: _linked(batches, radius, similarity, across, dense, ddl), "low long, high long, " + ddl), "links")
-    first = run(dealt, DENSE)
+    run = lambda df, dense: staged(df.sortWithinPartitions("shard", "fp").mapInArrow(lambda batches: _linked(batches, radius, similarity, across, dense, ddl), "low long, high long, " + ddl), "links")
+    first = run(dealt if whole else dealt.repartition("shard"), DENSE)
     dense = first.where("low IS NULL").drop("low", "high")
     found = first.where("low IS NOT NULL").select("low", "high")
     if not dense.isEmpty():
-        second = run(further(dense, radius), 1 << 62)
+        second = run(further(dense, radius).repartition("shard"), 1 << 62)
         found = found.unionByName(second.where("low IS NOT NULL").select("low", "high"))
         out = staged(found.distinct(), "links")
         discard(first, second)
@@ -579,13 +601,13 @@ def keep_first(docs: DataFrame, radius: int = KEEP_RADIUS, words: int = KEEP_WOR
     alone = ("fp0", "fp1", "same")
     vertices = staged(narrow.groupBy(*alone).agg(F.min("row").alias("vertex"), *(F.first(x).alias(x) for x in (*_MARKS, "size"))), "vertices")
     kept = ("vertex", "class", "other", *_MARKS, "size")
-    pairs = linked(shards(vertices.withColumn("class", F.col("vertex")), radius, kept=kept, tables=("fp0", "fp1")), radius, similarity)
+    pairs = linked(gathered(vertices.withColumn("class", F.col("vertex")), radius, kept, ("fp0", "fp1")), radius, similarity, whole=True)
     close = staged(possible(pairs, sketches, similarity), "possible")
     good = staged(alike(close, texts, words, similarity), "alike")
     discard(close)
     rooted = contract(good)
     classes = staged(vertices.join(rooted.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("class", F.coalesce("root", "vertex")).drop("root"), "classes")
-    apart = linked(shards(classes, radius, kept=kept, tables=("fp0", "fp1")), radius, similarity, across=True)
+    apart = linked(gathered(classes, radius, kept, ("fp0", "fp1")), radius, similarity, across=True, whole=True)
     fresh = staged(apart.join(pairs, ["low", "high"], "left_anti"), "apart")
     close = staged(possible(fresh, sketches, similarity), "possible")
     more = staged(alike(close, texts, words, similarity), "alike")

@@ -451,6 +451,17 @@ def test_pairs_across_classes_come_once(spark, large):
     assert len(want) > len(made) and set(got) == want and max(got.values()) == 1
 
 
+def test_gathered_shards_are_whole(spark):
+    """The same rows as `shards` gives, each shard in one partition, from a quarter of the rows moved."""
+    rnd = random.Random(3)
+    made = spark.createDataFrame([(i, rnd.getrandbits(63), rnd.getrandbits(63) - (1 << 62)) for i in range(300)], "vertex long, fp0 long, fp1 long")
+    kept, tables = ("vertex", "other"), ("fp0", "fp1")
+    got = simhash.gathered(made, simhash.KEEP_RADIUS, kept, tables)
+    want = simhash.shards(made, simhash.KEEP_RADIUS, kept=kept, tables=tables)
+    assert got.columns == want.columns and Counter(got.collect()) == Counter(want.collect())
+    assert got.select("shard", F.spark_partition_id().alias("part")).distinct().groupBy("shard").count().where("count > 1").isEmpty()
+
+
 def test_sketches_fold_and_bound_the_difference(spark):
     rnd = random.Random(8)
     made = [""] + [" ".join(rnd.choice("abcdefghijkl") for _ in range(rnd.choice((3, 100, 700, 5000)))) for _ in range(40)]
