@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 KS = (5, 10, 20)
+#: Steps (a user's item with one of its neighbours) in one cell of scores(), and similarities in one block of repositories.
+STEPS, BLOCK = 500_000, 100_000
 
 
 def interactions(stars: DataFrame) -> DataFrame:
@@ -35,9 +39,36 @@ def similarity(train: DataFrame) -> DataFrame:
 
 
 def scores(train: DataFrame, sims: DataFrame) -> DataFrame:
-    """(user, repo, score): summed similarity to the user's items, for items not among them."""
-    raw = train.join(sims, train["repo"] == sims["repo_a"]).groupBy("user", F.col("repo_b").alias("repo")).agg(F.round(F.sum("sim"), 9).alias("score"))
-    return raw.join(train, ["user", "repo"], "left_anti")
+    """(user, repo, score): summed similarity to the user's items, for items not among them.
+
+    The sum has a row for each item of a user and each of its neighbours, many times the rows of
+    either table; Spark sizes partitions by the bytes of those. So they are dealt by the number of rows to
+    come: cells of a group of users and a block of candidates, of STEPS rows on average. A cell gets
+    its users' items and its block's similarities, and all its sums are made there. sims is read
+    more than once, so it should be staged; a user may be of any type that can be grouped.
+    """
+    degrees = sims.groupBy("repo_a").agg(F.count("*").alias("n")).join(popularity(train).withColumnRenamed("repo", "repo_a"), "repo_a")
+    links, steps = degrees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("users")), F.lit(0))).first()
+    blocks = -(-links // BLOCK) or 1
+    groups = -(-steps // (blocks * STEPS)) or 1
+    block = lambda repo: F.pmod(F.xxhash64(repo), F.lit(blocks))
+    cell = (F.col("_group") * blocks + F.col("_block")).cast("int").alias("_cell")
+    near = sims.withColumn("_block", block("repo_b"))
+    # an item goes to the blocks of its neighbours, and to its own, where it is struck out
+    reach = near.groupBy(F.col("repo_a").alias("repo")).agg(F.collect_set("_block").alias("_blocks"))
+    own = F.array(block("repo"))
+    items = train.join(reach, "repo", "left").withColumn("_group", F.pmod(F.xxhash64("user"), F.lit(groups)))
+    items = items.withColumn("_block", F.explode(F.coalesce(F.array_union("_blocks", own), own)))
+    items = items.select(cell, "repo", "user", F.lit(None).cast("struct<repo: string, sim: double>").alias("_near"))
+    every = near.sparkSession.range(0, groups, 1, -(-groups // 16)).withColumnRenamed("id", "_group")
+    near = near.hint("shuffle_replicate_nl").crossJoin(every)  # in tasks of 16 groups; a broadcast would leave all copies to the few tasks that read sims
+    near = near.select(cell, F.col("repo_a").alias("repo"), F.lit(None).cast(train.schema["user"].dataType).alias("user"), F.struct(F.col("repo_b").alias("repo"), "sim").alias("_near"))
+    cells = items.unionByName(near).repartitionById(groups * blocks, "_cell")
+    met = cells.groupBy("_cell", "repo").agg(F.collect_list("user").alias("_users"), F.collect_list("_near").alias("_near"))
+    met = met.withColumn("_near", F.concat("_near", F.array(F.struct("repo", F.lit(None).cast("double").alias("sim")))))
+    steps = met.select("_cell", "repo", "_near", F.explode("_users").alias("user")).select("_cell", "user", F.col("repo").alias("_own"), F.inline("_near"))
+    raw = steps.groupBy("_cell", "user", "repo").agg(F.round(F.sum("sim"), 9).alias("score"), F.max(F.col("repo") == F.col("_own")).alias("_known"))
+    return raw.where("not _known").select("user", "repo", "score")
 
 
 def hit_rates(split: DataFrame, ks=KS) -> DataFrame:
@@ -54,7 +85,7 @@ def hit_rates(split: DataFrame, ks=KS) -> DataFrame:
     at = test.join(top, "repo")
     own = train.join(top.select("repo", F.col("_at").alias("_own")), "repo").select("user", "_own")
     popular = at.join(own, "user", "left").groupBy("user", "_at").agg(F.count_if(F.col("_own") < F.col("_at")).alias("_n")).select("user", (F.col("_at") - F.col("_n")).alias("p"))
-    found = scores(train, similarity(train)).join(test.select("user", F.col("repo").alias("_held")), "user")
+    found = scores(train, staged(similarity(train), "similarity")).join(test.select("user", F.col("repo").alias("_held")), "user")
     mine = F.max(F.when(F.col("repo") == F.col("_held"), F.col("score"))).over(Window.partitionBy("user"))
     before = (F.col("score") > F.col("_mine")) | ((F.col("score") == F.col("_mine")) & (F.col("repo") < F.col("_held")))
     ranked = found.withColumn("_mine", mine).groupBy("user").agg((F.count_if(before) + 1).alias("_c"), F.max("_mine").alias("_mine"))

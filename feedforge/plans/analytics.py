@@ -262,7 +262,7 @@ def cf_similarity(spark: SparkSession, d: str) -> DataFrame:
 @query("cf_scores", _CF + "SELECT user, repo, round(score, 6) AS score FROM cand")
 def cf_scores(spark: SparkSession, d: str) -> DataFrame:
     train = _split(spark, d).where("not held").select("user", "repo")
-    return recommend.scores(train, recommend.similarity(train)).withColumn("score", F.round("score", 6))
+    return recommend.scores(train, staged(recommend.similarity(train), "similarity")).withColumn("score", F.round("score", 6))
 
 
 @query("cf_hit_rate", _CF + """SELECT k, round(p, 6) AS popularity_hit_rate, round(c, 6) AS cf_hit_rate, round(CASE WHEN p > 0 THEN (c - p) / p * 100 ELSE 0.0 END, 4) AS gain_pct

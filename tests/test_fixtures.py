@@ -1,5 +1,8 @@
 """Hand-checked cases: semantics traps of the feed, the rules, the sketches and the graph."""
 
+import math
+import re
+from collections import Counter, defaultdict
 from datetime import UTC, datetime
 
 import pytest
@@ -176,6 +179,31 @@ def test_recommender(spark):
     assert got == {"B": 0.8165, "C": 0.57735}
 
 
+def _stars(spark, monkeypatch):
+    """Stars of 400 users, one of whom has most items; cells of 2,000 steps and blocks of 300 similarities. With them the scores by plain sums."""
+    monkeypatch.setattr(recommend, "STEPS", 2000, raising=False)
+    monkeypatch.setattr(recommend, "BLOCK", 300, raising=False)
+    items = {f"u{i}": {f"r{(i * i + j * (7 + i % 5)) % 40}" for j in range(1 + i % 6)} for i in range(400)} | {"many": {f"r{i}" for i in range(38)}, "alone": {"none else's"}}
+    train = spark.createDataFrame([(u, r) for u, own in items.items() for r in own], "user string, repo string")
+    users, common = Counter(r for own in items.values() for r in own), Counter((a, b) for own in items.values() for a in own for b in own if a != b)
+    want = defaultdict(float)
+    for u, own in items.items():
+        for (a, b), n in common.items():
+            if a in own and b not in own:
+                want[u, b] += n / math.sqrt(users[a] * users[b])
+    return train, want, sum(n for (a, _), n in Counter((a, u) for u, own in items.items() for a, b in common if a in own).items())
+
+
+def test_scores_are_dealt_by_the_rows_they_make(spark, monkeypatch):
+    train, want, steps = _stars(spark, monkeypatch)
+    got = recommend.scores(train, recommend.similarity(train))
+    assert {(r.user, r.repo): r.score for r in got.collect()} == pytest.approx(dict(want), abs=1e-8)
+    assert got.rdd.getNumPartitions() >= steps / 2000  # however few bytes the tables have
+    most = max(got.groupBy(F.spark_partition_id()).count().toPandas()["count"])
+    assert most < 2000
+    assert recommend.scores(train.limit(0), recommend.similarity(train)).count() == recommend.scores(train, recommend.similarity(train.limit(0))).count() == 0
+
+
 def test_graph(spark):
     rows = [("a1", "r1"), ("a1", "r2"), ("a2", "r1"), ("a2", "r2"), ("a3", "r2"), ("a3", "r3"), ("a4", "r4")] + [("many", f"x{i}") for i in range(51)]
     df = spark.createDataFrame([(a, r, False, "PushEvent", "o") for a, r in rows], "actor_login string, repo string, is_bot boolean, event_type string, repo_owner string")
