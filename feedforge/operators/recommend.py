@@ -76,7 +76,8 @@ def hit_rates(split: DataFrame, ks=KS) -> DataFrame:
 
     Only the rank of the held-out item is needed. Among popular items it is its rank among all less
     the user's own items before it; an item below the first max(ks) plus the longest history can't
-    be a hit, so that many are ranked. Among candidates it is the number of those before it.
+    be a hit, so that many are ranked. Among candidates it is the number of those before it, which
+    are counted where their scores are made: the held-out item's own score goes there with the user.
     """
     train, test = split.where("not held").select("user", "repo"), split.where("held").select("user", "repo")
     longest = train.groupBy("user").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -85,10 +86,14 @@ def hit_rates(split: DataFrame, ks=KS) -> DataFrame:
     at = test.join(top, "repo")
     own = train.join(top.select("repo", F.col("_at").alias("_own")), "repo").select("user", "_own")
     popular = at.join(own, "user", "left").groupBy("user", "_at").agg(F.count_if(F.col("_own") < F.col("_at")).alias("_n")).select("user", (F.col("_at") - F.col("_n")).alias("p"))
-    found = scores(train, staged(similarity(train), "similarity")).join(test.select("user", F.col("repo").alias("_held")), "user")
-    mine = F.max(F.when(F.col("repo") == F.col("_held"), F.col("score"))).over(Window.partitionBy("user"))
+    sims = staged(similarity(train), "similarity")
+    held = test.withColumnRenamed("repo", "_held")
+    asked = train.join(held, "user")
+    mine = asked.join(sims, (F.col("repo") == F.col("repo_a")) & (F.col("_held") == F.col("repo_b"))).groupBy("user").agg(F.round(F.sum("sim"), 9).alias("_mine"))
+    asked = asked.join(mine, "user", "left").select(F.struct("user", "_held", "_mine").alias("user"), "repo")
     before = (F.col("score") > F.col("_mine")) | ((F.col("score") == F.col("_mine")) & (F.col("repo") < F.col("_held")))
-    ranked = found.withColumn("_mine", mine).groupBy("user").agg((F.count_if(before) + 1).alias("_c"), F.max("_mine").alias("_mine"))
+    found = scores(asked, sims).select("user.*", "repo", "score")
+    ranked = found.groupBy("user").agg((F.count_if(before & (F.col("repo") != F.col("_held"))) + 1).alias("_c"), F.max("_mine").alias("_mine"))
     both = test.join(popular, "user", "left").join(ranked, "user", "left")
     both = both.select("p", F.when(F.col("_c").isNull(), F.col("p")).when(F.col("_mine").isNotNull(), F.col("_c")).alias("c"))
     hit = lambda c, k: F.avg(F.when(F.col(c) <= k, 1).otherwise(0))

@@ -204,6 +204,29 @@ def test_scores_are_dealt_by_the_rows_they_make(spark, monkeypatch):
     assert recommend.scores(train.limit(0), recommend.similarity(train)).count() == recommend.scores(train, recommend.similarity(train.limit(0))).count() == 0
 
 
+def test_hit_rates_rank_where_scores_are_made(spark, monkeypatch):
+    stars, _, _ = _stars(spark, monkeypatch)
+    split = [tuple(r) for r in recommend.holdout(stars).collect()]
+    train, held = defaultdict(set), {u: r for u, r, h in split if h}
+    for u, r, h in split:
+        if not h:
+            train[u].add(r)
+    users, common = Counter(r for own in train.values() for r in own), Counter((a, b) for own in train.values() for a in own for b in own if a != b)
+    ranks = []
+    for u, item in held.items():
+        score = defaultdict(float)
+        for (a, b), n in common.items():
+            if a in train[u] and b not in train[u]:
+                score[b] += n / math.sqrt(users[a] * users[b])
+        popular = sorted(users.keys() - train[u], key=lambda r: (-users[r], r))
+        found = sorted(score, key=lambda r: (-round(score[r], 9), r)) or popular
+        ranks.append([x.index(item) if item in x else 99 for x in (popular, found)])
+    got = recommend.hit_rates(spark.createDataFrame(split, "user string, repo string, held boolean"))
+    assert {r.k: (r.popularity_hit_rate, r.cf_hit_rate) for r in got.collect()} == {k: tuple(round(sum(r[i] < k for r in ranks) / len(ranks), 6) for i in (0, 1)) for k in (5, 10, 20)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Window \[.*windowspecdefinition\(user#", plan)  # that would sort all candidates
+
+
 def test_graph(spark):
     rows = [("a1", "r1"), ("a1", "r2"), ("a2", "r1"), ("a2", "r2"), ("a3", "r2"), ("a3", "r3"), ("a4", "r4")] + [("many", f"x{i}") for i in range(51)]
     df = spark.createDataFrame([(a, r, False, "PushEvent", "o") for a, r in rows], "actor_login string, repo string, is_bot boolean, event_type string, repo_owner string")
