@@ -30,8 +30,9 @@ def popularity(train: DataFrame) -> DataFrame:
 
 def similarity(train: DataFrame) -> DataFrame:
     """(repo_a, repo_b, sim) for ordered pairs with a common user: common / sqrt(users_a * users_b). Pairs are made once, a < b, and mirrored after counting."""
+    # both sides grow with the users, but take so few bytes in a file that Spark would broadcast millions of rows
     a, b = train.select("user", F.col("repo").alias("repo_a")), train.select("user", F.col("repo").alias("repo_b"))
-    both = a.join(b, "user").where("repo_a < repo_b").groupBy("repo_a", "repo_b").agg(F.count("*").alias("n"))
+    both = a.hint("merge").join(b, "user").where("repo_a < repo_b").groupBy("repo_a", "repo_b").agg(F.count("*").alias("n"))
     size = popularity(train)
     both = both.join(size.select(F.col("repo").alias("repo_a"), F.col("users").alias("_a")), "repo_a").join(size.select(F.col("repo").alias("repo_b"), F.col("users").alias("_b")), "repo_b")
     half = both.select("repo_a", "repo_b", (F.col("n") / F.sqrt(F.col("_a") * F.col("_b"))).alias("sim"))

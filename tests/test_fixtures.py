@@ -227,6 +227,11 @@ def test_hit_rates_rank_where_scores_are_made(spark, monkeypatch):
     assert not re.search(r"Window \[.*windowspecdefinition\(user#", plan)  # that would sort all candidates
 
 
+def test_similarity_broadcasts_no_stars(spark):
+    plan = recommend.similarity(spark.range(9).selectExpr("concat('u', id % 3) AS user", "concat('r', id) AS repo"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [user#" in plan and "BroadcastHashJoin [user#" not in plan
+
+
 def test_graph(spark):
     rows = [("a1", "r1"), ("a1", "r2"), ("a2", "r1"), ("a2", "r2"), ("a3", "r2"), ("a3", "r3"), ("a4", "r4")] + [("many", f"x{i}") for i in range(51)]
     df = spark.createDataFrame([(a, r, False, "PushEvent", "o") for a, r in rows], "actor_login string, repo string, is_bot boolean, event_type string, repo_owner string")
